@@ -1,0 +1,12 @@
+"""Queries over the driver tables, one module per group of operators."""
+
+from __future__ import annotations
+
+import importlib
+
+MODULES = ("nested",)
+
+
+def load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"tessel.plans.{name}")
