@@ -217,6 +217,17 @@ def page_children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield _batch("hyperlinks_cased", ids, entry.ordinal(1)[at], entry.ordinal(3)[at], title)
 
 
+def page_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rec_id, payload) as one row per link title of a paragraph, also where its list is empty."""
+    schema = pa.schema([("doc_id", pa.int64()), ("para_no", pa.int32()), ("link", pa.string())])
+    for batch in batches:
+        pages, kept = parse_json(batch.column("payload"), PAGE)
+        key = shred(pages, "page")[("page", "paras", "[]", "hyperlinks_cased", "{}", "key")]
+        at = instances(key, 2)
+        ids = batch.column("rec_id").take(pa.array(kept[key.ordinal(0)[at]]))
+        yield pa.RecordBatch.from_arrays([ids, pa.array(key.ordinal(1)[at], pa.int32()), key.take(at)], schema=schema)
+
+
 SCHEMA = "child string, rec_id bigint, outer_no int, inner_no int, title string"
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("nested",)
+MODULES = ("nested", "texts", "records", "joins")
 
 
 def load() -> None:
