@@ -10,21 +10,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-@F.pandas_udf("string")
-def nfd(x: pd.Series) -> pd.Series:
+def nfd(x: Column | str) -> Column:
     """Canonical decomposition."""
-    return x.map(lambda s: unicodedata.normalize("NFD", s), na_action="ignore")
 
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: unicodedata.normalize("NFD", t), na_action="ignore")
 
-@F.pandas_udf("string")
-def unaccented(x: pd.Series) -> pd.Series:
-    """Without combining marks."""
-    drop = lambda s: s if s.isascii() else "".join(c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c) != "Mn")
-    return x.map(drop, na_action="ignore")
+    return F.pandas_udf(run, "string")(x)
 
 
 def strip_accents(x: Column | str) -> Column:
-    return unaccented(x)
+    """Without combining marks."""
+    drop = lambda t: t if t.isascii() else "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn")
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(drop, na_action="ignore")
+
+    return F.pandas_udf(run, "string")(x)
 
 
 def longest_common_run(a, b) -> tuple[int, int]:
@@ -50,23 +52,26 @@ def longest_common_subsequence(a, b) -> int:
     return row[-1]
 
 
-@F.pandas_udf("length int, value string, start int")
-def common_substring(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """Longest common substring of two texts by characters."""
-    rows = []
-    for x, y in zip(a, b, strict=True):
-        if x is None or y is None:
-            rows.append((None, None, None))
-        else:
-            n, at = longest_common_run(x, y)
-            rows.append((n, x[at : at + n], at))
-    return pd.DataFrame(rows, columns=["length", "value", "start"]).astype({"length": "Int32", "start": "Int32"})
+def common_substring(a: Column | str, b: Column | str) -> Column:
+    """struct(length, value, start) of the longest common substring of two texts by characters."""
 
+    def run(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x, y in zip(left, right, strict=True):
+            n, at = (None, None) if x is None or y is None else longest_common_run(x, y)
+            rows.append((n, None if n is None else x[at : at + n], at))
+        return pd.DataFrame(rows, columns=["length", "value", "start"]).astype({"length": "Int32", "start": "Int32"})
 
-@F.pandas_udf("int")
-def common_subsequence(a: pd.Series, b: pd.Series) -> pd.Series:
+    return F.pandas_udf(run, "length int, value string, start int")(a, b)
+
+
+def common_subsequence(a: Column | str, b: Column | str) -> Column:
     """Length of the longest common subsequence of two token lists."""
-    return pd.Series([None if x is None or y is None else longest_common_subsequence(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="Int32")
+
+    def run(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else longest_common_subsequence(list(x), list(y)) for x, y in zip(left, right, strict=True)], dtype="Int32")
+
+    return F.pandas_udf(run, "int")(a, b)
 
 
 # English number words.
@@ -106,6 +111,52 @@ def words_to_number(text: str) -> float | None:
     return total + current + sum(d / 10**i for i, d in enumerate(digits, 1))
 
 
-@F.pandas_udf("double")
-def to_number(x: pd.Series) -> pd.Series:
-    return x.map(words_to_number, na_action="ignore").astype("float64")
+def to_number(x: Column | str) -> Column:
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(words_to_number, na_action="ignore").astype("float64")
+
+    return F.pandas_udf(run, "double")(x)
+
+
+def stem(word: str) -> str:
+    """A light English stem: plural, -ed, -ing, -ly and doubled ends, by a vowel-aware rule; not a full Porter stemmer."""
+    w = word.lower()
+    has_vowel = lambda t: any(c in "aeiouy" for c in t)
+    if w.endswith("sses"):
+        w = w[:-2]
+    elif w.endswith("ies"):
+        w = w[:-2]
+    elif w.endswith("s") and not w.endswith(("ss", "us")) and has_vowel(w[:-2]):
+        w = w[:-1]
+    for end in ("eed", "ing", "ed", "ly"):
+        if w.endswith(end) and has_vowel(w[: -len(end)]) and len(w) - len(end) > 1:
+            w = w[: -len(end)] + ("ee" if end == "eed" else "")
+            if end in ("ing", "ed"):
+                if w.endswith(("at", "bl", "iz")):
+                    w += "e"
+                elif len(w) > 2 and w[-1] == w[-2] and w[-1] not in "lsz":
+                    w = w[:-1]
+            break
+    return w[:-1] + "i" if len(w) > 2 and w.endswith("y") and has_vowel(w[:-1]) else w
+
+
+def stems(tokens: Column | str) -> Column:
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else [stem(w) for w in t])
+
+    return F.pandas_udf(run, "array<string>")(tokens)
+
+
+def original_span(pred: Column | str, text: Column | str) -> Column:
+    """The part of the original text whose letters and digits are those of a normalised prediction; the prediction where there is none."""
+
+    def find(p: str, t: str) -> str:
+        plain = [(i, c) for i, ch in enumerate(t) for c in unicodedata.normalize("NFD", ch).lower() if c.isalnum()]
+        want = "".join(c for ch in p for c in unicodedata.normalize("NFD", ch).lower() if c.isalnum())
+        at = "".join(c for _, c in plain).find(want) if want else -1
+        return p if at < 0 else t[plain[at][0] : plain[at + len(want) - 1][0] + 1]
+
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else find(x, y) for x, y in zip(a, b, strict=True)])
+
+    return F.pandas_udf(run, "string")(pred, text)
