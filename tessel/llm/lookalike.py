@@ -44,6 +44,7 @@ TOKEN = regex.compile(r"[\p{L}\p{M}]+")
 def plain_forms() -> dict[int, str]:
     """Code points that look like a plain form, by the Unicode data; blanks to one blank, invisible characters to none."""
     table: dict[int, str] = {}
+    drawn = set("".join(CLASSES))
     for point in range(sys.maxunicode + 1):
         char = chr(point)
         kind = unicodedata.category(char)
@@ -54,7 +55,7 @@ def plain_forms() -> dict[int, str]:
             table[point] = " "
         elif kind in ("Zl", "Zp"):
             table[point] = "\n"
-        elif (form := unicodedata.decomposition(char)) and form.startswith(KINDS) and char != "ſ":
+        elif (form := unicodedata.decomposition(char)) and form.startswith(KINDS) and char != "ſ" and char not in drawn:
             table[point] = unicodedata.normalize("NFKD", char)
     table[ord("\t")] = " "
     return table
