@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 import sys
 import unicodedata
 from collections import Counter
@@ -37,7 +38,17 @@ CLASSES = (
 FILLERS = "͏ᅟᅠ឴឵᠋᠌᠍᠏ㅤﾠ"
 KINDS = ("<wide>", "<narrow>", "<noBreak>", "<compat>", "<initial>", "<medial>", "<final>", "<isolated>", "<small>", "<vertical>")
 SWITCH, UNSEEN, KEPT = 8.0, 14.0, 200_000
-TOKEN = regex.compile(r"[\p{L}\p{M}]+")
+
+
+def _runs(kinds: str) -> str:
+    """A character class of the 16-bit code points whose category begins with one of the letters."""
+    inside = [unicodedata.category(chr(p))[0] in kinds for p in range(1 << 16)]
+    edges = [p for p in range(1 << 16) if inside[p] != (p > 0 and inside[p - 1])]
+    return "".join(f"\\u{a:04x}-\\u{b - 1:04x}" for a, b in zip(edges[::2], edges[1::2], strict=False))
+
+
+#: Letters and marks of 16 bits, which hold all letters of classes; such a class is looked up in a bitmap.
+TOKEN = re.compile(f"[{_runs('LM')}]+")
 
 
 @cache
@@ -64,14 +75,20 @@ def plain_forms() -> dict[int, str]:
 _JOINED = regex.compile(r"(?<=\p{So})‍(?=\p{So})")
 
 
+def plain(text: str) -> str:
+    """Plain forms for the few different characters of a text that have one; whole texts are not walked in Python."""
+    table = plain_forms()
+    for char in set(text):
+        if ord(char) in table:
+            text = text.replace(char, table[ord(char)])
+    return text
+
+
 def normalise(text: str) -> str:
     """Decomposed (NFD) text with plain forms only; blanks at the ends of lines and of the text dropped."""
     if not text.isascii():
         keep = "‍" in text and _JOINED.search(text)
-        if keep:
-            text = "‍".join(part.translate(plain_forms()) for part in _JOINED.split(text))
-        else:
-            text = text.translate(plain_forms())
+        text = "‍".join(map(plain, _JOINED.split(text))) if keep else plain(text)
         text = unicodedata.normalize("NFD", text)
     elif not text.isprintable():
         text = text.translate({p: s for p, s in plain_forms().items() if p < 128} | {13: "\r"})
@@ -137,7 +154,8 @@ class Reader:
             sums[own, a] += n
         self.cost = {(own, a, b): -math.log(n / sums[own, a]) for own, a, b, n in model}
         self.first, self.members = classes()
-        self.kept: dict[str, str] = {}
+        self.kept: dict[str, str] = {}  # by shape
+        self.seen: dict[str, str] = {}  # by token as it stands
 
     def _step(self, own: str, a: str, b: str) -> float:
         return self.cost.get((own, a, b), UNSEEN)
@@ -169,7 +187,14 @@ class Reader:
         return min(states.items(), key=lambda x: x[1][0] + self._step(x[0][0], x[0][1], "$"))[1][1]
 
     def text(self, text: str) -> str:
-        return unicodedata.normalize("NFC", TOKEN.sub(lambda m: self.token(m[0]), normalise(text)))
+        seen = self.seen
+        if len(seen) > KEPT:
+            seen.clear()
+        form = normalise(text)
+        for token in TOKEN.findall(form):
+            if token not in seen:
+                seen[token] = self.token(token)
+        return unicodedata.normalize("NFC", TOKEN.sub(lambda m: seen[m[0]], form))
 
 
 def model_rows(df: DataFrame) -> list[tuple[str, str, str, int]]:
