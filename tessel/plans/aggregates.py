@@ -377,10 +377,10 @@ def i03_error_sampling(spark: SparkSession, path: str) -> DataFrame:
     return acc.select("grp", "task", F.round((1 - F.col("acc")) / F.sum(1 - F.col("acc")).over(Window.partitionBy("grp")), 6).alias("p"))
 
 
-@query("""with d as (select doc_id, string_split(lower(text), ' ') as w from documents where text is not null and doc_kind = 'passage'), e as (select doc_id, w, unnest(range(1, len(w))) as i from d) select doc_id, count(*) as n, cast(min(i - 1) as integer) as first from e where w[i] = 'is' and w[i + 1] = 'a' group by doc_id""")
+@query("""with d as (select doc_id, string_split(lower(text), ' ') as w from documents where text is not null), e as (select doc_id, w, unnest(range(1, len(w))) as i from d) select doc_id, count(*) as n, cast(min(i - 1) as integer) as first from e where w[i] = 'is' and w[i + 1] = 'a' group by doc_id""")
 def i14_find_sublist(spark: SparkSession, path: str) -> DataFrame:
     """Occurrences of a token pair in every passage."""
     tokens = F.split(F.lower("text"), " ")
     at = T.let(tokens, lambda w: F.filter(F.transform(w, lambda x, i: F.when((x == "is") & (F.get(w, i + 1) == "a"), i)), lambda i: i.isNotNull()))
-    rows = table(spark, path, "documents").where("text is not null and doc_kind = 'passage'").select("doc_id", at.alias("at")).where("size(at) > 0")
+    rows = table(spark, path, "documents").where("text is not null").select("doc_id", at.alias("at")).where("size(at) > 0")
     return rows.select("doc_id", F.size("at").cast("bigint").alias("n"), F.array_min("at").alias("first"))

@@ -249,10 +249,10 @@ def i06_pairs_shuffled(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("o_orderkey", F.xxhash64(F.lit(7), "pair").alias("slot"), (F.col("o_orderkey") % 2).alias("side"))
 
 
-@query("with w as (select doc_id, string_split(text, ' ') as w from documents where doc_kind = 'passage' and text is not null) select doc_id, array_to_string(list_concat(w[1:2], ['<mask>'], w[5:]), ' ') as masked, array_to_string(w[3:4], ' ') as removed from w where len(w) > 4")
+@query("with w as (select doc_id, string_split(text, ' ') as w from documents where text is not null) select doc_id, array_to_string(list_concat(w[1:2], ['<mask>'], w[5:]), ' ') as masked, array_to_string(w[3:4], ' ') as removed from w where len(w) > 4")
 def i12_mask_span(spark: SparkSession, path: str) -> DataFrame:
     """The third and fourth word replaced by one mask."""
-    rows = table(spark, path, "documents").where("doc_kind = 'passage' and text is not null").select("doc_id", F.split("text", " ").alias("w")).where("size(w) > 4")
+    rows = table(spark, path, "documents").where("text is not null").select("doc_id", F.split("text", " ").alias("w")).where("size(w) > 4")
     masked = F.concat(F.slice("w", 1, 2), F.array(F.lit("<mask>")), F.slice(F.col("w"), F.lit(5), F.size("w")))
     return rows.select("doc_id", F.array_join(masked, " ").alias("masked"), F.array_join(F.slice("w", 3, 2), " ").alias("removed"))
 
