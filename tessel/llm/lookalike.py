@@ -22,7 +22,7 @@ import sys
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
 import regex
@@ -197,6 +197,12 @@ class Reader:
         return unicodedata.normalize("NFC", TOKEN.sub(lambda m: seen[m[0]], form))
 
 
+@lru_cache(maxsize=2)
+def reader_of(model: tuple[tuple[str, str, str, int], ...]) -> Reader:
+    """One per model and Python worker, so later tasks find the tokens of earlier ones."""
+    return Reader(list(model))
+
+
 def model_rows(df: DataFrame) -> list[tuple[str, str, str, int]]:
     """The bigram model on the driver: bounded by the alphabets of four scripts."""
     return sorted((r["script"], r["a"], r["b"], r["n"]) for r in bigrams(df).collect())
@@ -205,10 +211,10 @@ def model_rows(df: DataFrame) -> list[tuple[str, str, str, int]]:
 def consistent_text(df: DataFrame, key: str = "doc_id", text: str = "text", model: list | None = None) -> DataFrame:
     """(key, text): the consistent form of every text, null for null."""
     model = model_rows(df) if model is None else model
-    reader = df.sparkSession.sparkContext.broadcast(model)
+    reader = df.sparkSession.sparkContext.broadcast(tuple(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Reader(reader.value)
+        own = reader_of(reader.value)
         for batch in batches:
             forms = [None if (t := x.as_py()) is None else own.text(t) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(forms, pa.string())], names=[key, text])
@@ -223,10 +229,10 @@ def lookalike_pairs(df: DataFrame) -> DataFrame:
     more variants are joined, variant against other variant, then by their documents: no pair of equal texts is made
     on the way, so a text that fills a third of the rows costs its true pairs only.
     """
-    model = df.sparkSession.sparkContext.broadcast(model_rows(df))
+    model = df.sparkSession.sparkContext.broadcast(tuple(model_rows(df)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Reader(model.value)
+        own = reader_of(model.value)
         for batch in batches:
             ids, forms, raws = [], [], []
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
