@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,20 +57,35 @@ def threshold_sweep(df: DataFrame, score: str, label: str, thresholds: list[floa
     return sums.select("threshold", (F.col("p") + F.col("q")).alias("n"), (F.col("tp") + F.col("q") - F.col("fp")).alias("right"), "tp", "fp", (F.col("p") - F.col("tp")).alias("fn"))
 
 
+def _uniform(key: np.ndarray, salt: int) -> np.ndarray:
+    """Numbers in [0, 1) that depend on 64-bit keys and a salt only."""
+    x = key.view("u8") ^ (np.full(1, salt + 1, "u8") * np.uint64(0x9E3779B97F4A7C15))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype("f8") / 2**53
+
+
 def paired_bootstrap(df: DataFrame, key: str, a: str, b: str, samples: int = 200, seed: int = 7) -> DataFrame:
     """One row: share of resamples in which system a, b or neither has the greater mean, and the sorted-index 95 % interval of the difference.
 
     Each row draws its number of occurrences per resample from a Poisson distribution by a hash of (seed, resample, key), so resamples need no shuffle of
-    rows: sums are pre-aggregated in each partition. The result does not depend on the partitioning.
+    rows: integer sums are made per batch and only they are shuffled. The result does not depend on the partitioning.
     """
-    draws = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda i: F.struct(i.alias("i"), (F.pmod(F.xxhash64(F.lit(seed), i, F.col(key)), F.lit(1 << 30)) / (1 << 30)).alias("u")))
-    count = F.lit(0)
-    total, term = 0.0, 0.36787944117144233
-    for k in range(1, 8):
-        total, term = total + term, term / k
-        count = count + (F.col("d.u") >= total).cast("int")
-    rows = df.select(key, (F.col(a) - F.col(b)).alias("diff")).where("diff is not null").withColumn("d", F.explode(draws)).select("d.i", "diff", count.alias("n"))
-    means = rows.groupBy("i").agg((F.sum(F.round(F.col("diff") * F.col("n") * 1_000_000).cast("bigint")) / F.sum("n") / 1_000_000).alias("m"))
+    below = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((samples, 2), "i8")
+        for batch in batches:
+            keys, units = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for i in range(samples):
+                n = np.searchsorted(below, _uniform(keys, seed * 1_000_003 + i), "right")
+                total[i] += (int((n * units).sum()), int(n.sum()))
+        columns = [pa.array(np.arange(samples), pa.int32()), pa.array(total[:, 0]), pa.array(total[:, 1])]
+        yield pa.RecordBatch.from_arrays(columns, names=["i", "s", "n"])
+
+    rows = df.select(F.xxhash64(key).alias("h"), F.round((F.col(a) - F.col(b)) * 1_000_000).cast("bigint").alias("u")).where("u is not null")
+    sums = rows.mapInArrow(run, "i int, s bigint, n bigint").groupBy("i").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).where("n > 0")
+    means = sums.select((F.col("s") / F.col("n") / 1_000_000).alias("m"))
     inner = means.agg(F.array_sort(F.collect_list("m")).alias("s"), F.avg((F.col("m") > 0).cast("double")).alias("a_wins"), F.avg((F.col("m") < 0).cast("double")).alias("b_wins"))
     at = lambda q: F.element_at("s", F.greatest(F.lit(1), F.floor(F.size("s") * F.lit(q)).cast("int")))
     return inner.select("a_wins", "b_wins", (1 - F.col("a_wins") - F.col("b_wins")).alias("ties"), at(0.025).alias("low"), at(0.975).alias("high"))
