@@ -34,36 +34,37 @@ def scored(df: DataFrame, score: str, unscored: tuple[float, ...] = (-1.0,)) ->
 
 
 def boundary_bands(rows: DataFrame, group: list[str], item: str, n: int, bucket: Column) -> DataFrame:
-    """(bucket, least): the lowest band that any group of the bucket still needs; at most ``BUCKETS`` rows."""
-    masks = rows.groupBy(*group, "band").agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(item), F.lit(64)).cast("int"))).alias("mask")
-    )
-    per_group = masks.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct((-F.col("band")).alias("down"), F.bit_count("mask").alias("m")))).alias("bands"))
+    """(_bucket, _least): the lowest ``_band`` that any group of the bucket still needs; at most ``BUCKETS`` rows."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(item), F.lit(64)).cast("int"))
+    masks = rows.groupBy(*group, "_band").agg(F.bit_count(F.bit_or(bit)).alias("_items"))
+    down = F.struct((-F.col("_band")).alias("down"), F.col("_items").alias("items"))
+    per_group = masks.groupBy(*group).agg(F.array_sort(F.collect_list(down)).alias("_bands"))
     # from the top band down: the band at which the sum first reaches n, else 0
-    walked = F.aggregate(
-        "bands",
-        F.struct(F.lit(0).alias("sum"), F.lit(0).alias("least")),
-        lambda acc, x: F.when(acc["sum"] >= n, acc).otherwise(
-            F.struct((acc["sum"] + x["m"]).cast("int").alias("sum"), F.when(acc["sum"] + x["m"] >= n, -x["down"]).otherwise(0).cast("int").alias("least"))
-        ),
-    )
-    return per_group.groupBy(bucket.alias("bucket")).agg(F.min(walked["least"]).alias("least"))
+
+    def step(acc: Column, x: Column) -> Column:
+        total = (acc["sum"] + x["items"]).cast("int")
+        least = F.when(total >= n, -x["down"]).otherwise(0).cast("int")
+        return F.when(acc["sum"] >= n, acc).otherwise(F.struct(total.alias("sum"), least.alias("least")))
+
+    walked = F.aggregate("_bands", F.struct(F.lit(0).alias("sum"), F.lit(0).alias("least")), step)
+    return per_group.groupBy(bucket.alias("_bucket")).agg(F.min(walked["least"]).alias("_least"))
 
 
 def top_n(df: DataFrame, group: list[str], item: str, score: str, order: list[Column], n: int) -> DataFrame:
-    """The first ``n`` items of every group by ``score`` descending, then ``order``; adds ``rank`` from 1.
+    """The first ``n`` items of every group by ``score`` descending, then ``order``; adds ``rank`` from 1 in place of any column of that name.
 
-    ``df`` holds scored rows only (see :func:`scored`); its columns must not be named band, bucket, least or rank.
+    ``df`` holds scored rows only (see :func:`scored`). Its other columns are kept; names with a leading underscore of this module (_band, _bucket, _least,
+    _copy) must not be among those of group, item, score and order, and are dropped elsewhere.
     """
-    df = df.where(" and ".join(f"`{c}` is not null" for c in (*group, item)))
+    df = df.drop("_band", "_bucket", "_least", "_copy").where(" and ".join(f"`{c}` is not null" for c in (*group, item)))
     cuts = df.agg(F.percentile_approx(score, F.array(*[F.lit(c) for c in CUTS[1:]]), 1000).alias("cuts")).first()["cuts"] or []
     band = F.lit(0)
     for value in sorted(set(cuts)):
         band = band + (F.col(score) >= F.lit(value)).cast("int")
     bucket = F.pmod(F.xxhash64(*group), F.lit(BUCKETS))
-    banded = df.withColumn("band", band)
-    least = boundary_bands(banded.select(*group, item, "band"), group, item, n, bucket)
-    left = banded.withColumn("bucket", bucket).join(F.broadcast(least), "bucket").where("band >= least").drop("bucket", "band", "least")
+    banded = df.withColumn("_band", band)
+    least = boundary_bands(banded.select(*group, item, "_band"), group, item, n, bucket)
+    left = banded.withColumn("_bucket", bucket).join(F.broadcast(least), "_bucket").where("_band >= _least").drop("_bucket", "_band", "_least")
     by = [F.col(score).desc(), *order]
-    once = left.withColumn("copy", F.row_number().over(Window.partitionBy(*group, item).orderBy(*by))).where("copy = 1").drop("copy")
+    once = left.withColumn("_copy", F.row_number().over(Window.partitionBy(*group, item).orderBy(*by))).where("_copy = 1").drop("_copy")
     return once.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*by))).where(F.col("rank") <= n)

@@ -80,7 +80,7 @@ def test_top_n_against_brute_force(spark):
         g = 0 if rng.random() < 0.34 else rng.randrange(1, 150)
         rows.append((g, i, rng.choice([None, float("nan"), -1.0, -2.0, 0.0, 0.5, rng.random(), rng.random()]), rng.choice([None, 0.1, 0.2])))
     rows += rng.choices(rows, k=800) + [(None, 1, 0.5, 0.1), (7, None, 0.9, 0.1)]
-    df = spark.createDataFrame(rows, "g int, item bigint, s double, t double").withColumn("extra", F.lit("x"))
+    df = spark.createDataFrame(rows, "g int, item bigint, s double, t double").withColumns({c: F.lit("x") for c in ("extra", "band", "bucket", "least", "copy", "_least", "mask")})
     run = lambda d: {(r.g, r.item) for r in top_n.top_n(top_n.scored(d, "s"), ["g"], "item", "s", [F.col("t").desc_nulls_last(), F.col("item").asc()], 5).collect()}
     assert run(df) == brute_top(rows, 5) == run(df.repartition(7))
     assert run(df.limit(0)) == set() == run(df.where("s = -1"))
@@ -89,7 +89,7 @@ def test_top_n_against_brute_force(spark):
 
 def test_low_bands_are_dropped_before_the_ranking(spark):
     df = spark.range(20_000).select(F.lit(1).alias("g"), F.col("id").alias("item"), (F.col("id") / 20_000).alias("s"))
-    banded = df.withColumn("band", (F.col("s") >= 0.5).cast("int") + (F.col("s") >= 0.75).cast("int"))
+    banded = df.withColumn("_band", (F.col("s") >= 0.5).cast("int") + (F.col("s") >= 0.75).cast("int"))
     least = top_n.boundary_bands(banded, ["g"], "item", 5, F.lit(0))
     assert [tuple(r) for r in least.collect()] == [(0, 2)]
 
