@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("nested", "texts", "records", "joins", "aggregates", "metrics", "retrieval", "files", "builders", "evaluation", "streams")
+MODULES = ("nested", "texts", "records", "joins", "aggregates", "metrics", "retrieval", "files", "builders", "evaluation", "streams", "rest")
 
 
 def load() -> None:
