@@ -33,10 +33,10 @@ def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def nearest_by_words(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(uid, nearest, score): for every query (uid, words) the row of the corpus with the highest cosine of distinct words, the least uid of equals.
+def nearest_by_words(queries: DataFrame, corpus: DataFrame, weighted: bool = False) -> DataFrame:
+    """(uid, nearest, score): for every query (uid, words) the row of the corpus with the highest cosine of its words, the least uid of equals.
 
-    ``words`` are distinct 64-bit hashes. Counts of common words live in one matrix of a block and a few hundred rows at a time, so a word that every row
+    ``words`` are distinct 64-bit hashes; with ``weighted`` a list ``weights`` of doubles stands beside them, else each counts one. Counts of common words live in one matrix of a block and a few hundred rows at a time, so a word that every row
     holds makes no list of pairs; only one candidate per query leaves a task. Queries without a common word with any row have no result.
     """
 
@@ -47,19 +47,24 @@ def nearest_by_words(queries: DataFrame, corpus: DataFrame) -> DataFrame:
         (qw, qo), (cw, co) = _flat(q.column("words")), _flat(c.column("words"))
         quid, cuid, qn, cn = q.column("uid").to_numpy(), c.column("uid").to_numpy(), np.diff(qo), np.diff(co)
         alphabet, code = np.unique(qw, return_inverse=True)
-        owner = np.repeat(np.arange(len(quid)), qn)[np.argsort(code, kind="stable")]
+        by_word = np.argsort(code, kind="stable")
+        owner = np.repeat(np.arange(len(quid)), qn)[by_word]
+        qv, cv = (_flat(t.column("weights"))[0] if weighted else np.ones(len(w)) for t, w in ((q, qw), (c, cw)))
+        qs, cs = (np.bincount(np.repeat(np.arange(len(n)), n), weights=v * v, minlength=len(n)) for v, n in ((qv, qn), (cv, cn)))
+        qv = qv[by_word]
         first = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(alphabet)))])
         best, at = np.zeros(len(quid)), np.full(len(quid), np.iinfo("i8").max)
         for lo in range(0, len(cuid), 250):
             hi = min(lo + 250, len(cuid))
             w = cw[co[lo] : co[hi]]
             k = np.minimum(np.searchsorted(alphabet, w), len(alphabet) - 1)
-            row = np.repeat(np.arange(hi - lo), cn[lo:hi])[alphabet[k] == w]
-            k = k[alphabet[k] == w]
+            hit = alphabet[k] == w
+            row, v, k = np.repeat(np.arange(hi - lo), cn[lo:hi])[hit], cv[co[lo] : co[hi]][hit], k[hit]
             n = first[k + 1] - first[k]
             pos = np.repeat(first[k] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            same = np.bincount(owner[pos] * (hi - lo) + np.repeat(row, n), minlength=len(quid) * (hi - lo)).reshape(len(quid), hi - lo)
-            score = same / np.sqrt(qn[:, None] * cn[None, lo:hi])
+            cell = owner[pos] * (hi - lo) + np.repeat(row, n)
+            same = np.bincount(cell, weights=qv[pos] * np.repeat(v, n), minlength=len(quid) * (hi - lo)).reshape(len(quid), hi - lo)
+            score = same / np.sqrt(qs[:, None] * cs[None, lo:hi])
             top = score.max(axis=1)
             least = np.where(score == top[:, None], cuid[None, lo:hi], np.iinfo("i8").max).min(axis=1)
             better = (top > best) | ((top == best) & (top > 0) & (least < at))
@@ -67,7 +72,7 @@ def nearest_by_words(queries: DataFrame, corpus: DataFrame) -> DataFrame:
         hit = best > 0
         return pa.table([pa.array(quid[hit]), pa.array(at[hit]), pa.array(best[hit])], schema=schema)
 
-    found = _pairs(queries, corpus, ("words",)).applyInArrow(run, "uid bigint, nearest bigint, score double")
+    found = _pairs(queries, corpus, ("words", "weights") if weighted else ("words",)).applyInArrow(run, "uid bigint, nearest bigint, score double")
     top = found.groupBy("uid").agg(F.max(F.struct("score", (-F.col("nearest")).alias("n"))).alias("b"))
     return top.select("uid", (-F.col("b.n")).alias("nearest"), F.col("b.score").alias("score"))
 

@@ -159,3 +159,114 @@ def s14_question_file(spark: SparkSession, path: str) -> DataFrame:
     rows = ranking(spark, path).where("question <> '' and size(answers) > 0")
     files.write_qa(rows.select("question", qa.encode_answers(F.col("answers")).alias("answer")), to := place(spark, "s14"))
     return files.read_qa(spark, to, lower=True).select("question", "answers", "corrupt")
+
+
+def _counted(tokens):
+    """struct(words, weights): distinct tokens as hashes with their counts."""
+    return T.let(tokens, lambda t: F.transform(F.array_distinct(t), lambda w: F.struct(F.xxhash64(w).alias("w"), F.size(F.filter(t, lambda x: x == w)).cast("double").alias("n"))))
+
+
+def _nearest_counts(spark: SparkSession, path: str, tokens) -> DataFrame:
+    rows = table(spark, path, "mdr_samples").where("split is not null and question <> ''")
+    q = rows.select(F.col("sample_uid").alias("uid"), (F.lower(F.trim("split")) == "train").alias("t"), _counted(tokens).alias("c")).distinct().where("size(c) > 0")
+    q = q.select("uid", "t", F.col("c.w").alias("words"), F.col("c.n").alias("weights"))
+    return SIM.nearest_by_words(q.where("not t"), q.where("t"), weighted=True)
+
+
+_TOK = r"[\p{L}\p{N}_]{2,}"
+_L01 = r"""d as (select distinct sample_uid as uid, lower(trim(split)) = 'train' as t, regexp_extract_all({0}, '[\p{{L}}\p{{N}}_]{{2,}}') as w from mdr_samples where split is not null and question <> ''),
+c as (select uid, t, term, count(*) as tf from (select uid, t, unnest(w) as term from d) group by all), n as (select uid, sum(tf * tf) as s from c group by uid),
+h as (select a.uid, b.uid as nearest, sum(a.tf * b.tf) as same from c a join c b on not a.t and b.t and a.term = b.term group by all)"""
+_PICK = "select uid, arg_max(nearest, (sc, -nearest)) as nearest, round(max(sc) * 100, 6) as score from (select h.uid, nearest, same / sqrt(cast(x.s as double) * y.s) as sc from h join n x using (uid) join n y on y.uid = h.nearest) group by uid"
+
+
+@query(f"with {_L01.format('lower(question)')} {_PICK}")
+def l01_count_cosine(spark: SparkSession, path: str) -> DataFrame:
+    """Nearest training question by cosine of word counts."""
+    found = _nearest_counts(spark, path, F.regexp_extract_all(F.lower("question"), F.lit(_TOK), F.lit(0)))
+    return found.select("uid", "nearest", F.round(F.col("score") * 100, 6).alias("score"))
+
+
+@query(None)
+def l06_ngram_loop(spark: SparkSession, path: str) -> DataFrame:
+    """The same for word n-grams of one and of two, as one table."""
+    words = F.regexp_extract_all(F.lower("question"), F.lit(_TOK), F.lit(0))
+    pairs = T.let(words, lambda t: F.transform(F.slice(t, 2, 1 << 20), lambda w, i: F.concat(F.get(t, i), F.lit(" "), w)))
+    of = lambda n, tokens: _nearest_counts(spark, path, tokens).select(F.lit(n).alias("n"), "uid", "nearest", F.round(F.col("score") * 100, 6).alias("score"))
+    return of(1, words).unionByName(of(2, pairs))
+
+
+@query(None)
+def l07_normalised_cosine(spark: SparkSession, path: str) -> DataFrame:
+    """The same over normalised questions."""
+    found = _nearest_counts(spark, path, F.regexp_extract_all(M.squad(F.col("question")), F.lit(_TOK), F.lit(0)))
+    return found.select("uid", "nearest", F.round(F.col("score") * 100, 6).alias("score"))
+
+
+@query(None)
+def l10_numeric_similarity(spark: SparkSession, path: str) -> DataFrame:
+    """Nearest training question by the numbers of both, for questions that have one."""
+    return _nearest_counts(spark, path, F.regexp_extract_all("question", F.lit("[0-9][0-9,.]*"), F.lit(0))).select("uid", "nearest", F.round(F.col("score") * 100, 6).alias("score"))
+
+
+@query("select l_returnflag as run, l_linestatus as dataset, 'discount' as metric, round(avg(l_discount) * 100, 6) as score from lineitem group by 1, 2 union all select l_returnflag, l_linestatus, 'tax', round(avg(l_tax) * 100, 6) from lineitem group by 1, 2")
+def a03_long_results(spark: SparkSession, path: str) -> DataFrame:
+    """Runs, datasets and metrics as one long table, read once."""
+    means = table(spark, path, "lineitem").groupBy(F.col("l_returnflag").alias("run"), F.col("l_linestatus").alias("dataset")).agg(F.avg("l_discount").alias("discount"), F.avg("l_tax").alias("tax"))
+    long = means.unpivot(["run", "dataset"], ["discount", "tax"], "metric", "score")
+    return long.withColumn("score", F.round(F.col("score") * 100, 6))
+
+
+@query(None)
+def a37_conflict_free_merges(spark: SparkSession, path: str) -> DataFrame:
+    """Of the merges of neighbouring gold paragraphs of a document, those kept by a greedy pass in order: a merge that shares a paragraph with a kept one goes. The fold is over a
+    document's few pairs."""
+    gold = positives(spark, path).select(F.col("p.title").alias("title")).distinct()
+    p = paras(spark, path).where("title is not null").join(gold, "title", "left_semi").select("doc_id", "para_idx")
+    pairs = p.groupBy("doc_id").agg(F.array_sort(F.collect_set("para_idx")).alias("i"))
+    steps = T.let(F.col("i"), lambda i: F.filter(F.transform(F.slice(i, 2, 1 << 20), lambda x, k: F.when(x == F.get(i, k) + 1, F.get(i, k))), lambda s: s.isNotNull()))
+    safe = F.aggregate(steps, F.array(F.lit(-2)), lambda acc, s: F.when(F.element_at(acc, -1) + 1 < s, F.concat(acc, F.array(s))).otherwise(acc))
+    return pairs.select("doc_id", F.filter(safe, lambda s: s >= 0).alias("merges")).where("size(merges) > 0")
+
+
+@query(None)
+def t24_word_to_number(spark: SparkSession, path: str) -> DataFrame:
+    """Single words of questions that are numbers, in digits or in words; a bare magnitude is none."""
+    from tessel.functions.udf import to_number
+    from tessel.plans.records import ranking
+
+    words = ranking(spark, path).where("question is not null").select("rr_uid", F.explode(F.array_distinct(T.words("question"))).alias("word"))
+    return words.select("rr_uid", "word", to_number("word").alias("number")).where("number is not null")
+
+
+@query(None)
+def m05_best_f1(spark: SparkSession, path: str) -> DataFrame:
+    """Mean number-aware F1 with the best gold, per source."""
+    from tessel.plans.metrics import m04_set_f1
+
+    rows = m04_set_f1(spark, path).join(predictions(spark, path).select("rr_uid", "src"), "rr_uid")
+    return rows.groupBy("src").agg(F.count("*").alias("n"), F.round(F.avg("f1") * 100, 4).alias("score"))
+
+
+@query(None)
+def s11_single_answers(spark: SparkSession, path: str) -> DataFrame:
+    """Question lines whose answer is kept as it is written."""
+    from tessel.plans.files import place
+    from tessel.plans.records import lines
+    from tessel.sources import files
+
+    files.write_qa(lines(spark, path).select(F.col("q").alias("question"), F.col("a").alias("answer")), to := place(spark, "s11"))
+    return files.read_qa(spark, to, many=False).select("question", F.col("answers")[0].alias("answer"))
+
+
+@query("select distinct c_custkey, c_name from customer")
+def s16_gzip_or_plain(spark: SparkSession, path: str) -> DataFrame:
+    """Plain and gzip JSON lines in one folder, read by extension."""
+    from tessel.plans.files import place
+    from tessel.sources import files
+
+    rows = table(spark, path, "customer").select("c_custkey", "c_name", "c_nationkey")
+    to = place(spark, "s16")
+    files.write_jsonl(rows.where("c_nationkey < 12"), f"{to}/plain")
+    files.write_jsonl(rows.where("c_nationkey >= 12"), f"{to}/gz", compression="gzip")
+    return files.read_jsonl(spark, f"{to}/*", "c_custkey bigint, c_name string, c_nationkey int").select("c_custkey", "c_name")
