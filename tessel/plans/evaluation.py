@@ -361,21 +361,31 @@ def i04_two_level_sampling(spark: SparkSession, path: str) -> DataFrame:
     return d.select("user_id", "event_type", F.round(F.col("v") / F.sum("v").over(Window.partitionBy("event_type")), 8).alias("p"))
 
 
-@query(None)
-def i02_hop_loop(spark: SparkSession, path: str) -> DataFrame:
-    """The hop loop: rows of a hop are read only for queries that have not stopped; the state is checkpointed every hop."""
-    rows = table(spark, path, "evidence_sents").where("not isnan(s2ev_score)").groupBy("query_uid", "hop").agg(F.max("s2ev_score").alias("s"))
-    rows = cut(rows)
+def hop_loop(evidence: DataFrame, hops: int = 4, enough: float = 0.9) -> DataFrame:
+    """(query_uid, hop, s, stop_reason): where each query of (query_uid, hop, s2ev_score) stops, one row per query.
+
+    A query stops at the first hop with enough evidence ('evsuff') or at its own last hop ('max'); a hop without a usable score has none and is passed unless it is the last.
+    """
+    usable = F.when(~F.isnan("s2ev_score"), F.col("s2ev_score"))
+    rows = evidence.where(F.col("hop") < hops).groupBy("query_uid", "hop").agg(F.max(usable).alias("s"))
+    rows = cut(rows.withColumn("last", F.max("hop").over(Window.partitionBy("query_uid"))))
     active = cut(rows.select("query_uid").distinct())
+    suff, last = F.coalesce(F.col("s") >= enough, F.lit(False)), F.col("hop") == F.col("last")
     stopped = None
-    for hop in range(4):
+    for hop in range(hops):
         now = rows.where(F.col("hop") == hop).join(active, "query_uid")
-        stop = now.where((F.col("s") >= 0.9) | F.lit(hop == 3)).select("query_uid", "hop", "s")
+        stop = now.where(suff | last).select("query_uid", "hop", "s", F.array_compact(F.array(F.when(suff, F.lit("evsuff")), F.when(last, F.lit("max")))).alias("stop_reason"))
         stopped = stop if stopped is None else stopped.unionByName(stop)
         active = cut(active.join(stop.select("query_uid"), "query_uid", "left_anti"))
     return cut(stopped)
 
 
+@query(None)
+def i02_hop_loop(spark: SparkSession, path: str) -> DataFrame:
+    """The hop loop: rows of a hop are read only for queries that have not stopped; the state is checkpointed every hop."""
+    return hop_loop(table(spark, path, "evidence_sents").select("query_uid", "hop", "s2ev_score"))
+
+
 @query(None)
 def i07_group_shuffle(spark: SparkSession, path: str) -> DataFrame:
     """A seeded order of groups; rows of a group stay together."""
