@@ -106,6 +106,39 @@ def nearest_by_vector(queries: DataFrame, corpus: DataFrame, k: int, exclude_sel
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def nearest_by_mean(queries: DataFrame, corpus: DataFrame, gate: float) -> DataFrame:
+    """(uid, other, score): for every query (uid, first, second) the other row with the highest mean of both inner products, exact, ties to the least uid.
+
+    Where the first product is below the gate both count as zero. All rows are compared, a few hundred at a time; one candidate per query and slice leaves a task.
+    """
+
+    def run(q: pa.Table, c: pa.Table) -> pa.Table:
+        schema = pa.schema([("uid", pa.int64()), ("other", pa.int64()), ("score", pa.float64())])
+        if not q.num_rows or not c.num_rows:
+            return schema.empty_table()
+        quid, cuid = q.column("uid").to_numpy(), c.column("uid").to_numpy()
+        order = np.argsort(cuid, kind="stable")
+        cuid = cuid[order]
+        halves = lambda t: [_flat(t.column(n))[0].reshape(t.num_rows, -1).astype("f8") for n in ("first", "second")]
+        (qa, qb), (ca, cb) = halves(q), (m[order] for m in halves(c))
+        best, at = np.full(len(quid), -np.inf), np.zeros(len(quid), "i8")
+        for lo in range(0, len(cuid), 500):
+            near = slice(lo, lo + 500)
+            one = np.round(qa @ ca[near].T, 9)
+            score = np.where(one >= gate, np.round((one + qb @ cb[near].T) / 2, 9), 0.0)
+            score[quid[:, None] == cuid[None, near]] = -np.inf
+            k = score.argmax(axis=1)
+            top = score[np.arange(len(quid)), k]
+            better = top > best
+            best, at = np.where(better, top, best), np.where(better, cuid[near][k], at)
+        hit = np.isfinite(best)
+        return pa.table([pa.array(quid[hit]), pa.array(at[hit]), pa.array(best[hit])], schema=schema)
+
+    found = _pairs(queries, corpus, ("first", "second")).applyInArrow(run, "uid bigint, other bigint, score double")
+    top = found.groupBy("uid").agg(F.max(F.struct("score", (-F.col("other")).alias("n"))).alias("b"))
+    return top.select("uid", (-F.col("b.n")).alias("other"), F.col("b.score").alias("score"))
+
+
 def inverted_index(paras: DataFrame, key: str, text: str) -> DataFrame:
     """(term, key, tf, dl): terms of lower-case letters and digits, with term frequency and length."""
     tokens = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))

@@ -140,13 +140,8 @@ def g20_filtered_builder(spark: SparkSession, path: str) -> DataFrame:
 def l05_combined_similarity(spark: SparkSession, path: str) -> DataFrame:
     """Nearest neighbour by the mean of two inner products, of the halves of a vector; a first half below a threshold counts as zero for both."""
     rows = table(spark, path, "embeddings").where("embedding is not null")
-    half = lambda s: F.slice("embedding", s, 32)
-    q = lambda s: rows.select(F.col("vec_id").alias("uid"), half(s).alias("vector"))
-    top = SIM.nearest_by_vector(q(1).where("uid % 20 = 0"), q(1), 20).where("score >= 0.1").select("uid", "other", F.col("score").alias("first"))
-    both = top.join(q(33).select("uid", F.col("vector").alias("v")), "uid").join(q(33).select(F.col("uid").alias("other"), F.col("vector").alias("w")), "other")
-    second = F.aggregate(F.zip_with("v", "w", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    scored = both.select("uid", "other", F.round((F.col("first") + second) / 2, 6).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("uid").orderBy(F.col("score").desc(), "other"))).where("rank = 1").drop("rank")
+    halves = rows.select(F.col("vec_id").alias("uid"), F.slice("embedding", 1, 32).alias("first"), F.slice("embedding", 33, 32).alias("second"))
+    return SIM.nearest_by_mean(halves.where("uid % 20 = 0"), halves, 0.1).select("uid", "other", F.round("score", 6).alias("score"))
 
 
 @query(None)

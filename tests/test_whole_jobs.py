@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import numpy as np
+
 from tests.conftest import DATA
 from tessel import catalog
+from tessel.operators import similarity
 from tessel.plans.evaluation import hop_loop
 
 QUERIES = catalog.queries()
@@ -35,3 +38,42 @@ def test_every_query_stops_once(spark):
     rows = spark.read.parquet(f"{DATA}/evidence_sents.parquet").select("query_uid", "hop", "s2ev_score").collect()
     got = QUERIES["i02_hop_loop"](spark, DATA).collect()
     assert len(got) == len({r.query_uid for r in rows}) and {r.query_uid: tuple(r)[1:] for r in got} == stops(rows)
+
+
+def best_means(rows, queries, gate):
+    """{query: (other, score)} over all pairs of rows (uid, first, second)."""
+    out = {}
+    for uid, a, b in queries:
+        for other, c, d in sorted(rows):
+            if other == uid:
+                continue
+            one = round(float(np.dot(a, c)), 9)
+            score = round((one + float(np.dot(b, d))) / 2, 9) if one >= gate else 0.0
+            if uid not in out or score > out[uid][1]:
+                out[uid] = (other, score)
+    return out
+
+
+def test_best_mean_is_sought_among_all_rows(spark, monkeypatch):
+    # the best row is 61st by the first half; query 2 is below the gate with all; query 3 has a negative mean above the gate
+    made = [(1, [1.0, 0.0], [1.0, 0.0]), (2, [-1.0, 0.0], [1.0, 0.0]), (3, [0.0, 1.0], [0.0, -9.0])] + [(i, [0.9, 0.1], [0.0, 1.0]) for i in range(100, 160)] + [(200, [0.5, 0.0], [1.0, 0.0])]
+    df = spark.createDataFrame(made, "uid bigint, first array<double>, second array<double>")
+    want = best_means(made, made[:3], 0.1)
+    assert want[1] == (200, 0.75) and want[2] == (1, 0.0) and want[3] == (1, 0.0)
+    for size in (20_000, 7):
+        monkeypatch.setattr(similarity, "SLICE", size)
+        assert {r.uid: (r.other, r.score) for r in similarity.nearest_by_mean(df.where("uid < 4"), df, 0.1).collect()} == want
+
+
+def test_combined_similarity(spark):
+    path = "/root/testdata/sf0.1"
+    made = [(r.vec_id, np.array(r.embedding[:32]), np.array(r.embedding[32:])) for r in spark.read.parquet(f"{path}/embeddings.parquet").where("embedding is not null").select("vec_id", "embedding").collect()]
+    uid, x, y = np.array([r[0] for r in made]), np.array([r[1] for r in made]), np.array([r[2] for r in made])
+    got = QUERIES["l05_combined_similarity"](spark, path).collect()
+    assert sorted(r.uid for r in got) == sorted(int(u) for u in uid if u % 20 == 0)
+    for r in got:
+        i = int(np.flatnonzero(uid == r.uid)[0])
+        one = x @ x[i]
+        score = np.where(one >= 0.1, (one + y @ y[i]) / 2, 0.0)
+        score[i] = -np.inf
+        assert abs(score.max() - r.score) < 1e-6 and score[uid == r.other][0] >= score.max() - 1e-8
