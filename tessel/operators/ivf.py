@@ -25,7 +25,7 @@ def centroids(rows: DataFrame, lists: int, rounds: int = 8, seed: int = 7) -> np
     return c
 
 
-def ivf_search(queries: DataFrame, rows: DataFrame, k: int, lists: int = 16, probes: int = 8) -> DataFrame:
+def ivf_search(queries: DataFrame, rows: DataFrame, k: int, lists: int = 16, probes: int = 12) -> DataFrame:
     """(uid, other, score, rank): k neighbours of each query within its nearest lists. Lists are joined by their number; the few queries are replicated
     to their probes, the rows are not."""
     c = rows.sparkSession.sparkContext.broadcast(centroids(rows, lists))

@@ -77,3 +77,14 @@ def test_combined_similarity(spark):
         score = np.where(one >= 0.1, (one + y @ y[i]) / 2, 0.0)
         score[i] = -np.inf
         assert abs(score.max() - r.score) < 1e-6 and score[uid == r.other][0] >= score.max() - 1e-8
+
+
+def test_recall_of_the_registered_index(spark):
+    for size in ("sf0.001", "sf0.01", "sf0.1"):
+        path = f"/root/testdata/{size}"
+        rows = spark.read.parquet(f"{path}/embeddings.parquet").where("embedding is not null").selectExpr("vec_id as uid", "embedding as vector")
+        exact = {(r.uid, r.other) for r in similarity.nearest_by_vector(rows.where("uid % 20 = 0"), rows, 10).collect()}
+        found = {(r.uid, r.other) for r in QUERIES["l19_ivf"](spark, path).collect()}
+        recall = len(exact & found) / len(exact)
+        print(f"l19_ivf {size}: recall@10 {recall:.3f}")
+        assert recall >= 0.9
