@@ -14,14 +14,14 @@ def _sizes(queries: DataFrame, corpus: DataFrame) -> tuple[int, int]:
     return max(1, -(-queries.count() // BLOCK)), max(1, -(-corpus.count() // SLICE))
 
 
-def _pairs(queries: DataFrame, corpus: DataFrame, columns: tuple[str, ...]):
+def _pairs(queries: DataFrame, corpus: DataFrame, columns: tuple[str, ...], of_corpus: tuple[str, ...] = ()):
     """Query blocks cogrouped with slices of the table: every slice meets every block once, both of bounded size."""
     blocks, slices = _sizes(queries, corpus)
-    queries, corpus = (x.select("uid", *columns).toDF("uid", *columns) for x in (queries, corpus))
+    queries, corpus = (x.select("uid", *names).toDF("uid", *names) for x, names in ((queries, columns), (corpus, (*columns, *of_corpus))))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     part = lambda n, c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     q = queries.select("uid", *columns, part(blocks, "uid").alias("block"), spread(slices).alias("slice"))
-    c = corpus.select("uid", *columns, part(slices, "uid").alias("slice"), spread(blocks).alias("block"))
+    c = corpus.select("uid", *columns, *of_corpus, part(slices, "uid").alias("slice"), spread(blocks).alias("block"))
     return q.groupBy("block", "slice").cogroup(c.groupBy("block", "slice"))
 
 
@@ -33,17 +33,19 @@ def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def nearest_by_words(queries: DataFrame, corpus: DataFrame, weighted: bool = False) -> DataFrame:
+def nearest_by_words(queries: DataFrame, corpus: DataFrame, weighted: bool = False, group: str | None = None) -> DataFrame:
     """(uid, nearest, score): for every query (uid, words) the row of the corpus with the highest cosine of its words, the least uid of equals.
 
     ``words`` are distinct 64-bit hashes; with ``weighted`` a list ``weights`` of doubles stands beside them, else each counts one. Counts of common words live in one matrix of a block and a few hundred rows at a time, so a word that every row
     holds makes no list of pairs; only one candidate per query leaves a task. Queries without a common word with any row have no result.
+    With ``group``, a text column of the corpus, the best row of every group is found: (uid, group, nearest, score), and a candidate per query and group leaves a task.
     """
 
     def run(q: pa.Table, c: pa.Table) -> pa.Table:
-        schema = pa.schema([("uid", pa.int64()), ("nearest", pa.int64()), ("score", pa.float64())])
+        schema = pa.schema([("uid", pa.int64()), *([(group, pa.string())] if group else []), ("nearest", pa.int64()), ("score", pa.float64())])
         if not q.num_rows or not c.num_rows:
             return schema.empty_table()
+        c = c.sort_by(group) if group else c
         (qw, qo), (cw, co) = _flat(q.column("words")), _flat(c.column("words"))
         quid, cuid, qn, cn = q.column("uid").to_numpy(), c.column("uid").to_numpy(), np.diff(qo), np.diff(co)
         alphabet, code = np.unique(qw, return_inverse=True)
@@ -53,28 +55,34 @@ def nearest_by_words(queries: DataFrame, corpus: DataFrame, weighted: bool = Fal
         qs, cs = (np.bincount(np.repeat(np.arange(len(n)), n), weights=v * v, minlength=len(n)) for v, n in ((qv, qn), (cv, cn)))
         qv = qv[by_word]
         first = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(alphabet)))])
-        best, at = np.zeros(len(quid)), np.full(len(quid), np.iinfo("i8").max)
-        for lo in range(0, len(cuid), 250):
-            hi = min(lo + 250, len(cuid))
-            w = cw[co[lo] : co[hi]]
-            k = np.minimum(np.searchsorted(alphabet, w), len(alphabet) - 1)
-            hit = alphabet[k] == w
-            row, v, k = np.repeat(np.arange(hi - lo), cn[lo:hi])[hit], cv[co[lo] : co[hi]][hit], k[hit]
-            n = first[k + 1] - first[k]
-            pos = np.repeat(first[k] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            cell = owner[pos] * (hi - lo) + np.repeat(row, n)
-            same = np.bincount(cell, weights=qv[pos] * np.repeat(v, n), minlength=len(quid) * (hi - lo)).reshape(len(quid), hi - lo)
-            score = same / np.sqrt(qs[:, None] * cs[None, lo:hi])
-            top = score.max(axis=1)
-            least = np.where(score == top[:, None], cuid[None, lo:hi], np.iinfo("i8").max).min(axis=1)
-            better = (top > best) | ((top == best) & (top > 0) & (least < at))
-            best, at = np.where(better, top, best), np.where(better, least, at)
-        hit = best > 0
-        return pa.table([pa.array(quid[hit]), pa.array(at[hit]), pa.array(best[hit])], schema=schema)
-
-    found = _pairs(queries, corpus, ("words", "weights") if weighted else ("words",)).applyInArrow(run, "uid bigint, nearest bigint, score double")
-    top = found.groupBy("uid").agg(F.max(F.struct("score", (-F.col("nearest")).alias("n"))).alias("b"))
-    return top.select("uid", (-F.col("b.n")).alias("nearest"), F.col("b.score").alias("score"))
+        names, start = np.unique(c.column(group).to_numpy(zero_copy_only=False), return_index=True) if group else ([None], np.zeros(1, "i8"))
+        ends, parts = [*start[1:], len(cuid)], []
+        for name, begin, end in zip(names, start, ends, strict=True):
+            best, at = np.zeros(len(quid)), np.full(len(quid), np.iinfo("i8").max)
+            for lo in range(int(begin), int(end), 250):
+                hi = min(lo + 250, int(end))
+                w = cw[co[lo] : co[hi]]
+                k = np.minimum(np.searchsorted(alphabet, w), len(alphabet) - 1)
+                hit = alphabet[k] == w
+                row, v, k = np.repeat(np.arange(hi - lo), cn[lo:hi])[hit], cv[co[lo] : co[hi]][hit], k[hit]
+                n = first[k + 1] - first[k]
+                pos = np.repeat(first[k] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                cell = owner[pos] * (hi - lo) + np.repeat(row, n)
+                same = np.bincount(cell, weights=qv[pos] * np.repeat(v, n), minlength=len(quid) * (hi - lo)).reshape(len(quid), hi - lo)
+                score = same / np.sqrt(qs[:, None] * cs[None, lo:hi])
+                top = score.max(axis=1)
+                least = np.where(score == top[:, None], cuid[None, lo:hi], np.iinfo("i8").max).min(axis=1)
+                better = (top > best) | ((top == best) & (top > 0) & (least < at))
+                best, at = np.where(better, top, best), np.where(better, least, at)
+            hit = best > 0
+            parts.append(pa.table([pa.array(quid[hit]), *([pa.array([name] * int(hit.sum()), pa.string())] if group else []), pa.array(at[hit]), pa.array(best[hit])], schema=schema))
+        return pa.concat_tables(parts)
+
+    columns = ("words", *(["weights"] if weighted else []))
+    kept = (group,) if group else ()
+    found = _pairs(queries, corpus, columns, kept).applyInArrow(run, f"uid bigint, {f'{group} string, ' if group else ''}nearest bigint, score double")
+    top = found.groupBy("uid", *kept).agg(F.max(F.struct("score", (-F.col("nearest")).alias("n"))).alias("b"))
+    return top.select("uid", *kept, (-F.col("b.n")).alias("nearest"), F.col("b.score").alias("score"))
 
 
 def nearest_by_vector(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:

@@ -81,12 +81,17 @@ hit as (select e.uid, e.src, e.n as en, x.uid as tuid, x.src as tsrc, x.n as tn,
 near as (select uid, src, arg_max(tsrc, (same / sqrt(en * tn), -tuid)) as tsrc, max(round(100 * same / sqrt(en * tn), 6)) as sim from hit group by uid, src)"""
 
 
-def nearest_train(spark: SparkSession, path: str) -> DataFrame:
-    """(uid, src, tsrc, sim): the nearest training question of every evaluation question by cosine of distinct words, the least key of equals."""
+def questions(spark: SparkSession, path: str) -> DataFrame:
+    """(uid, t, src, words): the distinct hashed words of every question, t for training."""
     rows = table(spark, path, "mdr_samples").where("split is not null and question <> ''")
     words = F.array_distinct(F.regexp_extract_all(F.lower("question"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
     hashed = F.transform(words, lambda w: F.xxhash64(w))
-    q = rows.select(F.col("sample_uid").alias("uid"), (F.lower(F.trim("split")) == "train").alias("t"), F.coalesce("src", F.lit("hotpotqa")).alias("src"), hashed.alias("words")).distinct()
+    return rows.select(F.col("sample_uid").alias("uid"), (F.lower(F.trim("split")) == "train").alias("t"), F.coalesce("src", F.lit("hotpotqa")).alias("src"), hashed.alias("words")).distinct()
+
+
+def nearest_train(spark: SparkSession, path: str) -> DataFrame:
+    """(uid, src, tsrc, sim): the nearest training question of every evaluation question by cosine of distinct words, the least key of equals."""
+    q = questions(spark, path)
     best = nearest_by_words(q.where("not t").where("size(words) > 0"), q.where("t").where("size(words) > 0"))
     held, train = q.where("not t").select("uid", "src"), q.where("t").select(F.col("uid").alias("nearest"), F.col("src").alias("tsrc"))
     return best.join(held, "uid").join(train, "nearest").select("uid", "src", "tsrc", F.round(100 * F.col("score"), 6).alias("sim"))

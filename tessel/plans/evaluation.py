@@ -16,7 +16,7 @@ from tessel.functions import text as T
 from tessel.operators import builders as B
 from tessel.operators import similarity as SIM
 from tessel.operators import statistics as ST
-from tessel.plans.aggregates import _EV, _SIM, evidence, nearest_train
+from tessel.plans.aggregates import _EV, _SIM, evidence, nearest_train, questions
 from tessel.plans.builders import _M, _POS, positives, samples
 from tessel.plans.joins import _DOCS, firsts, links, paras
 from tessel.plans.metrics import _EM, _F1, _PRED, m06_token_f1, m18_exact_match, m19_evidence_sets, predictions
@@ -341,10 +341,21 @@ def m27_combined_rule(spark: SparkSession, path: str) -> DataFrame:
 
 @query(f"with {_SIM} select src, tsrc, count(*) as n, round(avg(sim), 4) as mean from near group by src, tsrc")
 def l08_every_pair_of_sets(spark: SparkSession, path: str) -> DataFrame:
-    """Every evaluation source with every training source that is nearest to one of its questions."""
+    """Every evaluation source with the training sources that hold the nearest row of one of its questions; all pairs of sets are in l08_every_train_with_every_eval."""
     return nearest_train(spark, path).groupBy("src", "tsrc").agg(F.count("*").alias("n"), F.round(F.avg("sim"), 4).alias("mean"))
 
 
+@query(f"""with {_SIM}, best as (select uid, src, tsrc, max(round(100 * same / sqrt(en * tn), 6)) as sim from hit group by uid, src, tsrc), e as (select uid, src from q where not t), s as (select distinct src as tsrc from q where t)
+select src, tsrc, count(*) as n, round(avg(coalesce(sim, 0)), 4) as mean from e cross join s left join best using (uid, src, tsrc) group by src, tsrc""")
+def l08_every_train_with_every_eval(spark: SparkSession, path: str) -> DataFrame:
+    """Every evaluation source with every training source: the mean over all questions of the one of their best similarity in the other, zero where no word is common."""
+    q = questions(spark, path)
+    held, train = q.where("not t"), q.where("t").withColumnRenamed("src", "tsrc")
+    best = SIM.nearest_by_words(held.where("size(words) > 0"), train.where("size(words) > 0"), group="tsrc").select("uid", "tsrc", F.round(100 * F.col("score"), 6).alias("sim"))
+    every = held.select("uid", "src").crossJoin(F.broadcast(train.select("tsrc").distinct()))
+    return every.join(best, ["uid", "tsrc"], "left").groupBy("src", "tsrc").agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce("sim", F.lit(0.0))), 4).alias("mean"))
+
+
 @query(None)
 def l09_only_missing(spark: SparkSession, path: str) -> DataFrame:
     """Similarities of the queries that an earlier result lacks."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 
@@ -88,3 +88,10 @@ def test_recall_of_the_registered_index(spark):
         recall = len(exact & found) / len(exact)
         print(f"l19_ivf {size}: recall@10 {recall:.3f}")
         assert recall >= 0.9
+
+
+def test_every_pair_of_sets_holds_every_question(spark):
+    rows = {(r.sample_uid, r.split.strip().lower() == "train", r.src or "hotpotqa") for r in spark.read.parquet(f"{DATA}/mdr_samples.parquet").where("split is not null and question <> ''").collect()}
+    train, held = {s for _, t, s in rows if t}, Counter(s for _, t, s in rows if not t)
+    got = {(r.src, r.tsrc): r.n for r in QUERIES["l08_every_train_with_every_eval"](spark, DATA).collect()}
+    assert got == {(s, t): n for s, n in held.items() for t in train}
