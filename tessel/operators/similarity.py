@@ -147,6 +147,61 @@ def nearest_by_mean(queries: DataFrame, corpus: DataFrame, gate: float) -> DataF
     return top.select("uid", (-F.col("b.n")).alias("other"), F.col("b.score").alias("score"))
 
 
+def _cosines(q: pa.Table, c: pa.Table, name: str):
+    """f(lo, hi): 100 x cosine of every row of q with the rows lo to hi of c, of the (words, weights) structs of a column; zero where a side is empty."""
+    side = lambda t: (_flat(t.column(f"{name}_w"))[0], *_flat(t.column(f"{name}_n")))
+    (qw, qv, qo), (cw, cv, co) = side(q), side(c)
+    qn, cn = np.diff(qo), np.diff(co)
+    alphabet, code = np.unique(qw, return_inverse=True)
+    by_word = np.argsort(code, kind="stable")
+    owner, value = np.repeat(np.arange(len(qn)), qn)[by_word], qv[by_word]
+    qs, cs = (np.bincount(np.repeat(np.arange(len(n)), n), weights=v * v, minlength=len(n)) for v, n in ((qv, qn), (cv, cn)))
+    first = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(alphabet)))]).astype("i8")
+
+    def cosines(lo: int, hi: int) -> np.ndarray:
+        w = cw[co[lo] : co[hi]]
+        if not len(alphabet) or not len(w):
+            return np.zeros((len(qn), hi - lo))
+        k = np.minimum(np.searchsorted(alphabet, w), len(alphabet) - 1)
+        hit = alphabet[k] == w
+        row, v, k = np.repeat(np.arange(hi - lo), cn[lo:hi])[hit], cv[co[lo] : co[hi]][hit], k[hit]
+        n = first[k + 1] - first[k]
+        pos = np.repeat(first[k] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        same = np.bincount(owner[pos] * (hi - lo) + np.repeat(row, n), weights=value[pos] * np.repeat(v, n), minlength=len(qn) * (hi - lo)).reshape(len(qn), hi - lo)
+        return np.round(100 * same / np.sqrt(np.maximum(qs[:, None] * cs[None, lo:hi], 1)), 6)
+
+    return cosines
+
+
+def nearest_by_question_and_answer(queries: DataFrame, corpus: DataFrame, question: float, answer: float) -> DataFrame:
+    """(uid, nearest, score): for every query the row of the corpus with the highest mean of question and answer similarity (0 to 100), the least uid of equals.
+
+    Both sides have uid and, for q and a, words as hashes (``q_w``) with counts (``q_n``). A question similarity below its threshold counts as zero; where the answer's is below its own, both do.
+    """
+
+    def run(q: pa.Table, c: pa.Table) -> pa.Table:
+        schema = pa.schema([("uid", pa.int64()), ("nearest", pa.int64()), ("score", pa.float64())])
+        if not q.num_rows or not c.num_rows:
+            return schema.empty_table()
+        c = c.sort_by("uid")
+        quid, cuid = q.column("uid").to_numpy(), c.column("uid").to_numpy()
+        questions, answers = _cosines(q, c, "q"), _cosines(q, c, "a")
+        best, at = np.full(len(quid), -1.0), np.zeros(len(quid), "i8")
+        for lo in range(0, len(cuid), 250):
+            hi = min(lo + 250, len(cuid))
+            one, two = questions(lo, hi), answers(lo, hi)
+            score = np.where(two >= answer, (np.where(one >= question, one, 0.0) + two) / 2, 0.0)
+            k = score.argmax(axis=1)
+            top = score[np.arange(len(quid)), k]
+            better = top > best
+            best, at = np.where(better, top, best), np.where(better, cuid[lo:hi][k], at)
+        return pa.table([pa.array(quid), pa.array(at), pa.array(best)], schema=schema)
+
+    found = _pairs(queries, corpus, ("q_w", "q_n", "a_w", "a_n")).applyInArrow(run, "uid bigint, nearest bigint, score double")
+    top = found.groupBy("uid").agg(F.max(F.struct("score", (-F.col("nearest")).alias("n"))).alias("b"))
+    return top.select("uid", (-F.col("b.n")).alias("nearest"), F.col("b.score").alias("score"))
+
+
 def inverted_index(paras: DataFrame, key: str, text: str) -> DataFrame:
     """(term, key, tf, dl): terms of lower-case letters and digits, with term frequency and length."""
     tokens = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))

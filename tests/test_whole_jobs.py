@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -95,3 +96,24 @@ def test_every_pair_of_sets_holds_every_question(spark):
     train, held = {s for _, t, s in rows if t}, Counter(s for _, t, s in rows if not t)
     got = {(r.src, r.tsrc): r.n for r in QUERIES["l08_every_train_with_every_eval"](spark, DATA).collect()}
     assert got == {(s, t): n for s, n in held.items() for t in train}
+
+
+def cosine(a, b):
+    a, b = (Counter(re.findall(r"\w\w+", (x or "").lower())) for x in (a, b))
+    norm = sum(n * n for n in a.values()) * sum(n * n for n in b.values())
+    return round(100 * sum(n * b[w] for w, n in a.items()) / norm**0.5, 6) if norm else 0.0
+
+
+def test_question_and_answer_decide_together(spark):
+    rows = {r.sample_uid: r for r in spark.read.parquet(f"{DATA}/mdr_samples.parquet").where("split is not null and question <> ''").collect()}
+    side = lambda t: sorted((u, r.question, (r.answers or [None])[0]) for u, r in rows.items() if (r.split.strip().lower() == "train") == t)
+    want = {}
+    for uid, question, answer in side(False):
+        for other, q, a in side(True):
+            one, two = cosine(question, q), cosine(answer, a)
+            score = ((one if one >= 60 else 0.0) + two) / 2 if two >= 40 else 0.0
+            if uid not in want or score > want[uid][1] + 1e-9:
+                want[uid] = (other, score)
+    got = {r.uid: (r.nearest, r.score) for r in QUERIES["l04_question_and_answer"](spark, DATA).collect()}
+    assert set(got) == set(want) and {u: x[0] for u, x in got.items()} == {u: x[0] for u, x in want.items()}
+    assert all(abs(got[u][1] - want[u][1]) < 2e-6 for u in want) and any(x[1] > 0 for x in want.values())
