@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.near_dup import words
+from tessel.llm.near_dup import common_words, rare_first, words
 from tessel.session import cut
 
 SHARD, SLICE = 60_000, 20_000
@@ -315,35 +315,18 @@ def class_overlaps(classes: DataFrame, least: tuple[int, int] = (3, 4), shard: i
     num, den = least
     spark = classes.sparkSession
     sizes = {r["side"]: r["count"] for r in classes.groupBy("side").count().collect()}
-    common = classes.select(F.explode("words").alias("w")).groupBy("w").count().where(F.col("count") * COMMON > sum(sizes.values())).collect()
-    ranked = spark.sparkContext.broadcast({r["w"]: r["count"] for r in common})
+    ranked = spark.sparkContext.broadcast(common_words(classes, sum(sizes.values()), COMMON))
     shards, slices = (max(1, -(-sizes.get(side, 0) // most)) for side, most in (("eval", shard), ("train", slice_)))
 
-    def ordered(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Order keys of the words, sorted within each record: rare words by hash, then common ones by their counts."""
-        if isinstance(lists, pa.ChunkedArray):
-            lists = lists.combine_chunks()
-        offsets, flat = lists.offsets.to_numpy().astype("i8"), lists.values.to_numpy()
-        flat, offsets = flat[offsets[0] : offsets[-1]], offsets - offsets[0]
-        level = np.zeros(len(flat), "i8")
-        if ranked.value:
-            hashes = np.array(sorted(ranked.value), "i8")
-            levels = np.array([int(ranked.value[h]).bit_length() for h in hashes.tolist()], "i8")
-            at = np.minimum(np.searchsorted(hashes, flat), len(hashes) - 1)
-            level = np.where(hashes[at] == flat, levels[at], 0)
-        keys = (level << 57) | (flat.view("u8") >> np.uint64(7)).astype("i8")
-        record = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        return keys[np.lexsort((keys, record))], offsets
-
     def build(key: tuple, rows: pa.Table) -> pa.Table:
-        flat, offsets = ordered(rows.column("words"))
+        flat, offsets = rare_first(rows.column("words"), ranked.value)
         index = ShardIndex.build(rows.column("cid").to_numpy(), flat, offsets)
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "index": pa.array([index.dump()], pa.binary())})
 
     def stream(key: tuple, train: pa.Table, indexes: pa.Table) -> pa.Table:
         found = [(np.zeros(0, "i8"),) * 4]
         if train.num_rows:
-            flat, offsets = ordered(train.column("words"))
+            flat, offsets = rare_first(train.column("words"), ranked.value)
             cids = train.column("cid").to_numpy()
             for blob in indexes.column("index"):
                 q, *rest = search(ShardIndex.load(blob.as_py()), flat, offsets, num, den)

@@ -5,6 +5,7 @@ import re
 import string
 
 import numpy as np
+import pytest
 
 from tessel.llm import near_dup as N
 
@@ -56,6 +57,54 @@ def test_crowded_bands_lose_no_pair(spark, monkeypatch):
     assert {tuple(r) for r in N.record_pairs(*N.near_duplicates(df)).collect()} == brute(rows)
 
 
+@pytest.mark.parametrize("others", [1275, 4275, 22275])
+def test_records_of_one_template(spark, others):
+    """225 records share 18 words and differ in three rare words each, which one record elsewhere has too: every two of them have a share of exactly 0.75."""
+    rng = random.Random(9)
+    template = [f"t{i}" for i in range(18)]
+    rare = [[f"r{i}a", f"r{i}b", f"r{i}c"] for i in range(225)]
+    rows = [(i, " ".join(template + r), ["t0"]) for i, r in enumerate(rare)]
+    rows += [(10_000 + i, " ".join([f"o{rng.randrange(9000)}" for _ in range(18)] + (rare[i] if i < 225 else [])), [f"o{i}"]) for i in range(others)]
+    df = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], SCHEMA)
+    got = {tuple(r) for r in N.record_pairs(*N.near_duplicates(df)).collect()}
+    assert {(a, b) for a in range(225) for b in range(a + 1, 225)} <= got
+    assert all(b < 225 for _, b in got if _ < 225)
+
+
+@pytest.mark.parametrize("crowd", [4, 40])
+def test_split_and_salted_crowds_lose_no_pair(spark, monkeypatch, crowd):
+    """Crowds beyond the limit: records of one template above and below the share, and near copies of one record."""
+    monkeypatch.setattr(N, "CROWD", crowd)
+    template, base = [f"t{i}" for i in range(20)], [f"w{i}" for i in range(24)]
+    rows = [(i, " ".join(template[: 18 - 6 * (i % 2)] + [f"r{i}x{j}" for j in range(3 + 6 * (i % 2))]), ["t0"]) for i in range(200)]
+    rows += [(1000 + i, " ".join(base + [f"y{i % 60}", f"z{i}"]), ["w0"]) for i in range(150)] + [(100_000 + u, q, a) for u, q, a in corpus(6, 40)]
+    df = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], SCHEMA)
+    assert {tuple(r) for r in N.record_pairs(*N.near_duplicates(df)).collect()} == brute(rows)
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        a, b = (np.unique(rng.integers(0, 60, rng.integers(1, 50))) for _ in range(2))
+        bits = N.parities(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        assert np.bitwise_count((bits[0] ^ bits[1]).view("u8")) <= len(np.setxor1d(a, b))
+
+
+def test_prefixes_meet_above_the_share(spark):
+    """Two records above the share have a first word in common, whatever the counts."""
+    rows = [(i, " ".join(f"v{(i * k) % 23}" for k in range(1, 14)), ["v0"]) for i in range(60)]
+    members = N.record_words(spark.createDataFrame([(*r, 1, "x", 2) for r in rows], SCHEMA)).withColumnRenamed("uid", "cid")
+    words = {r.cid: set(r.words) for r in members.collect()}
+    hot = members.selectExpr("1L as band", "cid as a", "size(words) as n", "0L as bits")
+    keys = {}
+    for r in N._split(hot, members, 3, 4).collect():
+        keys.setdefault(r.cid, set()).add(r.band)
+    for a in words:
+        for b in words:
+            if 4 * len(words[a] & words[b]) >= 3 * len(words[a] | words[b]):
+                assert keys[a] & keys[b]
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(0)
     a = rng.integers(1, 2**62, 60)
