@@ -90,8 +90,20 @@ def test_top_n_against_brute_force(spark):
 def test_low_bands_are_dropped_before_the_ranking(spark):
     df = spark.range(20_000).select(F.lit(1).alias("g"), F.col("id").alias("item"), (F.col("id") / 20_000).alias("s"))
     banded = df.withColumn("_band", (F.col("s") >= 0.5).cast("int") + (F.col("s") >= 0.75).cast("int"))
-    least = top_n.boundary_bands(banded, ["g"], "item", 5, F.lit(0))
-    assert [tuple(r) for r in least.collect()] == [(0, 2)]
+    least = top_n.boundary_bands(banded, ["g"], "item", 5, 0)
+    assert [r["_least"] for r in least.collect()] == [2]
+
+
+@pytest.mark.parametrize("groups", [200_000, 2_000_000])
+def test_a_hot_group_loses_its_low_bands_beside_many_groups(spark, groups):
+    """However many groups there are: the hot group keeps its top band only, the small ones all their rows, and the ranks are right."""
+    hot = spark.range(1_000_000).select(F.lit(-1).cast("bigint").alias("g"), F.col("id").alias("item"), (F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000).alias("s"))
+    small = spark.range(groups).select(F.col("id").alias("g"), F.col("id").alias("item"), (F.pmod(F.xxhash64("id"), F.lit(997)) / 1000).alias("s"))
+    df = hot.unionByName(small)
+    left = dict(top_n.candidates(df, ["g"], "item", "s", 5).groupBy(F.col("g") == -1).count().collect())
+    assert left[False] == groups and left[True] < 20_000
+    best = [r.item for r in top_n.top_n(df, ["g"], "item", "s", [F.col("item").asc()], 5).where("g = -1").orderBy("rank").collect()]
+    assert best == [r.item for r in hot.orderBy(F.col("s").desc(), "item").limit(5).collect()]
 
 
 def brute_place(sizes, capacity):
