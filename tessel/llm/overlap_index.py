@@ -13,8 +13,9 @@ occurrences in the shard is located; the matches of a document are merged, their
 still be shared, and what is left is verified by the exact share of words. So no pair at or above the threshold is lost, whatever
 the order of the words, and no occurrence list of a frequent phrase is read.
 
-Equal word sequences are one class on either side. Shards and slices of the training stream have bounded sizes; each slice meets
-each shard once, as a stated query stream against blocks of an index. Only words in more than 1/1000 of the classes are broadcast (at
+Equal word sequences are one class on either side. Shards have a bounded size and are written to the shared folder; every task of the training
+stream reads them there one after the other, so that neither the index nor the stream is copied through a shuffle, and each slice of it meets each
+shard once, as a stated query stream against blocks of an index. Only words in more than 1/1000 of the classes are broadcast (at
 most 1000 mean lengths), the order among rarer ones is by hash.
 
 Defined cases: records without a split (or with another one than train, dev, test), question, word or answer are in no pair; case and outer
@@ -24,20 +25,28 @@ blanks of the split are ignored; answers that consist of ignored parts only are
 from __future__ import annotations
 
 import io
+import re
+import uuid
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessel.llm.near_dup import common_words, rare_first, words
-from tessel.session import cut
+from tessel.session import cut, shared_dir
 
+#: Evaluation classes of a shard, and training classes that are searched in a shard at a time.
 SHARD, SLICE = 60_000, 20_000
+#: Records of a task while the cluster has cores for more tasks; beyond that tasks hold a slice.
+TASK = 6_000
 COMMON = 1000
-LONG = 64
+#: Words of a run at most: longer matches are no rarer in practice, and tables of a question's parts stay linear in its length.
+SPAN = 64
 RUNS = 3
 
 
@@ -165,13 +174,14 @@ def parts_needed(size: int, runs: int, num: int, den: int) -> int:
 def search(index: ShardIndex, flat: np.ndarray, offsets: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(query, document, shared, united) of all pairs of one batch of queries and the shard at or above the share."""
     codes, out = index.codes(flat), []
-    for q in np.array_split(np.arange(len(offsets) - 1), max(1, len(offsets) // 2000)):
-        if not len(q):
-            continue
-        sizes = offsets[q + 1] - offsets[q]
-        for group in (q[sizes <= LONG], *[q[sizes > LONG][i : i + 1] for i in range(int((sizes > LONG).sum()))]):
-            if len(group):
-                out.append(_search(index, codes, offsets, group, num, den))
+    sizes = np.diff(offsets)
+    by_size = np.argsort(sizes, kind="stable")
+    at = 0
+    while at < len(by_size):  # questions of similar length, as many as their tables allow
+        to = at + max(1, min(2000, 130_000 // (int(sizes[by_size[at]]) + 1)))
+        to = at + max(1, int(np.searchsorted(sizes[by_size[at:to]], 2 * sizes[by_size[at]] + 8, "right")))
+        out.append(_search(index, codes, offsets, by_size[at:to], num, den))
+        at = to
     empty = np.zeros(0, "i8")
     return tuple(np.concatenate([empty, *[x[i] for x in out]]) for i in range(4))
 
@@ -182,8 +192,7 @@ def _search(index: ShardIndex, codes: np.ndarray, offsets: np.ndarray, q: np.nda
     table = np.zeros((rows, width), "i8")
     within = np.arange(width)[None, :] < size[:, None]
     table[within] = codes[np.concatenate([np.arange(offsets[i], offsets[i + 1]) for i in q])]
-    seeds = _long_seeds(index, table, size, num, den) if width > LONG else _seeds(index, table, size, num, den)
-    row, part, lo, hi = seeds
+    row, part, lo, hi = _seeds(index, table, size, num, den)
     count = hi - lo
     keep = count > 0
     row, part, lo, count = row[keep], part[keep], lo[keep], count[keep]
@@ -200,70 +209,61 @@ def _search(index: ShardIndex, codes: np.ndarray, offsets: np.ndarray, q: np.nda
 
 
 def _seeds(index: ShardIndex, table: np.ndarray, size: np.ndarray, num: int, den: int):
-    """The parts to locate: row, start, suffix interval. Finds the maximal matches to the left of every end."""
+    """The parts to locate: row, start, suffix interval. Finds the maximal matches (of ``SPAN`` words at most) to the left of every end."""
     rows, width = table.shape
-    lows = np.zeros((rows, width + 1, width + 1), "i4")
-    counts = np.zeros((rows, width + 1, width + 1), "i4")  # [row, start, end]
+    span = min(width, SPAN)
+    lows = np.zeros((rows, width + 1, span + 1), "i4")
+    counts = np.zeros((rows, width + 1, span + 1), "i4")  # [row, start, length]; 0 also where a part of it has no match
     row, end = np.nonzero(np.arange(width)[None, :] < size[:, None])
     end = end + 1
     start, lo, hi = end.copy(), np.zeros(len(row), "i8"), np.full(len(row), len(index.suffix))
     while len(row):
         start = start - 1
         lo, hi = index.extend(table[row, start], lo, hi)
-        lows[row, start, end], counts[row, start, end] = lo, hi - lo
-        more = (hi > lo) & (start > 0)
+        lows[row, start, end - start], counts[row, start, end - start] = lo, hi - lo
+        more = (hi > lo) & (start > 0) & (end - start < span)
         row, start, end, lo, hi = row[more], start[more], end[more], lo[more], hi[more]
-    every = np.arange(rows)
-    singles = np.cumsum(counts[:, np.arange(width), np.arange(1, width + 1)], axis=1, dtype="i8")
-    singles = np.concatenate([np.zeros((rows, 1), "i8"), singles], axis=1)
-    best, choice = np.full(rows, np.iinfo("i8").max), np.zeros((rows, 2 + RUNS), "i4")  # number of singles, run ends
+    every, place = np.arange(rows), np.arange(width + 1)[None, :]
+    singles = np.concatenate([np.zeros((rows, 1), "i8"), np.cumsum(counts[:, :width, 1], axis=1, dtype="i8")], axis=1)
+    best, choice = np.full(rows, np.iinfo("i8").max), np.zeros((rows, 2 + 2 * RUNS), "i4")  # number of singles, of runs, their starts, their ends
     needed = {(n, r): parts_needed(int(n), r, num, den) for n in np.unique(size) for r in range(RUNS + 1)}
+    far = np.int64(1 << 40)
     for runs in range(RUNS + 1):
         single = np.array([needed[int(n), runs] - runs for n in size])
         fits = single + runs <= size
         single = np.clip(single, 0, size)
-        cost = singles[every, single]
-        ends = np.zeros((rows, RUNS), "i4")
-        if runs:
-            # cheapest[k][e]: runs k from `single` to e; -1 where there are none
-            far = np.int64(1 << 40)
-            cheapest = np.where(np.arange(width + 1)[None, :] > single[:, None], counts[every, single].astype("i8"), far)
-            backs = []
-            for _ in range(runs - 1):
-                through = cheapest[:, :, None] + np.where(np.arange(width + 1)[:, None] < np.arange(width + 1)[None, :], counts, far)
-                backs.append(through.argmin(axis=1))
-                cheapest = through.min(axis=1)
-            cost = cost + cheapest[every, size]
-            at = size.astype("i8")
-            for k in range(runs - 1, -1, -1):
-                ends[:, k] = at
-                if k:
-                    at = backs[k - 1][every, at]
+        # cheapest[e]: the runs so far lie between `single` and e
+        cheapest, steps = np.where(place >= single[:, None], np.int64(0), far), []
+        for _ in range(runs):
+            ending, begin = np.full((rows, width + 1), far), np.zeros((rows, width + 1), "i4")
+            for n in range(1, span + 1):
+                cost = cheapest[:, : width + 1 - n] + counts[:, : width + 1 - n, n]
+                better = cost < ending[:, n:]
+                ending[:, n:][better], begin[:, n:][better] = cost[better], np.broadcast_to(place[:, : width + 1 - n], cost.shape)[better]
+            ending[place > size[:, None]] = far
+            cheapest = np.minimum.accumulate(ending, axis=1)
+            least = np.concatenate([np.ones((rows, 1), bool), ending[:, 1:] < cheapest[:, :-1]], axis=1)
+            steps.append((begin, np.maximum.accumulate(np.where(least, place, 0), axis=1)))
+        cost = singles[every, single] + cheapest[every, size]
+        at, edges = size.astype("i8"), np.zeros((rows, 2 * RUNS), "i4")
+        for k in range(runs - 1, -1, -1):
+            begin, ends = steps[k]
+            edges[:, RUNS + k] = end = ends[every, at]
+            edges[:, k] = at = begin[every, end]
         better = fits & (cost < best)
         best = np.where(better, cost, best)
         choice[better, 0], choice[better, 1] = single[better], runs
-        choice[better, 2:] = ends[better]
+        choice[better, 2:] = edges[better]
     row, start, end = [], [], []
-    for k in range(width):
+    for k in range(int(choice[:, 0].max())):
         r = np.flatnonzero(choice[:, 0] > k)
         row.append(r), start.append(np.full(len(r), k)), end.append(np.full(len(r), k + 1))
-    last = choice[:, 0].astype("i8")
     for k in range(RUNS):
         r = np.flatnonzero(choice[:, 1] > k)
-        row.append(r), start.append(last[r]), end.append(choice[r, 2 + k].astype("i8"))
-        last = np.where(choice[:, 1] > k, choice[:, 2 + k], last)
+        row.append(r), start.append(choice[r, 2 + k].astype("i8")), end.append(choice[r, 2 + RUNS + k].astype("i8"))
     row, start, end = (np.concatenate(x) for x in (row, start, end))
-    lo = lows[row, start, end].astype("i8")
-    return row, start, lo, lo + counts[row, start, end]
-
-
-def _long_seeds(index: ShardIndex, table: np.ndarray, size: np.ndarray, num: int, den: int):
-    """For one long question: enough single words, the rarest in the shard; no table of all its parts is made."""
-    n = int(size[0])
-    zero, full = np.zeros(n, "i8"), np.full(n, len(index.suffix))
-    lo, hi = index.extend(table[0, :n], zero, full)
-    at = np.argsort(hi - lo, kind="stable")[: min(n, parts_needed(n, 0, num, den))]
-    return np.zeros(len(at), "i8"), at, lo[at], hi[at]
+    lo = lows[row, start, end - start].astype("i8")
+    return row, start, lo, lo + counts[row, start, end - start]
 
 
 def _verify(index, table, size, row, part, lo, count, num: int, den: int):
@@ -316,38 +316,57 @@ def class_overlaps(classes: DataFrame, least: tuple[int, int] = (3, 4), shard: i
     spark = classes.sparkSession
     sizes = {r["side"]: r["count"] for r in classes.groupBy("side").count().collect()}
     ranked = spark.sparkContext.broadcast(common_words(classes, sum(sizes.values()), COMMON))
-    shards, slices = (max(1, -(-sizes.get(side, 0) // most)) for side, most in (("eval", shard), ("train", slice_)))
+    shards = max(1, -(-sizes.get("eval", 0) // shard))
 
     def build(key: tuple, rows: pa.Table) -> pa.Table:
         flat, offsets = rare_first(rows.column("words"), ranked.value)
         index = ShardIndex.build(rows.column("cid").to_numpy(), flat, offsets)
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "index": pa.array([index.dump()], pa.binary())})
 
-    def stream(key: tuple, train: pa.Table, indexes: pa.Table) -> pa.Table:
-        found = [(np.zeros(0, "i8"),) * 4]
-        if train.num_rows:
-            flat, offsets = rare_first(train.column("words"), ranked.value)
-            cids = train.column("cid").to_numpy()
-            for blob in indexes.column("index"):
-                q, *rest = search(ShardIndex.load(blob.as_py()), flat, offsets, num, den)
-                found.append((cids[q], *rest))
-        columns = [np.concatenate(x) for x in zip(*found, strict=True)]
-        return pa.table(dict(zip(("train_cid", "eval_cid", "shared", "united"), columns, strict=True)))
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every shard once for each slice of a task's training classes; the index is read where it is written."""
+        waiting, rows = [], 0
+        for batch in batches:
+            waiting, rows = [*waiting, batch], rows + batch.num_rows
+            if rows >= slice_:
+                yield from found(pa.Table.from_batches(waiting))
+                waiting, rows = [], 0
+        if rows:
+            yield from found(pa.Table.from_batches(waiting))
+
+    def found(train: pa.Table) -> Iterator[pa.RecordBatch]:
+        flat, offsets = rare_first(train.column("words"), ranked.value)
+        cids = train.column("cid").to_numpy()
+        for k in range(shards):
+            for index in shard_at(folder, k):
+                q, *rest = search(index, flat, offsets, num, den)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cids[q], *rest)], names=["train_cid", "eval_cid", "shared", "united"])
 
     of = lambda side: classes.where(F.col("side") == side).select("cid", "words")
-    part = lambda n: F.pmod(F.xxhash64("cid"), F.lit(n))
-    built = of("eval").withColumn("shard", part(shards)).groupBy("shard").applyInArrow(build, "shard bigint, index binary")
-    built = cut(built)
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
-    train = of("train").withColumn("slice", part(slices)).select("*", every(shards).alias("shard")).groupBy("shard", "slice")
-    index = built.select("*", every(slices).alias("slice")).groupBy("shard", "slice")
-    return train.cogroup(index).applyInArrow(stream, "train_cid bigint, eval_cid bigint, shared bigint, united bigint")
+    built = of("eval").withColumn("shard", F.pmod(F.xxhash64("cid"), F.lit(shards))).groupBy("shard").applyInArrow(build, "shard bigint, index binary")
+    folder = f"{shared_dir(spark)}/overlap-{uuid.uuid4().hex}"
+    built.write.partitionBy("shard").parquet(folder)
+    return of("train").mapInArrow(stream, "train_cid bigint, eval_cid bigint, shared bigint, united bigint")
+
+
+@lru_cache(maxsize=2)
+def shard_at(folder: str, shard: int) -> list[ShardIndex]:
+    """The index of a shard in the shared folder, none if no class fell into it; a worker keeps the last two."""
+    if ":" in folder.split("/")[0]:
+        files, path = fs.FileSystem.from_uri(re.sub("^file:/*", "file:///", folder))
+    else:
+        files, path = fs.LocalFileSystem(), folder
+    at = fs.FileSelector(f"{path}/shard={shard}", allow_not_found=True)
+    names = [f.path for f in files.get_file_info(at) if f.path.endswith(".parquet")]
+    return [ShardIndex.load(blob.as_py()) for name in names for blob in pq.read_table(name, columns=["index"], filesystem=files, partitioning=None).column("index")]
 
 
 def overlaps(df: DataFrame, least: tuple[int, int] = (3, 4)) -> DataFrame:
     """(train_uid, eval_uid, shared, united, split, src): all overlapping records with an answer in common."""
     records = cut(samples(df))
-    classes = records.groupBy("side", "cid").agg(F.min("words").alias("words"))
+    n, cores = records.count(), df.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(-(-n // TASK), max(2 * cores, -(-n // SLICE))))
+    classes = records.repartition(tasks, "cid").groupBy("side", "cid").agg(F.min("words").alias("words"))
     pairs = class_overlaps(classes, least)
     of = lambda side: records.where(F.col("side") == side).select("uid", "cid", "split", "src", F.explode("keys").alias("key"))
     train = of("train").select(F.col("uid").alias("train_uid"), F.col("cid").alias("train_cid"), "key")
