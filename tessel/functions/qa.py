@@ -118,4 +118,4 @@ def decomposition(x: Column) -> Column:
     """'answer ## q1? a1 ## q2? a2' as struct(ans, steps array<struct(q, a)>): the last question mark ends a step's question."""
     parts = F.transform(F.split(x, "##"), T.strip)
     step = lambda s: F.struct(F.regexp_extract(s, r"^(.*\?)(?=.)", 1).alias("q"), T.strip(F.regexp_replace(s, r"^.*\?(?=.)", "")).alias("a"))
-    return F.struct(F.element_at(parts, 1).alias("ans"), F.transform(F.filter(F.slice(parts, 2, 1000), lambda s: s != ""), step).alias("steps"))
+    return F.struct(F.element_at(parts, 1).alias("ans"), F.transform(F.filter(F.slice(parts, F.lit(2), F.size(parts)), lambda s: s != ""), step).alias("steps"))

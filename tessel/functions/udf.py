@@ -29,6 +29,15 @@ def strip_accents(x: Column | str) -> Column:
     return F.pandas_udf(run, "string")(x)
 
 
+def nfc(x: Column | str) -> Column:
+    """Canonical composition."""
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: t if t.isascii() else unicodedata.normalize("NFC", t), na_action="ignore")
+
+    return F.pandas_udf(run, "string")(x)
+
+
 def longest_common_run(a, b) -> tuple[int, int]:
     """(length, start in a) of the longest common substring of two sequences, the first in ``a`` of equal ones."""
     best, at = 0, 0

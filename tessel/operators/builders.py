@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessel.functions import text as T
+from tessel.session import cut
 
 
 def draw(seed: int, *key: Column | str) -> Column:
@@ -29,17 +34,61 @@ def pack_budget(df: DataFrame, group: list[str], order: list[Column], cost: Colu
     return df.withColumn("total", total).where(F.col("total") < budget)
 
 
-def top_up(have: DataFrame, pool: DataFrame, group: str, item: str, n: int, seed: int = 7, spread: int = 64) -> DataFrame:
-    """(group, item, origin): up to ``n`` items a group: its own first (lowest items), then items of the pool that it lacks.
+def top_up(groups: DataFrame, have: DataFrame, excluded: DataFrame, pool: DataFrame, group: str, item: str, n: int, seed: int = 7, width: int = 8) -> DataFrame:
+    """(group, item, origin): all items that every group of ``groups`` has, none of them excluded, and where they are fewer than ``n`` items of the pool up to n.
+
+    The pool is cut into hash buckets of about ``width`` items, as many as it takes; a group that lacks items draws a few buckets by its own hash, takes those items that
+    it neither has nor excludes in its own hash order, and draws again while it lacks any. So no group meets the whole pool and no bucket is hot. A pool of at most 64 n
+    items is one bucket; a group ends below n only where the pool itself is exhausted. The state is checkpointed every round.
+    """
+    pairs = lambda df: df.select(group, item).where(f"{group} is not null and {item} is not null")
+    barred = pairs(excluded).distinct()
+    own = cut(pairs(have).distinct().join(barred, [group, item], "left_anti"))
+    every = groups.select(group).where(F.col(group).isNotNull()).distinct()
+    missing = lambda rows, found, k: rows.join(found.groupBy(group).agg(F.count("*").alias("_k")), group, "left").select(group, (k - F.coalesce("_k", F.lit(0))).alias("need")).where("need > 0")
+    lacking = cut(missing(every, own, F.lit(n)))
+    items = cut(pool.select(item).where(F.col(item).isNotNull()).distinct())
+    total = items.count()
+    buckets = total // width if total > 64 * n else 1
+    items = items.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), item), F.lit(buckets)))
+    draws = 2 * -(-n // width) + 1 if buckets > 1 else 1
+    out, taken = own.select(group, item, F.lit("own").alias("origin")), own.unionByName(barred)
+    for r in range(60):
+        if not total or lacking.isEmpty():
+            return out
+        bucket = F.pmod(F.xxhash64(F.lit(seed), F.lit(r), group, F.col("j")), F.lit(buckets)).alias("bucket")
+        drawn = lacking.select(group, "need", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("j")).select(group, "need", bucket).distinct()
+        offered = drawn.join(items, "bucket").drop("bucket").join(taken, [group, item], "left_anti")
+        order = Window.partitionBy(group).orderBy(F.xxhash64(F.lit(seed), group, item), item)
+        found = cut(offered.withColumn("rn", F.row_number().over(order)).where("rn <= need").select(group, item))
+        out, taken = out.unionByName(found.select(group, item, F.lit("pool").alias("origin"))), taken.unionByName(found)
+        if buckets == 1:
+            return out
+        lacking = cut(missing(lacking, found, F.col("need")))
+    raise RuntimeError("the pool does not fill all groups")
+
+
+def pack_cut(df: DataFrame, group: list[str], order: list[Column], words: str, most: int) -> DataFrame:
+    """Rows of every group in order while they fit ``most``, each costing its words and one; the first that does not fit is cut to what is left, less one, and ends its group.
 
-    The pool is cut into ``spread`` hash buckets of about n items that fit; each group reads the buckets its hash points at, so no group meets the whole
-    pool. Groups may end below n where pool and own items overlap.
+    Adds ``kept``, the words that stay, and ``cut``, whether they are fewer than the row has.
     """
-    own = have.select(group, item).distinct().withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy(item))).where(F.col("rn") <= n)
-    counts = own.groupBy(group).agg(F.count("*").alias("k"))
-    lacking = counts.where(F.col("k") < n).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), group), F.lit(spread)))
-    ranked = pool.select(item).distinct().withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), item), F.lit(spread)))
-    ranked = ranked.withColumn("at", F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(seed), item), item))).where(F.col("at") <= 2 * n)
-    offered = lacking.join(ranked, "bucket").join(have.select(group, item).distinct(), [group, item], "left_anti")
-    extra = offered.withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(F.lit(seed), group, item), item))).where(F.col("rn") + F.col("k") <= n)
-    return own.select(group, item, F.lit("own").alias("origin")).unionByName(extra.select(group, item, F.lit("pool").alias("origin")))
+    before = F.coalesce(F.sum(F.size(words) + 1).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = df.withColumn("_before", before).withColumn("cut", F.col("_before") + F.size(words) > most)
+    first = F.max(F.col("cut").cast("int")).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_ended", first).where("_ended is null or _ended = 0")
+    left = F.greatest(F.lit(0), F.lit(most) - F.col("_before") - 1).cast("int")
+    return rows.withColumn("kept", F.when(F.col("cut"), F.slice(words, F.lit(1), left)).otherwise(F.col(words))).drop("_before", "_ended")
+
+
+def permutations(df: DataFrame, key: str, items: str, separator: str = ", ") -> DataFrame:
+    """(key, value): all orders of a list of two or more texts, joined; made one after the other, so that long lists need no memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uid, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                orders = itertools.permutations([t or "" for t in texts])
+                while part := [separator.join(o) for o in itertools.islice(orders, 10_000)]:
+                    yield pa.RecordBatch.from_arrays([pa.array([uid] * len(part), pa.int64()), pa.array(part, pa.string())], names=[key, "value"])
+
+    return df.where(F.size(items) > 1).select(F.col(key).cast("bigint"), items).mapInArrow(run, f"{key} bigint, value string")

@@ -203,9 +203,9 @@ def a26_most_common_answers(spark: SparkSession, path: str) -> DataFrame:
 
 @query(None)
 def a28_paired_bootstrap(spark: SparkSession, path: str) -> DataFrame:
-    """Whether the second-stage score beats the first-stage score."""
+    """Whether the second-stage score (a) beats the first-stage score (b): 10,000 resamples of half the rows."""
     rows = evidence(spark, path, "score", "s2_score").where("s2_score <> -1 and not isnan(s2_score) and score is not null")
-    return ST.paired_bootstrap(rows, "sent_uid", "s2_score", "score", samples=100)
+    return ST.paired_bootstrap(rows, "sent_uid", "s2_score", "score")
 
 
 _T = [i / 10 for i in range(1, 10)]
@@ -357,12 +357,23 @@ def w12_merge_intervals(spark: SparkSession, path: str) -> DataFrame:
     return marked.withColumn("grp", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("user_id", "grp").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("grp")
 
 
-@query("with a as (select vec_id, label, row_number() over (partition by label order by vec_id) as rn from embeddings) select vec_id, cast(row_number() over (order by rn, label, vec_id) as integer) as pos from a qualify row_number() over (order by rn, label, vec_id) <= 100")
+@query(f"""with {_EV}, w as (select sent_uid, query_uid, hop, s2_score, len({S.words("sentence")}) as cost from ev where s2_score >= 0.2 and not isnan(s2_score) and hop is not null and sentence is not null),
+r as (select *, row_number() over (partition by query_uid, hop order by s2_score desc, sent_uid) as round from w where cost > 0), t as (select query_uid, round, sum(cost) as cost from r group by all),
+b as (select query_uid, round, coalesce(sum(cost) over (partition by query_uid order by round rows between unbounded preceding and 1 preceding), 0) as before from t)
+select query_uid, hop, sent_uid, cast(round as integer) as round, cast(before as bigint) as before from r join b using (query_uid, round) where before < 350""")
 def w15_round_robin(spark: SparkSession, path: str) -> DataFrame:
-    """The first hundred vectors taken from the labels in turn."""
-    rows = table(spark, path, "embeddings").withColumn("rn", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")))
-    first = rows.select("vec_id", "label", "rn").orderBy("rn", "label", "vec_id").limit(100)
-    return first.select("vec_id", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("rn", "label", "vec_id")).alias("pos"))
+    """Sentences of a query taken from its hops in turn, the best of each first, round by round while the words of the rounds before are below a soft budget.
+
+    A sentence has a word at least, so no round beyond the budget is looked at: the limit per hop is the budget itself and cuts a hot query before its shuffle.
+    """
+    budget = 350
+    rows = evidence(spark, path, "query_uid", "hop", "s2_score", "sentence").where("s2_score >= 0.2 and not isnan(s2_score) and hop is not null and sentence is not null")
+    rows = rows.select("query_uid", "hop", "sent_uid", "s2_score", F.size(T.words("sentence")).alias("cost")).where("cost > 0")
+    rows = rows.withColumn("round", F.row_number().over(Window.partitionBy("query_uid", "hop").orderBy(F.col("s2_score").desc(), "sent_uid"))).where(F.col("round") <= budget)
+    rounds = rows.groupBy("query_uid", "round").agg(F.sum("cost").alias("cost"))
+    before = F.coalesce(F.sum("cost").over(Window.partitionBy("query_uid").orderBy("round").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = rounds.select("query_uid", "round", before.alias("before")).where(F.col("before") < budget)
+    return rows.join(kept, ["query_uid", "round"]).select("query_uid", "hop", "sent_uid", "round", "before")
 
 
 @query(f"""with {_EV}, h as (select query_uid, hop, max(s2ev_score) as s, max(score) as c from ev where not isnan(s2ev_score) group by query_uid, hop), l as (select *, lag(s) over (partition by query_uid order by hop) as before from h)

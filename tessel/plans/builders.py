@@ -14,6 +14,7 @@ from tessel.functions import text as T
 from tessel.operators import builders as B
 from tessel.operators.shredding import parse_order
 from tessel.plans.records import _RR, ranking
+from tessel.session import cut
 from tessel.sources.tables import latest, table
 
 _M = "m as (select distinct on (sample_uid) sample_uid, coalesce(src, 'hotpotqa') as src, question, answers, pos_paras, neg_paras from mdr_samples order by sample_uid, loaded_at desc)"
@@ -178,9 +179,25 @@ def g21_split_table_string(spark: SparkSession, path: str) -> DataFrame:
 
 @query(None)
 def j12_top_up_negatives(spark: SparkSession, path: str) -> DataFrame:
-    """Ten negatives a record: its own titles, then titles of the index."""
-    own = samples(spark, path).select("sample_uid", F.explode("neg_paras.title").alias("title")).where("title is not null")
-    return B.top_up(own, table(spark, path, "index_paras").where("title is not null"), "sample_uid", "title", 10)
+    """Negatives of every record: the documents linked from the paragraphs of its gold documents, paragraph by paragraph until ten are found (hl), then others of the index up
+    to ten (rd); gold documents are none."""
+    from tessel.operators import lookups
+    from tessel.plans.joins import firsts, links
+
+    first = firsts(spark, path)
+    docs = first.select("idx", F.col("doc_id").cast("bigint").alias("doc_id"), "title")
+    every = samples(spark, path)
+    gold = every.select("sample_uid", F.explode("pos_paras.title").alias("link"))
+    gold = cut(lookups.map_titles(gold, first).where("idx <> -1").select("sample_uid", "idx").distinct())
+    hops = lookups.map_titles(links(spark, path), first).where("idx <> -1").select("doc_id", "para_no", F.col("idx").alias("other")).distinct()
+    linked = gold.join(docs.select("idx", "doc_id"), "idx").join(hops, "doc_id").select("sample_uid", "doc_id", "para_no", F.col("other").alias("idx")).join(gold, ["sample_uid", "idx"], "left_anti")
+    linked = linked.groupBy("sample_uid", "doc_id", "idx").agg(F.min("para_no").alias("para_no"))
+    new = linked.groupBy("sample_uid", "doc_id", "para_no").agg(F.count("*").alias("k"))
+    before = F.coalesce(F.sum("k").over(Window.partitionBy("sample_uid", "doc_id").orderBy("para_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    read = new.select("sample_uid", "doc_id", "para_no", before.alias("before")).where("before < 10")
+    own = linked.join(read, ["sample_uid", "doc_id", "para_no"]).select("sample_uid", "idx")
+    found = B.top_up(every, own, gold, docs, "sample_uid", "idx", 10)
+    return found.join(docs.select("idx", T.unescape("title").alias("title")), "idx").select("sample_uid", "idx", "title", F.when(F.col("origin") == "own", "hl").otherwise("rd").alias("src"))
 
 
 @query(None)

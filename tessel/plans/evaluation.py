@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,11 +26,11 @@ from tessel.session import cut
 from tessel.sources.tables import latest, table
 
 
-@query("with r as (select doc_id, row_number() over (order by doc_id) as rn from documents) select doc_id from r where rn in (1, 3, 5)")
+@query("with r as (select doc_id, row_number() over (order by doc_id) - 1 as pos from documents) select doc_id, pos from r where pos in (select s_suppkey from supplier)")
 def proj09_rows_by_position(spark: SparkSession, path: str) -> DataFrame:
-    """Rows at positions, numbered over the range-partitioned key: only the first rows are looked at."""
-    first = table(spark, path, "documents").select("doc_id").orderBy("doc_id").limit(5)
-    return first.withColumn("rn", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("doc_id"))).where("rn in (1, 3, 5)").select("doc_id")
+    """Rows at listed positions (a table of numbers) in the order of the key."""
+    numbered = ST.positions(table(spark, path, "documents").select("doc_id"), "doc_id")
+    return numbered.join(table(spark, path, "supplier").select(F.col("s_suppkey").alias("pos")).distinct(), "pos").select("doc_id", "pos")
 
 
 @query("select a.c_custkey, b.c_name as new_key from customer a join customer b on a.c_custkey = b.c_custkey")
@@ -66,11 +66,13 @@ def proj19_joined_list(spark: SparkSession, path: str) -> DataFrame:
     return latest(table(spark, path, "rr_samples").where("answers is not null"), "rr_uid", "answers").select("rr_uid", F.array_join("answers", " ").alias("joined"))
 
 
-@query(None)
+@query(f"""with {_RR}, recursive_orders as (with recursive o(rr_uid, answers, used, value) as (
+ select rr_uid, list_transform(answers, lambda a: coalesce(a, '')), cast([] as bigint[]), '' from rr where len(answers) > 1
+ union all select rr_uid, answers, list_append(used, i), case when len(used) = 0 then answers[i] else value || ', ' || answers[i] end from (select *, unnest(range(1, len(answers) + 1)) as i from o where len(used) < len(answers)) where not list_contains(used, i))
+ select * from o) select rr_uid, value as answer from recursive_orders where len(used) = len(answers)""")
 def proj28_answer_orders(spark: SparkSession, path: str) -> DataFrame:
-    """All orders of answers with two to four spans; longer lists keep their own."""
-    f = F.pandas_udf(lambda s: pd.Series([[", ".join(p) for p in itertools.permutations([a or "" for a in x])] if 2 <= len(x) <= 4 else [", ".join(a or "" for a in x)] for x in s]), "array<string>")
-    return ranking(spark, path).where("size(answers) > 1").select("rr_uid", F.explode(f("answers")).alias("answer"))
+    """All orders of answers with two spans or more."""
+    return B.permutations(ranking(spark, path), "rr_uid", "answers").withColumnRenamed("value", "answer")
 
 
 @query(None)
@@ -193,13 +195,13 @@ def a27_length_ratio(spark: SparkSession, path: str) -> DataFrame:
 
 @query(None)
 def a29_pairwise_tests(spark: SparkSession, path: str) -> DataFrame:
-    """Bootstrap tests of each pair of three score columns."""
-    rows = evidence(spark, path, "score", "s1para_score", "s2_score").where("s2_score <> -1 and not isnan(s2_score) and score is not null and s1para_score is not null")
-    out = None
-    for a, b in itertools.combinations(("score", "s1para_score", "s2_score"), 2):
-        one = ST.paired_bootstrap(rows, "sent_uid", a, b, samples=20).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "*")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Bootstrap tests of each pair of three score columns: 10,000 resamples, drawn once for all pairs."""
+    names = ("score", "s1para_score", "s2_score")
+    rows = evidence(spark, path, *names).where("s2_score <> -1 and not isnan(s2_score) and score is not null and s1para_score is not null")
+    sums = cut(ST.bootstrap_sums(rows, "sent_uid", {c: F.col(c) for c in names}))
+    mean = lambda c: F.col(c) / F.col("n") / ST.UNIT
+    tests = [ST.compared(sums.select("i", mean(a).alias("a"), mean(b).alias("b"))).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "*") for a, b in itertools.combinations(names, 2)]
+    return functools.reduce(DataFrame.unionByName, tests)
 
 
 _T = [i / 10 for i in range(1, 10)]
@@ -440,16 +442,33 @@ def g16_consolidated_evidence(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("sample_uid", F.when(F.col("t") == F.col("n"), "distinct").otherwise("repeated").alias("kind"), F.col("t").cast("bigint").alias("titles"))
 
 
-@query(f"with {_M} select sample_uid, pos_paras[1].title as positive, list_transform(neg_paras[1:10], lambda p: p.title) as negatives from m where len(pos_paras) > 0 and len(neg_paras) > 0")
+@query(f"with {_M} select sample_uid, pos_paras[1].title as positive, coalesce(list_transform(neg_paras[1:10], lambda p: p.title), []) as negatives from m where len(pos_paras) > 0")
 def g18_first_positive(spark: SparkSession, path: str) -> DataFrame:
-    """The first positive with up to ten negatives."""
-    rows = samples(spark, path).where("size(pos_paras) > 0 and size(neg_paras) > 0")
-    return rows.select("sample_uid", F.col("pos_paras")[0]["title"].alias("positive"), F.slice("neg_paras", 1, 10)["title"].alias("negatives"))
+    """The first positive with up to ten negatives of its own."""
+    rows = samples(spark, path).where("size(pos_paras) > 0")
+    negatives = F.coalesce(F.slice("neg_paras", 1, 10)["title"], F.array().cast("array<string>"))
+    return rows.select("sample_uid", F.col("pos_paras")[0]["title"].alias("positive"), negatives.alias("negatives"))
 
 
 @query(None)
+def g18_topped_up(spark: SparkSession, path: str) -> DataFrame:
+    """The first positive with ten negatives or more: those of the record, then titles of the index that are neither gold nor already taken."""
+    rows = samples(spark, path).where("size(pos_paras) > 0")
+    own = rows.select("sample_uid", F.explode("neg_paras.title").alias("title"))
+    gold = rows.select("sample_uid", F.explode("pos_paras.title").alias("title"))
+    found = B.top_up(rows, own, gold, table(spark, path, "index_paras"), "sample_uid", "title", 10)
+    lists = found.groupBy("sample_uid").agg(F.array_sort(F.collect_list(F.struct("origin", "title"))).alias("negatives"))
+    return rows.select("sample_uid", F.col("pos_paras")[0]["title"].alias("positive")).join(lists, "sample_uid")
+
+
+@query(f"""with {_DOCS}, p as (select doc_id, para_idx, idx, {S.words("text")} as w from docs where text is not null), b as (select *, coalesce(sum(len(w) + 1) over (partition by doc_id order by para_idx, idx rows between unbounded preceding and 1 preceding), 0) as before from p),
+o as (select *, before + len(w) > 300 as cut from b), f as (select *, coalesce(max(cast(cut as integer)) over (partition by doc_id order by para_idx, idx rows between unbounded preceding and 1 preceding), 0) as ended from o)
+select doc_id, string_agg(case when cut then array_to_string(w[1:greatest(0, 300 - before - 1)], ' ') || '...' else array_to_string(w, ' ') end, ' ' order by para_idx, idx) as text,
+ cast(sum(case when cut then greatest(0, 300 - before - 1) else len(w) end) as bigint) as words, count(*) as paras from f where ended = 0 group by doc_id""")
 def g15_packed_paragraphs(spark: SparkSession, path: str) -> DataFrame:
-    """Paragraphs of a document packed in order into samples of at most 300 words; a sample ends where the running count passes a multiple."""
-    rows = paras(spark, path).where("text is not null").select("doc_id", "para_idx", "idx", F.size(T.words("text")).alias("n"))
-    total = F.sum("n").over(Window.partitionBy("doc_id").orderBy("para_idx", "idx"))
-    return rows.withColumn("sample", F.floor((total - F.col("n")) / 300)).groupBy("doc_id", "sample").agg(F.sum("n").alias("words"), F.count("*").alias("paras"))
+    """One sample a document: its paragraphs in order while they fit 300 words, a paragraph costing one more; the first that does not fit is cut to what is left, marked and the last."""
+    rows = paras(spark, path).where("text is not null").select("doc_id", "para_idx", "idx", T.words("text").alias("w"))
+    kept = B.pack_cut(rows, ["doc_id"], [F.col("para_idx"), F.col("idx")], "w", 300)
+    part = F.concat(F.array_join("kept", " "), F.when(F.col("cut"), "...").otherwise(""))
+    parts = F.array_sort(F.collect_list(F.struct("para_idx", "idx", part.alias("text"))))
+    return kept.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda x: x["text"]), " ").alias("text"), F.sum(F.size("kept")).alias("words"), F.count("*").alias("paras"))

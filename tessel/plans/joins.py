@@ -139,12 +139,12 @@ def j16_cascade(spark: SparkSession, path: str) -> DataFrame:
     return lookups.first_hit(left, right, "rr_uid", "question", "sample_uid")
 
 
-@query(f"""with {_RR} select min(rr_uid) as rr_uid from rr where question <> '' and {_QK} in (select {_QK} from iter_queries) group by {_QK}""")
+@query(f"""select min(sample_uid) as sample_uid from mdr_samples where question <> '' and lower(trim(split)) = 'train' and {_QK} in (select {_QK} from mdr_samples where question <> '' and lower(trim(split)) in ('dev', 'test')) group by {_QK}""")
 def j17_filter_to_unique(spark: SparkSession, path: str) -> DataFrame:
-    """First record of every normalised question that also is a retrieval query."""
-    key = lookups.question_key(F.col("question")).alias("k")
-    left = ranking(spark, path).where("question <> ''").select("rr_uid", key)
-    return left.join(table(spark, path, "iter_queries").select(key), "k", "left_semi").groupBy("k").agg(F.min("rr_uid").alias("rr_uid")).select("rr_uid")
+    """First training record of every normalised question that also is in a list, here that of the evaluation records."""
+    rows = table(spark, path, "mdr_samples").where("question <> ''").select("sample_uid", F.lower(F.trim("split")).alias("split"), lookups.question_key(F.col("question")).alias("k"))
+    wanted = rows.where(F.col("split").isin("dev", "test")).select("k")
+    return rows.where("split = 'train'").join(wanted, "k", "left_semi").groupBy("k").agg(F.min("sample_uid").alias("sample_uid")).select("sample_uid")
 
 
 @query(f"""with {_DOCS}, s as (select distinct sent_uid, idx, s_idx from evidence_sents), p as (select distinct on (idx) idx, sentence_spans, text from index_paras order by idx, loaded_at desc)

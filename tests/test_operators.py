@@ -62,8 +62,9 @@ def test_budget_and_top_up(spark):
     assert [(r.g, r.i) for r in kept] == [(1, 0)]
     pool = spark.range(500).select(F.col("id").cast("string").alias("t"))
     have = spark.createDataFrame([(g, str(i)) for g in range(20) for i in range(g % 4)], "g int, t string")
-    got = builders.top_up(have, pool, "g", "t", 6, spread=8)
+    groups = spark.range(20).select(F.col("id").alias("g"))
+    got = builders.top_up(groups, have, have.limit(0), pool, "g", "t", 6)
     counts = got.groupBy("g").count().collect()
-    assert all(r["count"] == 6 for r in counts)
+    assert len(counts) == 20 and all(r["count"] == 6 for r in counts)
     assert got.groupBy("g", "t").count().where("count > 1").count() == 0
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, builders.top_up(have.repartition(5), pool.repartition(3), "g", "t", 6, spread=8).collect()))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, builders.top_up(groups, have.repartition(5), have.limit(0), pool.repartition(3), "g", "t", 6).collect()))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tests.conftest import DATA
 from tessel import catalog
-from tessel.operators import similarity
+from tessel.functions import qa
+from tessel.operators import builders, similarity, statistics
 from tessel.plans.evaluation import hop_loop
 
 QUERIES = catalog.queries()
@@ -117,3 +120,117 @@ def test_question_and_answer_decide_together(spark):
     got = {r.uid: (r.nearest, r.score) for r in QUERIES["l04_question_and_answer"](spark, DATA).collect()}
     assert set(got) == set(want) and {u: x[0] for u, x in got.items()} == {u: x[0] for u, x in want.items()}
     assert all(abs(got[u][1] - want[u][1]) < 2e-6 for u in want) and any(x[1] > 0 for x in want.values())
+
+
+def key_of(title):
+    return html(title.lower())
+
+
+def html(text):
+    for old, new in (("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        text = text.replace(old, new)
+    return text
+
+
+def test_every_record_has_ten_negatives(spark):
+    """Linked documents paragraph by paragraph, by a walk over the payloads; the rest is drawn from other documents up to exactly ten."""
+    read = lambda name: spark.read.parquet(f"{DATA}/{name}.parquet").collect()
+    docs = {r.idx: (r.doc_id, r.title) for r in read("index_paras") if r.para_idx == 0 and r.title is not None}
+    by_key = defaultdict(list)
+    for idx in sorted(docs):
+        by_key[key_of(docs[idx][1])].append(idx)
+
+    def find(title):
+        hits = by_key.get(key_of(title), []) if title is not None else []
+        same = [i for i in hits if docs[i][1] == title]
+        return (same or hits or [-1])[0]
+
+    pages = {}
+    for r in sorted((r for r in read("wiki_docs") if r.doc_id is not None and r.payload), key=lambda r: r.loaded_at):
+        try:
+            pages.setdefault(r.doc_id, json.loads(r.payload))
+        except ValueError:
+            continue
+    latest = {}
+    for r in sorted(read("mdr_samples"), key=lambda r: r.loaded_at):
+        latest[r.sample_uid] = r
+    want = {}
+    for uid, r in latest.items():
+        gold = {find(p.title) for p in r.pos_paras or []} - {-1}
+        found = set()
+        for idx in gold:
+            mine = set()
+            for para in (pages.get(int(docs[idx][0])) or {}).get("paras") or []:
+                links = (para or {}).get("hyperlinks_cased")
+                mine |= {find(t) for t, anchors in (links if isinstance(links, dict) else {}).items() if isinstance(anchors, list)} - {-1} - gold
+                if len(mine) >= 10:
+                    break
+            found |= mine
+        want[uid] = (gold, found)
+    got = defaultdict(lambda: defaultdict(set))
+    for r in QUERIES["j12_top_up_negatives"](spark, DATA).collect():
+        assert r.idx not in got[r.sample_uid]["hl"] | got[r.sample_uid]["rd"] and r.title == html(docs[r.idx][1])
+        got[r.sample_uid][r.src].add(r.idx)
+    assert set(got) == set(want)
+    for uid, (gold, found) in want.items():
+        assert got[uid]["hl"] == found
+        assert len(got[uid]["hl"]) + len(got[uid]["rd"]) == max(10, len(found)) and not got[uid]["rd"] & (gold | found)
+
+
+def test_top_up_fills_every_group(spark):
+    groups = spark.range(500).select(F.col("id").alias("g"))
+    have = spark.createDataFrame([(i, j) for i in range(0, 500, 2) for j in range(i % 14)] + [(None, 1), (3, None)], "g bigint, x bigint")
+    excluded = spark.createDataFrame([(i, j) for i in range(0, 500, 5) for j in range(100, 400)], "g bigint, x bigint")
+    for size, most in ((5000, 10), (450, 10), (4, 4)):
+        pool = spark.range(size).select(F.col("id").alias("x"))
+        rows = builders.top_up(groups, have, excluded, pool, "g", "x", 10).collect()
+        got = Counter(r.g for r in rows)
+        assert len({(r.g, r.x) for r in rows}) == len(rows)
+        assert not {(r.g, r.x) for r in rows} & {(i, j) for i in range(0, 500, 5) for j in range(100, 400)}
+        assert all(got[i] == max(most, i % 14 if i % 2 == 0 else 0) for i in range(500))
+    again = builders.top_up(groups.repartition(3), have, excluded, pool.repartition(2), "g", "x", 10).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, rows))
+    assert builders.top_up(groups, have, excluded, pool.limit(0), "g", "x", 10).count() == have.where("g is not null and x is not null").distinct().count()
+
+
+def test_no_packed_sample_exceeds_its_limit(spark):
+    rows = QUERIES["g15_packed_paragraphs"](spark, DATA).collect()
+    assert rows and all(r.words <= 300 and r.words == len(r.text.removesuffix("...").split()) for r in rows) and any(r.text.endswith("...") for r in rows)
+
+
+def test_all_orders_of_long_answers(spark):
+    df = spark.createDataFrame([(1, list("abcdefgh")), (2, ["x", None]), (3, ["one"]), (4, None)], "uid bigint, items array<string>")
+    got = builders.permutations(df, "uid", "items").collect()
+    assert Counter(r.uid for r in got) == {1: 40320, 2: 2} and len({r.value for r in got}) == 40322
+
+
+def test_decomposition_keeps_every_step(spark):
+    steps = " ## ".join(["answer", *(f"q{i}? a{i}" for i in range(2500))])
+    got = spark.createDataFrame([(steps,)], "s string").select(qa.decomposition(F.col("s")).alias("d")).first().d
+    assert len(got.steps) == 2500 and tuple(got.steps[-1]) == ("q2499?", "a2499")
+
+
+def test_bootstrap_has_the_spread_of_resampling(spark):
+    """Mean, spread and interval of the differences against resamples drawn by NumPy; the correlation measure against the correlation itself."""
+    rng = np.random.default_rng(1)
+    a = rng.random(800)
+    b = np.clip(a + rng.normal(0.02, 0.2, 800), 0, 1)
+    df = spark.createDataFrame([(i, float(x), float(y), float(x + y)) for i, (x, y) in enumerate(zip(a, b, strict=True))], "id bigint, a double, b double, g double")
+    got = statistics.paired_bootstrap(df, "id", "a", "b").first()
+    d = (b - a)[rng.integers(0, 800, (10_000, 400))].mean(axis=1)
+    spread = d.std()
+    assert abs(got["mean"] - d.mean()) < spread / 10 and abs(got["median"] - np.median(d)) < spread / 10
+    for name, q in (("low", 0.025), ("high", 0.975), ("low90", 0.05), ("high90", 0.95)):
+        assert abs(got[name] - np.quantile(d, q)) < spread / 6
+    assert abs(got["b_wins"] - (d > 0).mean()) < 0.02 and got["a_wins"] + got["b_wins"] + got["ties"] == 1
+    r = statistics.paired_bootstrap(df, "id", "a", "b", samples=400, gold="g").first()
+    assert abs(r["mean"] - (np.corrcoef(b, df.toPandas().g)[0, 1] - np.corrcoef(a, df.toPandas().g)[0, 1])) < 0.02
+    assert statistics.paired_bootstrap(df.limit(0), "id", "a", "b", samples=8).count() == 0
+    n = statistics.occurrences(0.5)
+    assert abs(n.mean() - 0.5) < 1e-3 and abs(n.var() - 0.5) < 2e-3
+
+
+def test_positions_are_dense(spark):
+    df = spark.range(0, 3000, 3).repartition(7)
+    assert [r.pos for r in statistics.positions(df, "id").orderBy("id").collect()] == list(range(1000))
+    assert statistics.positions(df.limit(0), "id").count() == 0
