@@ -4,9 +4,15 @@ First, compatibility forms that look like the plain form are replaced (full and
 every kind), characters that are not visible are deleted, runs of blanks become one, line ends one kind, combining marks
 composed. Then every token is read as a lattice: each letter may be any member of its class of look-alike letters.
 Viterbi finds the path of the highest score under bigram models of the scripts' letters, learnt from the whole
-corpus's tokens of a single script, with a price for changing the script within a token. As the lattice depends only on
-the classes, tokens that look the same have the same lattice and so the same form, and tokens that differ in any class
-(a letter, an accent, a digit, a capital) never meet.
+corpus's tokens of a single script, with a price for changing the script within a token.
+
+Letters that are drawn alike are one class and may stand for each other everywhere. Letters that are only near each other (Greek nu and v, Cyrillic ka and k)
+may do so, at a price below that of a change of script, in tokens that cannot be read in one script as they stand: there the lattice decides which
+letters are meant. A token of one script is never changed by them, so words of two scripts that differ visibly stay different.
+
+Texts look the same when their tokens' best paths go through the same classes. A token that can be read in one script goes through its own classes, whichever
+member the path takes, so pairs of texts need the search only for the few texts with other tokens: the others are compared by the digest of their
+classes from the one pass over the corpus that also counts the bigrams.
 
 Defined cases: null gives null; text without a visible character gives the empty string and is equal to nothing; superscripts,
 circled and other forms that look different stay; a zero-width joiner between two pictographs stays; ties go to the
@@ -29,15 +35,21 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Letters of Latin, Cyrillic, Greek and Armenian script that are drawn alike, a class each, Latin first.
+from tessel.session import cut
+
+# Letters of Latin, Cyrillic, Greek, Armenian, Cherokee and Lisu script that are drawn alike, a class each, Latin first.
 CLASSES = (
     "aаɑ cсϲ dԁ eе gɡ hһ iі jјϳ oоοօ pр qԛ sѕ vѵ wԝ xх yу lӏ "
-    "AАΑ BВΒ CСϹ EЕΕ HНΗ IІΙӀ JЈ KКΚ MМΜ NΝ OОΟՕ PРΡ QԚ SЅՏ TТΤ VѴ WԜ XХΧ YҮΥ ZΖ"
+    "AАΑᎪꓮ BВΒᏴꓐ CСϹᏟꓚ DᎠꓓ EЕΕᎬꓰ Fꓝ Gꓖ HНΗᎻꓧ IІΙӀꓲ JЈᎫꓙ KКΚᏦꓗ LᏞꓡ MМΜᎷꓟ NΝꓠ OОΟՕꓳ PРΡᏢꓑ QԚ RᏒꓣ SЅՏᏚꓢ TТΤᎢꓔ UՍꓴ VѴᏙꓦ WԜᎳꓪ XХΧꓫ YҮΥꓬ ZΖᏃꓜ"
 ).split()
+# Small letters that are near a Latin one, the Latin one first.
+NEAR = "aα bь gց hհ iι kкκ mм nոп oσ pρ qգ rг tтτ uυս vν wωա xχ yγ".split()
 #: Invisible characters that are neither format characters nor controls: fixed values.
 FILLERS = "͏ᅟᅠ឴឵᠋᠌᠍᠏ㅤﾠ"
 KINDS = ("<wide>", "<narrow>", "<noBreak>", "<compat>", "<initial>", "<medial>", "<final>", "<isolated>", "<small>", "<vertical>")
-SWITCH, UNSEEN, KEPT = 8.0, 14.0, 200_000
+#: Documents of a block of one text.
+BLOCK = 100_000
+SWITCH, NEARLY, UNSEEN, KEPT = 8.0, 3.0, 14.0, 200_000
 
 
 def _runs(kinds: str) -> str:
@@ -107,6 +119,28 @@ def classes() -> tuple[dict[str, str], dict[str, str]]:
     return {c: k[0] for k in CLASSES for c in k}, {k[0]: k for k in CLASSES}
 
 
+@cache
+def near() -> dict[str, str]:
+    """First member of a class, or a letter of none -> the first members that are near it."""
+    first, out = classes()[0], {}
+    for k in NEAR:
+        for c in k[1:]:
+            for x, y in ((k[0], c), (c, k[0])):
+                x, y = first.get(x, x), first.get(y, y)
+                out[x] = out.get(x, "") + y
+    return out
+
+
+def shape_of(text: str) -> str:
+    """The text with the first member of its class for every letter."""
+    if not text.isascii():
+        first = classes()[0]
+        for char in set(text):
+            if first.get(char, char) != char:
+                text = text.replace(char, first[char])
+    return text
+
+
 @cache
 def script(char: str) -> str:
     """Latin, Cyrillic, Greek, Armenian, another script's first letter of its name, or '' for marks."""
@@ -118,10 +152,32 @@ def script(char: str) -> str:
 MODELLED = ("Latin", "Cyrillic", "Greek", "Armenian")
 
 
+def divided(shape: str) -> bool:
+    """Whether no choice of class members reads the token in one script."""
+    members, common = classes()[1], None
+    for c in shape:
+        own = {script(m) for m in members.get(c, c)}
+        if "" not in own:
+            common = own if common is None else common & own
+            if not common:
+                return True
+    return False
+
+
+def count_bigrams(tokens: Counter, total: Counter) -> None:
+    """Adds the (script, a, b) of the single-script tokens; '^' and '$' are a token's ends."""
+    for token, n in tokens.items():
+        scripts = {script(c) for c in token} - {""}
+        if len(scripts) == 1 and (own := scripts.pop()) in MODELLED:
+            chars = ["^", *token, "$"]
+            for a, b in zip(chars, chars[1:], strict=False):
+                total[own, a, b] += n
+
+
 def bigrams(df: DataFrame, text: str = "text") -> DataFrame:
-    """(script, a, b, n) over the single-script tokens of all texts; '^' and '$' are a token's ends.
+    """(script, a, b, n) over the single-script tokens of all texts.
 
-    At most (letters and marks of the four scripts)^2 rows, whatever the size of the corpus; each batch is counted before
+    At most (letters and marks of the four scripts)^2 rows, whatever the size of the corpus; each task counts before
     the shuffle.
     """
 
@@ -131,12 +187,7 @@ def bigrams(df: DataFrame, text: str = "text") -> DataFrame:
             tokens: Counter = Counter()
             for t in batch.column(0):
                 tokens.update(TOKEN.findall(normalise(t.as_py())))
-            for token, n in tokens.items():
-                scripts = {script(c) for c in token} - {""}
-                if len(scripts) == 1 and (own := scripts.pop()) in MODELLED:
-                    chars = ["^", *token, "$"]
-                    for a, b in zip(chars, chars[1:], strict=False):
-                        total[own, a, b] += n
+            count_bigrams(tokens, total)
         rows = list(total.items())
         yield pa.RecordBatch.from_pydict({"script": [k[0] for k, _ in rows], "a": [k[1] for k, _ in rows], "b": [k[2] for k, _ in rows], "n": [v for _, v in rows]},
             schema=pa.schema([("script", pa.string()), ("a", pa.string()), ("b", pa.string()), ("n", pa.int64())]))
@@ -161,8 +212,7 @@ class Reader:
         return self.cost.get((own, a, b), UNSEEN)
 
     def token(self, token: str) -> str:
-        first = self.first
-        shape = "".join([first.get(c, c) for c in token])
+        shape = shape_of(token)
         got = self.kept.get(shape)
         if got is None:
             if len(self.kept) >= KEPT:
@@ -170,22 +220,35 @@ class Reader:
             got = self.kept[shape] = self.viterbi(shape)
         return got
 
+    def options(self, shape: str) -> list[list[tuple[str, float]]]:
+        """The letters that may stand at each place with their prices."""
+        other = near() if divided(shape) else {}
+        out = []
+        for c in shape:
+            alike = [(m, 0.0) for m in self.members.get(c, c)]
+            out.append(alike + [(m, NEARLY) for x in other.get(c, "") for m in self.members.get(x, x)])
+        return out
+
     def viterbi(self, shape: str) -> str:
         """The best path through the lattice of a shape (first members of classes and other letters)."""
         # state: (script so far, last char) -> (cost, path)
         states: dict[tuple[str, str], tuple[float, str]] = {("", "^"): (0.0, "")}
-        for c in shape:
+        for place in self.options(shape):
             following: dict[tuple[str, str], tuple[float, str]] = {}
-            for option in self.members.get(c, c):
+            for option, extra in place:
                 own = script(option)
                 for (was, a), (cost, path) in states.items():
                     now = own or was
-                    price = cost + self._step(now, a, option) + (SWITCH if was and own and own != was else 0.0)
+                    price = cost + extra + self._step(now, a, option) + (SWITCH if was and own and own != was else 0.0)
                     if (now, option) not in following or price < following[now, option][0]:
                         following[now, option] = (price, path + option)
             states = following
         return min(states.items(), key=lambda x: x[1][0] + self._step(x[0][0], x[0][1], "$"))[1][1]
 
+    def resolved(self, shape: str) -> str:
+        """The shape of a text's best paths, given the text's shape."""
+        return TOKEN.sub(lambda m: shape_of(self.token(m[0])) if divided(m[0]) else m[0], shape)
+
     def text(self, text: str) -> str:
         seen = self.seen
         if len(seen) > KEPT:
@@ -222,36 +285,81 @@ def consistent_text(df: DataFrame, key: str = "doc_id", text: str = "text", mode
     return df.select(key, text).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, {text} string")
 
 
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+_SEEN = pa.schema([("doc_id", pa.int64()), ("raw", pa.binary()), ("form", pa.binary()), ("shape", pa.string()), ("script", pa.string()), ("a", pa.string()), ("b", pa.string()), ("n", pa.int64())])
+
+
+def seen_texts(df: DataFrame) -> DataFrame:
+    """The one pass over the corpus: (doc_id, raw, form) of every text, with ``shape`` instead of the form's digest where a token is divided between scripts, and
+    beside them the counted bigrams (script, a, b, n) of each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        whole: set[str] = set()
+        for batch in batches:
+            tokens: Counter = Counter()
+            rows = {name: [] for name in ("doc_id", "raw", "form", "shape")}
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = x.as_py()
+                plain_text = normalise(raw)
+                if not plain_text:
+                    continue
+                found = TOKEN.findall(plain_text)
+                tokens.update(found)
+                shape, open_ = shape_of(plain_text), False
+                if not shape.isascii():
+                    for token in set(TOKEN.findall(shape)) - whole:
+                        if divided(token):
+                            open_ = True
+                        elif len(whole) < KEPT:
+                            whole.add(token)
+                for name, value in (("doc_id", i), ("raw", _digest(raw)), ("form", None if open_ else _digest(shape)), ("shape", shape if open_ else None)):
+                    rows[name].append(value)
+            count_bigrams(tokens, total)
+            yield pa.RecordBatch.from_pydict(rows | {name: [None] * len(rows["raw"]) for name in ("script", "a", "b", "n")}, schema=_SEEN)
+        keys = list(total)
+        counts = {"script": [k[0] for k in keys], "a": [k[1] for k in keys], "b": [k[2] for k in keys], "n": [total[k] for k in keys]}
+        yield pa.RecordBatch.from_pydict({name: [None] * len(keys) for name in ("doc_id", "raw", "form", "shape")} | counts, schema=_SEEN)
+
+    rows = df.where("doc_id is not null and text is not null").select("doc_id", "text")
+    return rows.mapInArrow(run, "doc_id bigint, raw binary, form binary, shape string, script string, a string, b string, n bigint")
+
+
 def lookalike_pairs(df: DataFrame) -> DataFrame:
     """(doc_a, doc_b), doc_a < doc_b: all pairs of (doc_id, text) that look the same but are not equal as stored.
 
     Digests of 128 bits stand for the forms and the stored texts. Equal stored texts are one variant; only forms with two or
     more variants are joined, variant against other variant, then by their documents: no pair of equal texts is made
-    on the way, so a text that fills a third of the rows costs its true pairs only.
+    on the way, so a text that fills a third of the rows costs its true pairs only, and its documents are spread over blocks.
     """
-    model = df.sparkSession.sparkContext.broadcast(tuple(model_rows(df)))
+    seen = cut(seen_texts(df))
+    counts = seen.where("script is not null").groupBy("script", "a", "b").agg(F.sum("n").alias("n")).collect()
+    model = df.sparkSession.sparkContext.broadcast(tuple(sorted((r["script"], r["a"], r["b"], r["n"]) for r in counts)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = reader_of(model.value)
         for batch in batches:
-            ids, forms, raws = [], [], []
-            for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = x.as_py()
-                form = own.text(raw)
-                if form:
-                    ids.append(i)
-                    forms.append(hashlib.blake2b(form.encode("utf-8"), digest_size=16).digest())
-                    raws.append(hashlib.blake2b(raw.encode("utf-8"), digest_size=16).digest())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(forms, pa.binary()), pa.array(raws, pa.binary())], names=["doc_id", "form", "raw"])
-
-    from tessel.session import cut
+            forms = [_digest(own.resolved(x.as_py())) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(forms, pa.binary())], names=["doc_id", "raw", "form"])
 
-    digests = cut(df.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, "doc_id bigint, form binary, raw binary").distinct())
-    variants = digests.select("form", "raw").distinct()
+    closed = seen.where("form is not null").select("doc_id", "raw", "form")
+    opened = seen.where("shape is not null").select("doc_id", "raw", "shape").mapInArrow(resolve, "doc_id bigint, raw binary, form binary")
+    digests = cut(closed.unionByName(opened).distinct())
+    variants = cut(digests.groupBy("form", "raw").agg(F.count("*").alias("docs")))
     several = variants.groupBy("form").agg(F.count("*").alias("n")).where("n > 1").select("form")
-    variants = variants.join(several, "form", "left_semi")
-    other = variants.select("form", F.col("raw").alias("raw_b"))
-    pairs = variants.join(other, "form").where("raw < raw_b").select("raw", "raw_b")
-    members = digests.select("raw", "doc_id")
-    both = pairs.join(members, "raw").select("raw_b", F.col("doc_id").alias("x")).join(members.select(F.col("raw").alias("raw_b"), F.col("doc_id").alias("y")), "raw_b")
+    several = variants.join(several, "form", "left_semi").select("form", "raw")
+    pairs = several.join(several.select("form", F.col("raw").alias("raw_b")), "form").where("raw < raw_b").select("raw", "raw_b")
+    # texts of more than a block of documents, and more than one part in 65,536 of all: fewer than that many, so they are broadcast
+    most = F.greatest(F.lit(BLOCK), F.lit(digests.count() // 65_536))
+    large = variants.groupBy("raw").agg(F.sum("docs").alias("docs")).where(F.col("docs") > most).select("raw", F.ceil(F.col("docs") / BLOCK).cast("int").alias("blocks"))
+    large = F.broadcast(cut(large))
+    block = F.coalesce(F.pmod(F.xxhash64("doc_id"), "blocks"), F.lit(0)).cast("int").alias("block")
+    members = digests.join(several.select("raw").distinct(), "raw", "left_semi").join(large, "raw", "left").select("raw", "doc_id", block)
+    every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1)).alias("block")
+    left = pairs.join(large, "raw", "left").select("raw", "raw_b", every).join(members, ["raw", "block"]).select("raw_b", F.col("doc_id").alias("x"))
+    right = members.select(F.col("raw").alias("raw_b"), "block", F.col("doc_id").alias("y"))
+    both = left.join(large.toDF("raw_b", "blocks"), "raw_b", "left").select("raw_b", "x", every).join(right, ["raw_b", "block"])
     return both.where("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()

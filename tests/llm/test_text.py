@@ -99,6 +99,47 @@ def test_form_is_stable_and_depends_on_classes_only(reader, text):
     assert reader.text(other) == form
 
 
+CORPUS = ["the value of vision", "given values move the van", "знак книга ковёр сор", "сорок книг и сор", "νόμος και νους", "kind king ink", "union and unit"]
+
+
+def test_near_letters_count_where_a_token_is_divided(spark):
+    """A letter that is only near another stands for it within a word of the other script, never in a word of its own."""
+    model = L.model_rows(spark.createDataFrame([(i, t) for i, t in enumerate(CORPUS)], "doc_id bigint, text string"))
+    reader = L.Reader(model)
+    for plain, mixed in (("value", "νalue"), ("king", "кing"), ("union", "uոiоn"), ("unit", "սnit"), ("AB", "ᎪB"), ("KING", "ᏦІNG"), ("ковёр", "kовёр")):
+        assert reader.text(mixed) == reader.text(plain) != mixed, mixed
+    for a, b in (("van", "ναν"), ("tok", "ток"), ("king", "кинг"), ("value", "valueя"), ("u", "υ"), ("v", "ν"), ("kita", "кита")):
+        assert reader.text(a) != reader.text(b), (a, b)
+    # which script is meant is decided by the bigrams: without them a word of shared letters is read as Latin
+    assert reader.text("cop") == reader.text("сор") == "сор" != L.Reader([]).text("сор")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*CORPUS, "cop", "сop"])], "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in L.consistent_text(df).collect()}
+    assert got[len(CORPUS)] == got[len(CORPUS) + 1] == "сор"
+
+
+def test_pairs_are_those_of_equal_forms(spark):
+    """Over texts with planted letters: the pairs by digests of classes are the pairs of equal consistent texts."""
+    rng = random.Random(4)
+    first, members = L.classes()
+    texts = list(CORPUS)
+    for _ in range(120):
+        base = rng.choice(CORPUS)
+        swap = lambda c: rng.choice(members[first[c]]) if c in first and rng.random() < 0.2 else rng.choice(L.near()[c]) if c in L.near() and rng.random() < 0.1 else c
+        texts.append("".join(swap(c) for c in base))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    form = {r.doc_id: r.text for r in L.consistent_text(df).collect()}
+    want = {(i, j) for i in form for j in form if i < j and form[i] == form[j] and texts[i] != texts[j]}
+    assert len(want) > 100 and {tuple(r) for r in L.lookalike_pairs(df).collect()} == want
+
+
+def test_hot_texts_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK", 7)
+    texts = ["same text"] * 60 + ["sаme text"] * 40 + ["other"] * 50
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = [tuple(r) for r in L.lookalike_pairs(df).collect()]
+    assert len(got) == len(set(got)) == 2400 and set(got) == {(i, j) for i in range(60) for j in range(60, 100)}
+
+
 def test_pairs_against_brute_force(spark):
     texts = [x for pair in SAME + DIFFERENT for x in pair] + ["plain text"] * 30 + [None, "", " ", "​"]
     df = spark.createDataFrame([(i, t, "f") for i, t in enumerate(texts)] + [(0, texts[0], "f"), (None, "plain text", "f")], "doc_id bigint, text string, form string")
