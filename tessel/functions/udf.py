@@ -29,11 +29,12 @@ def strip_accents(x: Column | str) -> Column:
     return F.pandas_udf(run, "string")(x)
 
 
-def nfc(x: Column | str) -> Column:
-    """Canonical composition."""
+def fold(x: Column | str) -> Column:
+    """Without accents, composed."""
+    plain = lambda t: t if t.isascii() else unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn"))
 
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: t if t.isascii() else unicodedata.normalize("NFC", t), na_action="ignore")
+        return s.map(plain, na_action="ignore")
 
     return F.pandas_udf(run, "string")(x)
 

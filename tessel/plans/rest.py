@@ -11,27 +11,30 @@ from tessel.functions import qa
 from tessel.functions import text as T
 from tessel.operators import builders as B
 from tessel.operators import lookups
+from tessel.operators import search as SEARCH
 from tessel.operators import similarity as SIM
 from tessel.plans.builders import _M, _POS, positives, samples
 from tessel.plans.joins import _SPANS, firsts, links, paras
 from tessel.plans.metrics import predictions
-from tessel.plans.retrieval import _INDEX, _P, _Q, title_hits
 from tessel.sources.tables import latest, table
 
 
 @query(None)
 def j22_negative_candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Candidates per record from one link hop and from title search, gold titles removed, with their sources."""
+    """Candidates per record from one link hop, from search for the question and for the words it shares with its gold, gold titles removed, with their sources."""
     gold = positives(spark, path).select("sample_uid", F.col("p.title").alias("title")).where("title is not null").distinct()
     first = firsts(spark, path)
     index = first.groupBy("title").agg(F.min("doc_id").cast("bigint").alias("doc_id"))
     hops = lookups.map_titles(links(spark, path), first).where("idx <> -1").select("doc_id", F.col("title").alias("other")).distinct()
     linked = gold.join(index, "title").join(hops, "doc_id").select("sample_uid", F.col("other").alias("title"), F.lit("hl").alias("src"))
-    terms = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("question"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("term")
-    asked = samples(spark, path).where("question <> ''").select("sample_uid", terms)
-    hits = SIM.bm25(SIM.inverted_index(paras(spark, path), "idx", "title"), asked, "idx", "sample_uid")
-    top = hits.withColumn("rn", F.row_number().over(Window.partitionBy("sample_uid").orderBy(F.col("score").desc(), "idx"))).where("rn <= 10")
-    found = top.join(paras(spark, path).select("idx", "title"), "idx").select("sample_uid", "title", F.lit("bm25").alias("src"))
+    # the question, and the words that it shares with its gold paragraphs
+    words = lambda c: F.array_distinct(SEARCH.standard(c))
+    asked = samples(spark, path).where("question <> ''").select("sample_uid", "question", words(F.concat_ws(" ", "pos_paras.text")).alias("w"))
+    shared = asked.select("sample_uid", F.array_join(F.array_intersect(words(F.col("question")), "w"), " ").alias("question")).where("question <> ''")
+    p = latest(table(spark, path, "index_paras"), "idx", "title", "title_unescaped", "text")
+    index = SEARCH.field_index(p, "idx")
+    top = [SEARCH.search(index, SEARCH.field_terms(q, "sample_uid", "question"), 10).select(F.col("query").alias("sample_uid"), F.col("key").alias("idx"), F.lit(src).alias("src")) for q, src in ((asked, "bm25"), (shared, "overlap"))]
+    found = top[0].unionByName(top[1]).join(p.select("idx", "title"), "idx").select("sample_uid", "title", "src")
     every = linked.unionByName(found).where("title is not null").join(gold, ["sample_uid", "title"], "left_anti")
     return every.groupBy("sample_uid", "title").agg(F.array_join(F.array_sort(F.collect_set("src")), "+").alias("src"))
 
@@ -81,13 +84,6 @@ def m25_explanation_score(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("sample_uid", "para_no", F.round(M.token_f1(gold, F.col("whole")), 6).alias("overall"), F.round(best, 6).alias("best"))
 
 
-@query(f"with {_P}, {_INDEX.format('tu')}, {_Q} select query_uid, idx, score from (select *, row_number() over (partition by query_uid order by score desc, idx) as rn from hits) where rn between 3 and 7")
-def l12_search_page(spark: SparkSession, path: str) -> DataFrame:
-    """The third to the seventh hit of every question: offset and size."""
-    w = Window.partitionBy("query_uid").orderBy(F.col("score").desc(), "idx")
-    return title_hits(spark, path).withColumn("rn", F.row_number().over(w)).where("rn between 3 and 7").select("query_uid", "idx", "score")
-
-
 @query(None)
 def i13_whole_word_spans(spark: SparkSession, path: str) -> DataFrame:
     """Seeded spans of one to three words of every text, overlapping or touching ones merged by a fold."""

@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from tessel.catalog import query
 from tessel.functions import text as T
+from tessel.operators import search as SEARCH
 from tessel.operators import similarity as SIM
 from tessel.sources.tables import latest, table
 
-_P = "p as (select idx, any_value(title) as title, any_value(title_unescaped) as tu, any_value(para_id) as para_id, any_value(text) as text from index_paras group by idx)"
+_P = "p as (select idx, any_value(title) as title, any_value(title_unescaped) as tu, any_value(para_id) as para_id, any_value(text) as text, bool_or(for_hotpot) as for_hotpot from index_paras group by idx)"
 _INDEX = r"""tok as (select idx, unnest(t) as term, len(t) as dl from (select idx, regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+') as t from p where {0} is not null)),
 inv as (select term, idx, dl, count(*) as tf from tok group by all)"""
 
 
 def paras(spark: SparkSession, path: str) -> DataFrame:
-    return latest(table(spark, path, "index_paras"), "idx", "title", "title_unescaped", "para_id", "text")
+    return latest(table(spark, path, "index_paras"), "idx", "title", "title_unescaped", "para_id", "text", "for_hotpot")
 
 
 def queries(spark: SparkSession, path: str) -> DataFrame:
@@ -30,23 +31,57 @@ def s20_inverted_index(spark: SparkSession, path: str) -> DataFrame:
     return SIM.inverted_index(paras(spark, path), "idx", "text")
 
 
-_Q = r"""q as (select distinct query_uid, question from iter_queries where question is not null), qt as (select distinct query_uid, unnest(regexp_extract_all(lower(question), '[\p{L}\p{N}]+')) as term from q),
-st as (select count(*) as n, sum(dl) * 1.0 / count(*) as m from (select distinct idx, dl from inv)), dfs as (select term, count(*) as df from inv group by term),
-hits as (select query_uid, idx, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / m))), 6) as score from qt join inv using (term) join dfs using (term), st group by query_uid, idx)"""
+_WORDS = r"regexp_extract_all({0}, '[\p{{L}}\p{{N}}]+')"
+_NO_STOPS = f"list_filter({{0}}, lambda w: w not in ({', '.join(repr(w) for w in SEARCH.STOPS)}))"
+_FOLD = "nfc_normalize(strip_accents(lower({0})))"
+_GRAMS = "(with z as (select {0} as t) select list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) from z)"
+_FIELDS = [
+    ("title", "title", 1.25, "letters"), ("title_unescaped", "tu", 1.25, "letters"), ("text", "text", 1.0, "standard"),
+    ("title.bigram", "title", 1.25, "pairs"), ("title_unescaped.bigram", "tu", 1.25, "pairs"), ("text.bigram", "text", 1.0, "pairs_without_stops"),
+]
 
 
-def title_hits(spark: SparkSession, path: str) -> DataFrame:
-    """BM25 of the questions in the title field."""
-    terms = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("question"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("term")
-    index = SIM.inverted_index(paras(spark, path), "idx", "title_unescaped")
-    return SIM.bm25(index, queries(spark, path).select("query_uid", terms), "idx", "query_uid")
+def _analysed(kind: str, x: str) -> str:
+    words = _WORDS.format(f"lower({x})")
+    folded = _WORDS.format(_FOLD.format(x))
+    return {
+        "letters": f"regexp_extract_all(lower({x}), '\\p{{L}}+')", "standard": _NO_STOPS.format(words), "pairs": _GRAMS.format(folded), "pairs_without_stops": _GRAMS.format(_NO_STOPS.format(folded)),
+    }[kind]
 
 
-@query(f"with {_P}, {_INDEX.format('tu')}, {_Q} select query_uid, idx, score, cast(rn as integer) as rank from (select *, row_number() over (partition by query_uid order by score desc, idx) as rn from hits) where rn <= 10")
+_FT = " union all ".join(f"select idx, '{f}' as field, {b} as boost, {_analysed(kind, c)} as t from p where {c} is not null" for f, c, b, kind in _FIELDS)
+_QT = " union all ".join(f"select query_uid, '{f}' as field, {_analysed(kind, 'question')} as t from q" for f, _, _, kind in _FIELDS)
+_Q = f"""q as (select distinct query_uid, question from iter_queries where question is not null), ft as ({_FT}), tok as (select idx, field, boost, len(t) as dl, unnest(t) as term from ft),
+inv as (select field, boost, term, idx, dl, count(*) as tf from tok group by all), st as (select field, count(*) as n, sum(dl) * 1.0 / count(*) as m from (select distinct field, idx, dl from inv) group by field),
+dfs as (select field, term, count(*) as df from inv group by all), qt as (select distinct query_uid, field, unnest(t) as term from ({_QT})),
+per as (select query_uid, idx, field, sum(boost * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / m))) as score from qt join inv using (field, term) join dfs using (field, term) join st using (field) group by all),
+hits as (select query_uid, idx, round(max(score), 6) as score from per group by all)"""
+
+
+def hits(spark: SparkSession, path: str, k: int, allowed: DataFrame | None = None, barred: DataFrame | None = None) -> DataFrame:
+    """(query_uid, idx, score, rank): the k best paragraphs of every question over the six fields."""
+    index = SEARCH.field_index(paras(spark, path), "idx")
+    found = SEARCH.search(index, SEARCH.field_terms(queries(spark, path), "query_uid", "question"), k, allowed=allowed, barred=barred)
+    return found.select(F.col("query").alias("query_uid"), F.col("key").alias("idx"), "score", "rank")
+
+
+@query(f"with {_P}, {_Q} select query_uid, idx, score, cast(rn as integer) as rank from (select *, row_number() over (partition by query_uid order by score desc, idx) as rn from hits) where rn <= 10")
 def l11_bm25(spark: SparkSession, path: str) -> DataFrame:
-    """Ten best paragraphs by title for every question."""
-    w = Window.partitionBy("query_uid").orderBy(F.col("score").desc(), "idx")
-    return title_hits(spark, path).withColumn("rank", F.row_number().over(w)).where("rank <= 10")
+    """Ten best paragraphs for every question over title, unescaped title, text and their bigrams; the best boosted field counts."""
+    return hits(spark, path, 10)
+
+
+_GOLD = "gold as (select distinct query_uid, unnest(sp) as title from iter_queries where sp is not null)"
+
+
+@query(f"""with {_P}, {_Q}, {_GOLD}, h as (select * from hits where idx in (select idx from p where for_hotpot) and (query_uid, idx) not in (select query_uid, idx from gold join p using (title)))
+select query_uid, idx, score from (select *, row_number() over (partition by query_uid order by score desc, idx) as rn from h) where rn between 3 and 7""")
+def l12_search_page(spark: SparkSession, path: str) -> DataFrame:
+    """A page of hits, offset 2 and size 5, among the paragraphs of one collection (filter) and without those of gold titles (must not)."""
+    p = paras(spark, path)
+    gold = queries(spark, path).select("query_uid", F.explode("sp").alias("title")).distinct()
+    barred = gold.join(p.select("idx", "title"), "title").select("query_uid", "idx")
+    return hits(spark, path, 7, allowed=p.where("for_hotpot").select("idx"), barred=barred).where("rank > 2").select("query_uid", "idx", "score")
 
 
 _CORE = r"trim(regexp_replace(tu, '\s*\([^)]*\)$', ''))"
@@ -54,10 +89,11 @@ _BOOST = f"""case when tu in (question, q1) then 1.5 when lower(tu) in (lower(qu
  when lower({_CORE}) in (lower(question), lower(q1)) then 1.1 when contains(lower(question), lower({_CORE})) then 1.05 else 1 end"""
 
 
-@query(f"""with {_P}, {_INDEX.format('tu')}, {_Q}, r as (select query_uid, idx, round(score * {_BOOST}, 6) as score from hits join (select *, case when lower(left(question, 4)) = 'the ' and left(question, 1) in ('T', 't') then substr(question, 5) else question end as q1 from q) using (query_uid) join p using (idx))
-select query_uid, idx, score, cast(rn as integer) as rank from (select *, row_number() over (partition by query_uid order by score desc, idx) as rn from r) where rn <= 5""")
+@query(f"""with {_P}, {_Q}, best as (select * from (select *, row_number() over (partition by query_uid order by score desc, idx) as rn from hits) where rn <= 50),
+r as (select query_uid, idx, round(score * {_BOOST}, 6) as score from best join (select *, case when lower(left(question, 4)) = 'the ' and left(question, 1) in ('T', 't') then substr(question, 5) else question end as q1 from q) using (query_uid) join p using (idx))
+select query_uid, idx, score, cast(rn as integer) as rank from (select *, row_number() over (partition by query_uid order by score desc, idx) as rn from r) where rn <= 10""")
 def l13_rerank_by_title(spark: SparkSession, path: str) -> DataFrame:
-    """Hits boosted by how the title meets the question, five best."""
+    """Fifty hits of every question boosted by how their title meets it, the ten best of them."""
     q, t = F.col("question"), F.col("title_unescaped")
     bare = F.when(q.rlike("^[Tt]he "), F.substring(q, 5, 1 << 20)).otherwise(q)
     core = F.trim(F.regexp_replace(t, r"\s*\([^)]*\)$", ""))
@@ -65,9 +101,9 @@ def l13_rerank_by_title(spark: SparkSession, path: str) -> DataFrame:
         F.when((t == q) | (t == bare), 1.5).when(F.lower(t).isin(F.lower(q), F.lower(bare)), 1.2).when(F.contains(q, F.lower(t)), 1.1).when((core == q) | (core == bare), 1.2)
         .when(F.lower(core).isin(F.lower(q), F.lower(bare)), 1.1).when(F.contains(F.lower(q), F.lower(core)), 1.05).otherwise(1.0)
     )
-    hits = title_hits(spark, path).join(queries(spark, path), "query_uid").join(paras(spark, path).select("idx", "title_unescaped"), "idx")
-    scored = hits.select("query_uid", "idx", F.round(F.col("score") * boost, 6).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_uid").orderBy(F.col("score").desc(), "idx"))).where("rank <= 5")
+    found = hits(spark, path, 50).join(queries(spark, path), "query_uid").join(paras(spark, path).select("idx", "title_unescaped"), "idx")
+    scored = found.select("query_uid", "idx", F.round(F.col("score") * F.coalesce(boost, F.lit(1.0)), 6).alias("score"))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_uid").orderBy(F.col("score").desc(), "idx"))).where("rank <= 10")
 
 
 @query(f"with {_P} select idx, para_id from p where para_id like '%_0'")
