@@ -52,6 +52,20 @@ def token_f1(pred: Column, gold: Column) -> Column:
     return T.let(F.struct(pred.alias("p"), gold.alias("g")), lambda x: _f1(multiset_same(x["p"], x["g"]), F.size(x["p"]), F.size(x["g"])))
 
 
+def hotpot(pred: Column, gold: Column) -> Column:
+    """struct(em, precision, recall) of two texts by normalised tokens; a verdict word (yes, no, noanswer) on one side only counts as nothing."""
+
+    def build(x: Column) -> Column:
+        tokens = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+        verdict = lambda c: c.isin("yes", "no", "noanswer")
+        em = x["p"] == x["g"]
+        same = F.when(~em & (verdict(x["p"]) | verdict(x["g"])), 0).otherwise(multiset_same(tokens(x["p"]), tokens(x["g"])))
+        share = lambda c: F.coalesce(same / F.nullif(F.size(tokens(c)), F.lit(0)), F.lit(0.0))
+        return F.struct(em.cast("int").alias("em"), share(x["p"]).alias("precision"), share(x["g"]).alias("recall"))
+
+    return T.let(F.struct(squad(pred).alias("p"), squad(gold).alias("g")), build)
+
+
 def set_f1(pred: Column, gold: Column) -> Column:
     """Set F1 with the number gate, rounded to two places half to even: 0 if the gold has numbers and none of them is predicted."""
 

@@ -37,6 +37,10 @@ def unescape(x: str) -> str:
     return replace_all(x, (("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")))
 
 
+def draw(seed: int, *key: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws('|', {seed}, {', '.join(key)})), 1, 7))::bigint / 268435456::double)"
+
+
 TOKENS = r"regexp_extract_all({}, '[\p{{L}}\p{{N}}\p{{M}}]+|[^\p{{Z}}\p{{C}}]')"
 SQUAD = r"""trim(regexp_replace(regexp_replace(regexp_replace(lower({}), '[!-/:-@\[-`{{-~\x{{2047}}]', '', 'g'),
  '(^|\s)((a|an|the)(\s+|$))+', '\1', 'g'), '[\s\x{{a0}}]+', ' ', 'g'))"""

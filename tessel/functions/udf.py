@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+import re
 import unicodedata
-from functools import cache
+from collections import Counter
+from functools import cache, lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -128,26 +132,81 @@ def to_number(x: Column | str) -> Column:
     return F.pandas_udf(run, "double")(x)
 
 
+# The suffix rules of the published Porter algorithm, longest first where one ends another.
+STEP2 = (
+    "ational ate, tional tion, enci ence, anci ance, izer ize, abli able, alli al, entli ent, eli e, ousli ous, ization ize, ation ate, ator ate, alism al, iveness ive, "
+    "fulness ful, ousness ous, aliti al, iviti ive, biliti ble"
+)
+STEP3 = "icate ic, ative , alize al, iciti ic, ical ic, ful , ness "
+STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize"
+
+
+def _pairs(rules: str) -> list[tuple[str, str]]:
+    return sorted(((x.split(" ")[0], x.split(" ")[1]) for x in rules.split(", ")), key=lambda x: -len(x[0]))
+
+
+_STEPS = (_pairs(STEP2), _pairs(STEP3), sorted(STEP4.split(), key=lambda x: -len(x)))
+
+
+def _shape(word: str) -> str:
+    """c or v for every letter; y is a vowel after a consonant."""
+    out = ""
+    for c in word:
+        out += "v" if c in "aeiou" or (c == "y" and out[-1:] == "c") else "c"
+    return out
+
+
+def _measure(word: str) -> int:
+    """How often a consonant follows a vowel."""
+    return _shape(word).count("vc")
+
+
+def _short(word: str) -> bool:
+    """Whether it ends consonant, vowel, consonant, the last none of w, x, y."""
+    return _shape(word)[-3:] == "cvc" and word[-1] not in "wxy"
+
+
+@lru_cache(maxsize=100_000)
 def stem(word: str) -> str:
-    """A light English stem: plural, -ed, -ing, -ly and doubled ends, by a vowel-aware rule; not a full Porter stemmer."""
+    """The stem of an English word by the Porter algorithm; words of one or two letters stay."""
     w = word.lower()
-    has_vowel = lambda t: any(c in "aeiouy" for c in t)
-    if w.endswith("sses"):
-        w = w[:-2]
-    elif w.endswith("ies"):
-        w = w[:-2]
-    elif w.endswith("s") and not w.endswith(("ss", "us")) and has_vowel(w[:-2]):
-        w = w[:-1]
-    for end in ("eed", "ing", "ed", "ly"):
-        if w.endswith(end) and has_vowel(w[: -len(end)]) and len(w) - len(end) > 1:
-            w = w[: -len(end)] + ("ee" if end == "eed" else "")
-            if end in ("ing", "ed"):
-                if w.endswith(("at", "bl", "iz")):
-                    w += "e"
-                elif len(w) > 2 and w[-1] == w[-2] and w[-1] not in "lsz":
-                    w = w[:-1]
+    if len(w) <= 2:
+        return w
+    for end, by in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
+        if w.endswith(end):
+            w = w[: len(w) - len(end)] + by
+            break
+    if w.endswith("eed"):
+        w = w[:-1] if _measure(w[:-3]) > 0 else w
+    else:
+        for end in ("ed", "ing"):
+            rest = w[: -len(end)]
+            if w.endswith(end):
+                if "v" in _shape(rest):
+                    w = rest
+                    if w.endswith(("at", "bl", "iz")):
+                        w += "e"
+                    elif len(w) > 1 and w[-1] == w[-2] and _shape(w)[-1] == "c" and w[-1] not in "lsz":
+                        w = w[:-1]
+                    elif _measure(w) == 1 and _short(w):
+                        w += "e"
+                break
+    if w.endswith("y") and "v" in _shape(w[:-1]):
+        w = w[:-1] + "i"
+    for rules in _STEPS[:2]:
+        for end, by in rules:
+            if w.endswith(end):
+                w = w[: -len(end)] + by if _measure(w[: -len(end)]) > 0 else w
+                break
+    for end in _STEPS[2]:
+        if w.endswith(end):
+            rest = w[: -len(end)]
+            if _measure(rest) > 1 and (end != "ion" or rest.endswith(("s", "t"))):
+                w = rest
             break
-    return w[:-1] + "i" if len(w) > 2 and w.endswith("y") and has_vowel(w[:-1]) else w
+    if w.endswith("e") and (_measure(w[:-1]) > 1 or (_measure(w[:-1]) == 1 and not _short(w[:-1]))):
+        w = w[:-1]
+    return w[:-1] if w.endswith("ll") and _measure(w) > 1 else w
 
 
 def stems(tokens: Column | str) -> Column:
@@ -157,6 +216,192 @@ def stems(tokens: Column | str) -> Column:
     return F.pandas_udf(run, "array<string>")(tokens)
 
 
+# The token classes of the Penn-like tokenizer, in order.
+_ALNUM = r"[\p{L}\p{N}\p{M}]++"
+CLASSES = {
+    "digit": r"\p{Nd}+([:\.\,]\p{Nd}+)*",
+    "title": r"(dr|esq|hon|jr|mr|mrs|ms|prof|rev|sr|st|rt|messrs|mmes|msgr)\.(?=\p{Z})",
+    "abbreviation": r"([\p{L}]\.){2,}(?=\p{Z}|$)",
+    "negation": r"((?!n't)[\p{L}\p{N}\p{M}])++(?=n't)|n't",
+    "hyphenated": _ALNUM + r"([-\u058A\u2010\u2011]" + _ALNUM + ")+",
+    "cannot": r"can(?=not\b)",
+    "word": _ALNUM,
+    "contraction": r"'([tsdm]|re|ll|ve)\b",
+    "open_double": r"(?<=[\p{Z}\(\[{<]|^)(``|[\"\u0093\u201C\u00AB])(?!\p{Z})",
+    "close_double": r"(?<!\p{Z})(''|[\"\u0094\u201D\u00BB])",
+    "open_single": r"(?<=[\p{Z}\(\[{<]|^)['\u0091\u2018\u201B\u2039](?!\p{Z})",
+    "close_single": r"(?<!\p{Z})['\u0092\u2019\u203A]",
+    "dash": r"--|[\u0096\u0097\u2013\u2014\u2015]",
+    "ellipsis": r"\.\.\.|\u2026",
+    "punctuation": r"\p{P}",
+    "other": r"[^\p{Z}\p{C}]",
+}
+NORMAL = {"open_double": "``", "close_double": "''", "open_single": "`", "close_single": "'", "dash": "--", "ellipsis": "..."}
+
+
+@cache
+def _penn():
+    import regex
+
+    return regex.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in CLASSES.items()), regex.IGNORECASE | regex.UNICODE | regex.MULTILINE)
+
+
+def penn_tokens(text: str) -> list[tuple[str, int, int]]:
+    """(token, start, end) of sixteen classes, the first that matches at a place; quotes, dashes and ellipses in one form."""
+    return [(NORMAL.get(m.lastgroup, m.group()), *m.span()) for m in _penn().finditer(text)]
+
+
+def penn(x: Column | str) -> Column:
+    """array<struct<token, s, e>> of :func:`penn_tokens`."""
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: [{"token": w, "s": a, "e": b} for w, a, b in penn_tokens(t)], na_action="ignore")
+
+    return F.pandas_udf(run, "array<struct<token: string, s: int, e: int>>")(x)
+
+
+def normalise_numbers(text: str, base_ten: bool = False) -> str:
+    """The text with its numbers, in digits or in a word, as plain numbers or in place notation; other words and the blanks between stay."""
+
+    def one(m) -> str:
+        token = m[0]
+        if not (token.lower().strip(".,") in number_words() or (len(token) > 1 and set(token) <= set("0123456789,-."))):
+            return token
+        value = words_to_number(token)
+        if value is None:
+            return token
+        whole = value == int(value) and "." not in token.strip(".,")
+        number = str(int(value)) if whole else str(value)
+        return places(number) if base_ten else number
+
+    return re.sub(r"\S+", one, text)
+
+
+def places(number: str) -> str:
+    """'123' as '1 10e2 2 10e1 3 10e0'."""
+    whole, _, rest = number.lstrip("-").partition(".")
+    digits = [f"{d} 10e{len(whole) - 1 - i}" for i, d in enumerate(whole + rest)]
+    return ("- " if number.startswith("-") else "") + " ".join(digits)
+
+
+def with_normal_numbers(x: Column | str, base_ten: bool = False) -> Column:
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: normalise_numbers(t, base_ten), na_action="ignore")
+
+    return F.pandas_udf(run, "string")(x)
+
+
+def _grams(tokens: list[str], most: int) -> Counter:
+    return Counter(tuple(tokens[i : i + n]) for n in range(1, most + 1) for i in range(len(tokens) - n + 1))
+
+
+def bleu(tokens: list[str], references: list[list[str]], most: int = 2, smooth: bool = False) -> float:
+    """100 x BLEU of one token list against several: clipped n-gram precision, brevity by the shortest reference; smoothing adds one to both counts."""
+    clip: Counter = Counter()
+    for r in references:
+        clip |= _grams(r, most)
+    hit, total = [0] * most, [max(0, len(tokens) - n) for n in range(most)]
+    for gram, n in (_grams(tokens, most) & clip).items():
+        hit[len(gram) - 1] += n
+    share = [(h + 1) / (t + 1) if smooth else h / t if t else 0.0 for h, t in zip(hit, total, strict=True)]
+    if min(share) <= 0 or not references or not tokens:
+        return 0.0
+    ratio = len(tokens) / max(1, min(len(r) for r in references))
+    return 100 * math.exp(sum(math.log(p) for p in share) / most) * (math.exp(1 - 1 / ratio) if ratio <= 1 else 1.0)
+
+
+def self_bleu(texts: list[list[str]], most: int = 2, smooth: bool = False) -> list[float]:
+    """BLEU of every token list against all others."""
+    return [bleu(t, texts[:i] + texts[i + 1 :], most, smooth) for i, t in enumerate(texts)]
+
+
+def soft_unique(texts: list[list[str]], below: float = 50, most: int = 2, smooth: bool = True) -> list[int]:
+    """Places of the token lists that stay when the one most like the others goes until their mean self-BLEU is at most ``below`` or two are left."""
+    kept = list(range(len(texts)))
+    while len(kept) > 2:
+        scores = self_bleu([texts[i] for i in kept], most, smooth)
+        if sum(scores) / len(scores) <= below:
+            break
+        kept.pop(scores.index(max(scores)))
+    return kept
+
+
+def self_bleus(lists: Column | str) -> Column:
+    """array<double> of :func:`self_bleu` of lists of texts cut at blanks."""
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else self_bleu([(t or "").split() for t in x]))
+
+    return F.pandas_udf(run, "array<double>")(lists)
+
+
+def soft_uniques(lists: Column | str) -> Column:
+    """array<int> of :func:`soft_unique` of lists of texts cut at blanks."""
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else soft_unique([(t or "").split() for t in x]))
+
+    return F.pandas_udf(run, "array<int>")(lists)
+
+
+def best_assignment(scores: np.ndarray) -> list[tuple[int, int]]:
+    """(row, column) pairs of the assignment of the highest sum, each row and column at most once (shortest augmenting paths)."""
+    flip = scores.shape[0] > scores.shape[1]
+    cost = -(scores.T if flip else scores)
+    n, m = cost.shape
+    u, v, owner = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
+    for i in range(1, n + 1):
+        owner[0], at = i, 0
+        least, back, seen = np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
+        while owner[at]:
+            seen[at] = True
+            slack = cost[owner[at] - 1] - u[owner[at]] - v[1:]
+            better = ~seen[1:] & (slack < least[1:])
+            least[1:][better], back[1:][better] = slack[better], at
+            to = int(np.where(seen, np.inf, least)[1:].argmin()) + 1
+            step = least[to]
+            u[owner[seen]] += step
+            v[seen] -= step
+            least[~seen] -= step
+            at = to
+        while at:
+            owner[at], at = owner[back[at]], back[at]
+    pairs = [(owner[j] - 1, j - 1) for j in range(1, m + 1) if owner[j]]
+    return sorted((j, i) if flip else (i, j) for i, j in pairs)
+
+
+def aligned_f1(predicted: list[set[str]], gold: list[set[str]]) -> float:
+    """Mean F1 over spans given as token sets in their best one-to-one alignment, over as many places as the longer side has, to two places; a gold span with numbers
+    matches only a predicted one with one of them."""
+    scores = np.zeros((len(gold), len(predicted)))
+    for i, g in enumerate(gold):
+        numbers = {w for w in g if _is_float(w)}
+        for j, p in enumerate(predicted):
+            if not numbers or numbers & p:
+                both = len(g & p)
+                precision, recall = both / len(p) if p else 1.0, both / len(g) if g else 1.0
+                scores[i, j] = 2 * precision * recall / (precision + recall) if precision + recall else 0.0
+    best = [scores[i, j] for i, j in best_assignment(scores)] if gold and predicted else []
+    return round(sum(best) / max(len(gold), len(predicted), 1), 2)
+
+
+def _is_float(word: str) -> bool:
+    try:
+        float(word)
+    except ValueError:
+        return False
+    return True
+
+
+def span_f1(predicted: Column, gold: Column) -> Column:
+    """:func:`aligned_f1` of two lists of token lists."""
+
+    def run(p: pd.Series, g: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else aligned_f1([set(t) for t in x], [set(t) for t in y]) for x, y in zip(p, g, strict=True)], dtype="float64")
+
+    return F.pandas_udf(run, "double")(predicted, gold)
+
+
 def original_span(pred: Column | str, text: Column | str) -> Column:
     """The part of the original text whose letters and digits are those of a normalised prediction; the prediction where there is none."""
 

@@ -14,8 +14,9 @@ from tessel.session import cut
 
 
 def draw(seed: int, *key: Column | str) -> Column:
-    """A number in [0, 1) that depends on the seed and the key only."""
-    return F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 30)) / (1 << 30)
+    """A number in [0, 1) that depends on the seed and the key only: 28 bits of an MD5 digest, so that any SQL engine can draw the same."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in key]).cast("binary"))
+    return F.conv(F.substring(digest, 1, 7), 16, 10).cast("bigint") / (1 << 28)
 
 
 def spans_to_sentences(text: Column, spans: Column, labels: Column) -> Column:
@@ -68,6 +69,24 @@ def top_up(groups: DataFrame, have: DataFrame, excluded: DataFrame, pool: DataFr
     raise RuntimeError("the pool does not fill all groups")
 
 
+def consolidate_evidence(rows: DataFrame, key: str, set_no: str, title: str, label: str, at: str) -> DataFrame:
+    """(key, set_no, title, labels, single) of evidence sets, a row per sentence (with its place ``at`` in the set).
+
+    Sets of one sentence merge by title with sorted distinct labels, as any of them will do (single, no set_no). In a set of several sentences all are needed: it keeps its
+    number and its titles with their labels; if all are of one title, each sentence gets a name of its own, title_vvv0, title_vvv1, in order.
+    """
+    sizes = rows.groupBy(key, set_no).agg(F.count("*").alias("_n"), F.countDistinct(title).alias("_titles"))
+    sized = rows.join(sizes, [key, set_no])
+    lone = sized.where("_n = 1").groupBy(key, title).agg(F.array_sort(F.collect_set(label)).alias("labels"))
+    several = sized.where("_n > 1").groupBy(key, set_no, title, label, "_titles").agg(F.min(at).alias("_at"))
+    number = F.row_number().over(Window.partitionBy(key, set_no).orderBy("_at")) - 1
+    apart = several.where("_titles = 1").select(key, set_no, F.concat(title, F.lit("_vvv"), number.cast("string")).alias(title), F.array(label).alias("labels"))
+    joint = several.where("_titles > 1").groupBy(key, set_no, title).agg(F.array_sort(F.collect_set(label)).alias("labels"))
+    none = F.lit(None).cast(dict(rows.dtypes)[set_no]).alias(set_no)
+    every = lone.select(key, none, title, "labels", F.lit(True).alias("single"))
+    return every.unionByName(apart.unionByName(joint).select(key, set_no, title, "labels", F.lit(False).alias("single")))
+
+
 def pack_cut(df: DataFrame, group: list[str], order: list[Column], words: str, most: int) -> DataFrame:
     """Rows of every group in order while they fit ``most``, each costing its words and one; the first that does not fit is cut to what is left, less one, and ends its group.
 

@@ -13,7 +13,7 @@ from tessel.functions import sql as S
 from tessel.functions import text as T
 from tessel.operators import builders as B
 from tessel.operators.shredding import parse_order
-from tessel.plans.records import _RR, ranking
+from tessel.plans.records import _BARE, _RR, ranking
 from tessel.session import cut
 from tessel.sources.tables import latest, table
 
@@ -31,7 +31,13 @@ def positives(spark: SparkSession, path: str) -> DataFrame:
     return samples(spark, path).select("sample_uid", F.posexplode("pos_paras").alias("i", "p"))
 
 
-@query(None)
+@query(f"""with m as (select distinct on (sample_uid) sample_uid, bridge from mdr_samples order by sample_uid, loaded_at desc), typed as (select sample_uid, bridge, case when bridge is null or bridge = '' then 'NONE' when json_valid(bridge) then json_type(bridge) else 'BARE' end as t from m),
+steps as (select sample_uid, cast(s.key as integer) as o, s.value as v, json_type(s.value) as vt from (select * from typed where t = 'ARRAY') x, json_each(x.bridge) s),
+inner_ as (select sample_uid, o, cast(e.key as integer) as k, e.value ->> '$' as title from (select * from steps where vt = 'ARRAY') y, json_each(y.v) e union all select sample_uid, o, 0, v ->> '$' from steps where vt = 'VARCHAR'),
+l as (select s.sample_uid, s.o, coalesce(list(k.title order by k.k) filter (k.k is not null), []) as titles from steps s left join inner_ k using (sample_uid, o) group by all),
+a as (select sample_uid, list(titles order by o) as bridge from l group by sample_uid),
+x as (select t.sample_uid, case when t = 'NONE' then [] when t = 'VARCHAR' then [[t.bridge ->> '$']] when t = 'ARRAY' then coalesce(a.bridge, []) else [[t.bridge]] end as bridge from typed t left join a using (sample_uid))
+select sample_uid, bridge, cast(len(flatten(bridge)) as integer) as num_hops from x""")
 def d11_evidence_order(spark: SparkSession, path: str) -> DataFrame:
     """Evidence order in its four encodings as lists of lists with the number of hops."""
     order = F.pandas_udf(lambda s: s.map(parse_order), "array<array<string>>")
@@ -76,7 +82,10 @@ def t42_encode_sentences(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("sample_uid", "para_no", F.transform("s", lambda s: F.concat(F.lit("[unused1] "), s)).alias("parts"))
 
 
-@query(None)
+@query(f"""with {_M}, p as (select sample_uid, 0 as kind, unnest(list_transform(pos_paras, lambda p: p.text)) as text, generate_subscripts(pos_paras, 1) - 1 as i from m where question <> '' union all
+ select sample_uid, 1, unnest(list_transform(neg_paras, lambda p: p.text)), generate_subscripts(neg_paras, 1) - 1 from m where question <> ''), c as (select *, len({S.words("text")}) + 2 as cost from p where text <> '' and (kind = 0 or {S.draw(7, "sample_uid", "i")} < 0.5)),
+t as (select *, sum(cost) over (partition by sample_uid order by kind, i rows unbounded preceding) as total from c)
+select sample_uid, string_agg(text, ' ' order by kind, i) as context, cast(max(total) as bigint) as cost, cast(sum(kind) as bigint) as negatives from t where total < 200 group by sample_uid""")
 def g01_packed_context(spark: SparkSession, path: str) -> DataFrame:
     """Question, positives and a seeded half of the negatives within a budget of words; positives come first."""
     rows = samples(spark, path).where("question <> ''")
@@ -90,7 +99,12 @@ def g01_packed_context(spark: SparkSession, path: str) -> DataFrame:
     return packed
 
 
-@query(None)
+@query(f"""with {_M}, n as (select sample_uid, question, pos_paras, unnest(neg_paras) as p, generate_subscripts(neg_paras, 1) - 1 as i from m where question <> '' and len(neg_paras) > 0),
+k as (select *, row_number() over (partition by sample_uid order by i) - 1 as j from n where p.text is not null and not coalesce(list_contains(list_transform(pos_paras, lambda x: x.title), p.title), false)),
+r as (select *, row_number() over (partition by sample_uid order by {S.draw(7, "sample_uid", "j")}, p.text) as rn from k),
+c as (select sample_uid, string_agg(p.text, ' ' order by rn) as context from r where rn <= 4 group by sample_uid),
+x as (select m.sample_uid, question, coalesce(context, '') as context from m left join c using (sample_uid) where question <> '' and len(neg_paras) > 0)
+select sample_uid, regexp_replace(regexp_replace({_BARE("question")}, '[.!?]$', '') || '?', '\\?\\?$', '?') || ' \\n' || case when context <> '' then ' ' || {_BARE("context")} else '' end || ' ' || chr(9) || '<No Answer>' as line from x""")
 def g02_unanswerable(spark: SparkSession, path: str) -> DataFrame:
     """Records without their gold: negatives only, answer '<No Answer>'."""
     rows = samples(spark, path).where("question <> '' and size(neg_paras) > 0")
@@ -101,7 +115,11 @@ def g02_unanswerable(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("sample_uid", qa.example(F.col("question"), context, F.lit("<No Answer>")).alias("line"))
 
 
-@query(None)
+@query(f"""with {_M}, {_POS}, {_SENTS}, b as (select sample_uid, i, p.text as t, p.sentence_spans as spans, p.sentence_labels as labels from pos where p.sentence_labels is not null and p.sentence_spans is not null and p.text is not null),
+y as (select sample_uid, i, string_agg({S.close('s')}, ' ' order by k) as positive from sents where s <> '' group by all),
+o as (select sample_uid, i, k, {S.strip("substr(t, sp[1] + 1, sp[2] - sp[1])")} as s from (select sample_uid, i, t, labels, unnest(spans) as sp, generate_subscripts(spans, 1) - 1 as k from b) where not list_contains(labels, k)),
+n as (select sample_uid, i, string_agg({S.close('s')}, ' ' order by k) as negative from o where s <> '' group by all)
+select sample_uid, cast(i as integer) as para_no, coalesce(positive, '') as positive, coalesce(negative, '') as negative from b left join y using (sample_uid, i) left join n using (sample_uid, i)""")
 def g03_ranking_pairs(spark: SparkSession, path: str) -> DataFrame:
     """Positive text (gold sentences) and negative text (the rest) of every positive paragraph."""
     rows = positives(spark, path).where("p.sentence_labels is not null and p.sentence_spans is not null and p.text is not null")
@@ -200,7 +218,7 @@ def j12_top_up_negatives(spark: SparkSession, path: str) -> DataFrame:
     return found.join(docs.select("idx", T.unescape("title").alias("title")), "idx").select("sample_uid", "idx", "title", F.when(F.col("origin") == "own", "hl").otherwise("rd").alias("src"))
 
 
-@query(None)
+@query(f"with {_M} select case when coalesce(len(neg_paras), 0) >= 10 then 'ok' when coalesce(len(neg_paras), 0) > 0 then 'sf' else 'nf' end as status, count(*) as n from m group by 1")
 def j13_negative_status(spark: SparkSession, path: str) -> DataFrame:
     """Records by the number of own negatives: ok, sf (fewer than ten) or nf (none)."""
     n = F.coalesce(F.when(F.col("neg_paras").isNotNull(), F.size("neg_paras")), F.lit(0))
@@ -227,43 +245,33 @@ def w17_recall(spark: SparkSession, path: str) -> DataFrame:
 
 @query(None)
 def w14_soft_unique(spark: SparkSession, path: str) -> DataFrame:
-    """Answers of a record without those most like the others: while the highest mean token overlap is 0.8 or more, its item goes. Lists are short, so each is folded in its row."""
+    """Normalised answers of a record that stay when the one of the highest self-BLEU goes until their mean is 50 or two are left. Lists are short, so each is folded in its row."""
+    rows = ranking(spark, path).where("size(answers) > 0")
+    normal = F.transform("answers", lambda a: M.squad(F.coalesce(a, F.lit(""))))
+    return rows.select("rr_uid", udf.soft_uniques(normal).alias("kept"))
 
-    def thin(items):
-        kept = [(i, set(t.lower().split())) for i, t in enumerate(items if items is not None else []) if t]
-        while len(kept) > 1:
-            mean = [sum(len(a & b) / max(1, len(a | b)) for j, (_, b) in enumerate(kept) if j != i) / (len(kept) - 1) for i, (_, a) in enumerate(kept)]
-            worst = max(range(len(kept)), key=lambda i: (mean[i], i))
-            if mean[worst] < 0.8:
-                break
-            kept.pop(worst)
-        return [i for i, _ in kept]
 
-    f = F.pandas_udf(lambda s: pd.Series([thin(x) for x in s]), "array<int>")
-    return ranking(spark, path).where("size(answers) > 0").select("rr_uid", f("answers").alias("kept"))
-
-
-@query(None)
+@query(f"with t as (select doc_id, source, sum(n_chars) over (partition by source order by {S.draw(7, 'doc_id')}, doc_id rows unbounded preceding) as total from documents where source is not null and n_chars > 0) select source, doc_id, cast(total as bigint) as total from t where total < 5000")
 def w16_random_sample(spark: SparkSession, path: str) -> DataFrame:
     """Documents of each source in a seeded order under a budget of characters."""
     docs = table(spark, path, "documents").where("source is not null and n_chars > 0").select("doc_id", "source", "n_chars")
-    return B.pack_budget(docs, ["source"], [F.xxhash64(F.lit(7), "doc_id"), F.col("doc_id")], F.col("n_chars"), 5000).select("source", "doc_id", "total")
+    return B.pack_budget(docs, ["source"], [B.draw(7, "doc_id"), F.col("doc_id")], F.col("n_chars"), 5000).select("source", "doc_id", "total")
 
 
-@query(None)
+@query(f"with r as (select doc_id, source, row_number() over (partition by source order by {S.draw(7, 'doc_id')}, doc_id) as turn from documents where source is not null), l as (select min(n) as least from (select count(*) as n from documents where source is not null group by source)) select doc_id, source, cast(turn as integer) as turn from r, l where turn <= least")
 def i05_round_robin_epoch(spark: SparkSession, path: str) -> DataFrame:
-    """An epoch of all sources in turn, each shuffled by a seeded hash, as long as the smallest."""
+    """An epoch of all sources in turn, each shuffled by a seeded draw, as long as the smallest."""
     docs = table(spark, path, "documents").where("source is not null").select("doc_id", "source")
-    rows = docs.withColumn("turn", F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id")))
+    rows = docs.withColumn("turn", F.row_number().over(Window.partitionBy("source").orderBy(B.draw(7, "doc_id"), "doc_id")))
     least = docs.groupBy("source").agg(F.count("*").alias("n")).agg(F.min("n").alias("least"))
     return rows.join(F.broadcast(least)).where("turn <= least").select("doc_id", "source", "turn")
 
 
-@query(None)
+@query(f"select o_orderkey, {S.draw(7, 'o_orderkey // 2')} as slot, o_orderkey % 2 as side from orders")
 def i06_pairs_shuffled(spark: SparkSession, path: str) -> DataFrame:
     """A seeded order of pairs that keeps the two rows of a pair together."""
     rows = table(spark, path, "orders").select("o_orderkey", F.floor(F.col("o_orderkey") / 2).alias("pair"))
-    return rows.select("o_orderkey", F.xxhash64(F.lit(7), "pair").alias("slot"), (F.col("o_orderkey") % 2).alias("side"))
+    return rows.select("o_orderkey", B.draw(7, "pair").alias("slot"), (F.col("o_orderkey") % 2).alias("side"))
 
 
 @query("with w as (select doc_id, string_split(text, ' ') as w from documents where text is not null) select doc_id, array_to_string(list_concat(w[1:2], ['<mask>'], w[5:]), ' ') as masked, array_to_string(w[3:4], ' ') as removed from w where len(w) > 4")

@@ -22,6 +22,8 @@ from tessel.plans.joins import _DOCS, firsts, links, paras
 from tessel.plans.metrics import _EM, _F1, _PRED, m06_token_f1, m18_exact_match, m19_evidence_sets, predictions
 from tessel.plans.metrics import _RR as _GOLD
 from tessel.plans.records import _RR, parsed, ranking
+from tessel.plans.records import _WITH as _PARSE_WITH
+from tessel.plans.retrieval import _TOP
 from tessel.session import cut
 from tessel.sources.tables import latest, table
 
@@ -75,7 +77,9 @@ def proj28_answer_orders(spark: SparkSession, path: str) -> DataFrame:
     return B.permutations(ranking(spark, path), "rr_uid", "answers").withColumnRenamed("value", "answer")
 
 
-@query(None)
+@query(r"""with h as (select distinct sent_uid, title || ' ' || sentence as t, '<a href="' || replace(title, '"', '%22') || '">' || title || '</a> ' || sentence as html from evidence_sents where title is not null and sentence is not null),
+x as (select sent_uid, regexp_replace(html, '<[^>]*>', '', 'g') as text, unnest(regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1)) as url, unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) as anchor from h)
+select sent_uid, replace(url, '%22', '"') as link, cast(instr(text, anchor) - 1 as integer) as s, cast(instr(text, anchor) - 1 + length(anchor) as integer) as e from x""")
 def proj37_link_spans(spark: SparkSession, path: str) -> DataFrame:
     """Anchors of HTML links with the span of each in the text without tags; texts are built from sentences and titles."""
     rows = table(spark, path, "evidence_sents").where("title is not null and sentence is not null").select("sent_uid", "title", "sentence").distinct()
@@ -260,33 +264,37 @@ def t19_cloze_identity(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.contains("text", "title")).select("idx", F.replace("text", F.col("title"), F.lit("WHAT")).alias("question"))
 
 
-@query(None)
+@query(f"""with w as (select doc_id, {S.words("text")} as w from documents where text is not null),
+s as (select doc_id, list_transform(list_sort(list_transform(w, lambda x, i: {{'k': i - 1 + 2 * {S.draw(7, "doc_id", "i - 1")}, 'i': i, 'x': x}})), lambda t: t.x) as w from w),
+d as (select doc_id, list_filter(w, lambda x, i: {S.draw(8, "doc_id", "i - 1")} >= 0.2) as w from s)
+select doc_id, list_transform(w, lambda x, i: case when {S.draw(9, "doc_id", "i - 1")} < 0.1 then '<mask>' else x end) as words from d""")
 def t22_word_noise(spark: SparkSession, path: str) -> DataFrame:
-    """A seeded local shuffle: each word moves by its position plus a draw below three."""
+    """Seeded noise: words moved by their position plus a draw below two, a fifth of them dropped, a tenth of the rest masked."""
     rows = table(spark, path, "documents").where("text is not null").select("doc_id", T.words("text").alias("w"))
-    keyed = F.transform("w", lambda x, i: F.struct((i + 3 * B.draw(7, F.col("doc_id"), i)).alias("k"), i.alias("i"), x.alias("x")))
-    return rows.select("doc_id", F.transform(F.array_sort(keyed), lambda t: t["x"]).alias("words"))
+    keyed = F.transform("w", lambda x, i: F.struct((i + 2 * B.draw(7, F.col("doc_id"), i)).alias("k"), i.alias("i"), x.alias("x")))
+    moved = rows.select("doc_id", F.transform(F.array_sort(keyed), lambda t: t["x"]).alias("w"))
+    kept = moved.select("doc_id", F.filter("w", lambda x, i: B.draw(8, F.col("doc_id"), i) >= 0.2).alias("w"))
+    return kept.select("doc_id", F.transform("w", lambda x, i: F.when(B.draw(9, F.col("doc_id"), i) < 0.1, F.lit("<mask>")).otherwise(x)).alias("words"))
 
 
 @query(None)
 def t26_normalised_numbers(spark: SparkSession, path: str) -> DataFrame:
-    """Numbers of a text in place notation, by pattern."""
-    rows = ranking(spark, path).where("question is not null").select("rr_uid", F.explode(F.regexp_extract_all("question", F.lit(r"[0-9][0-9,]*(\.[0-9]+)?"), F.lit(0))).alias("number"))
-    return rows.select("rr_uid", "number", T.base_ten(F.replace("number", F.lit(","))).alias("value"))
+    """Questions with their numbers in plain and in place notation."""
+    rows = ranking(spark, path).where("question is not null")
+    return rows.select("rr_uid", udf.with_normal_numbers("question").alias("numbers"), udf.with_normal_numbers("question", True).alias("places"))
 
 
 @query(None)
 def t30_penn_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """Words with clitics split off, numbers, quotes and dashes as tokens."""
-    pattern = r"(?i)[\p{L}\p{N}\p{M}]+(?='(?:s|re|ve|d|m|ll)\b)|'(?:s|re|ve|d|m|ll)\b|[\p{L}\p{M}]+(?=n't\b)|n't\b|\p{N}[\p{N},.]*\p{N}|[\p{L}\p{N}\p{M}]+|--+|\.\.\.|[^\p{Z}\p{C}]"
-    return table(spark, path, "documents").where("text is not null").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("n"))
+    """Tokens of sixteen classes with their spans; quotes, dashes and ellipses in one form."""
+    return table(spark, path, "documents").where("text is not null").select("doc_id", udf.penn("text").alias("t")).select("doc_id", F.col("t.token").alias("tokens"), F.col("t.s").alias("starts"))
 
 
-@query(None)
+@query(r"select doc_id, regexp_extract_all(nfc_normalize(strip_accents(lower(text))), '[\p{L}\p{N}\p{M}]+|[^\s\p{Z}\p{C}\p{L}\p{N}]') as tokens from documents where text is not null")
 def t31_basic_tokens(spark: SparkSession, path: str) -> DataFrame:
     """Lower case without accents, punctuation as single tokens."""
     rows = table(spark, path, "documents").where("text is not null")
-    return rows.select("doc_id", F.regexp_extract_all(udf.strip_accents(F.lower("text")), F.lit(r"[\p{L}\p{N}\p{M}]+|[^\s\p{Z}\p{C}\p{L}\p{N}]"), F.lit(0)).alias("tokens"))
+    return rows.select("doc_id", F.regexp_extract_all(udf.fold(F.lower("text")), F.lit(r"[\p{L}\p{N}\p{M}]+|[^\s\p{Z}\p{C}\p{L}\p{N}]"), F.lit(0)).alias("tokens"))
 
 
 @query(f"with {_M}, {_POS} select sample_uid, cast(i as integer) as para_no, list_sort(list_distinct(regexp_extract_all(p.text, '[0-9]{{4}}'))) as years from pos where p.text is not null")
@@ -303,11 +311,11 @@ def m08_string_similarity(spark: SparkSession, path: str) -> DataFrame:
 
 
 @query(None)
-def m14_self_overlap(spark: SparkSession, path: str) -> DataFrame:
-    """Mean token F1 of each answer of a record with its other answers."""
-    rows = ranking(spark, path).where("size(answers) > 1").select("rr_uid", F.posexplode(F.transform("answers", lambda a: T.words(F.lower(F.coalesce(a, F.lit(""))))) ).alias("i", "a"), "answers")
-    others = F.filter(F.transform("answers", lambda a, j: F.when(j != F.col("i"), M.token_f1(F.col("a"), T.words(F.lower(F.coalesce(a, F.lit(""))))))), lambda x: x.isNotNull())
-    return rows.select("rr_uid", F.col("i").alias("pos"), F.round(F.aggregate(others, F.lit(0.0), lambda s, x: s + x) / (F.size("answers") - 1), 6).alias("overlap"))
+def m14_self_bleu(spark: SparkSession, path: str) -> DataFrame:
+    """Self-BLEU-2 of the answers of a record: of each against the others, and the mean."""
+    rows = ranking(spark, path).where("size(answers) > 1").select("rr_uid", udf.self_bleus("answers").alias("scores"))
+    mean = F.aggregate("scores", F.lit(0.0), lambda s, x: s + x) / F.size("scores")
+    return rows.select("rr_uid", F.transform("scores", lambda x: F.round(x, 6)).alias("scores"), F.round(mean, 6).alias("self_bleu"))
 
 
 @query(f"with {_GOLD}, {_PRED}, {_F1} select rr_uid, round(f1, 6) as f1, round(prec, 6) as prec, round(rec, 6) as rec from f1 where prec is not null and rec is not null")
@@ -319,14 +327,41 @@ def m17_precision_recall(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("rr_uid", F.round(2.0 * F.col("n") / (F.size("p") + F.size("g")), 6).alias("f1"), F.round(F.col("n") / F.size("p"), 6).alias("prec"), F.round(F.col("n") / F.size("g"), 6).alias("rec"))
 
 
-@query(None)
+_WORD = "list_filter(string_split({0}, ' '), lambda w: w <> '')"
+
+
+@query(rf"""with q as (select distinct query_uid, sample_type, answer[1] as gold, sp_facts from iter_queries),
+pa as (select query_uid, {S.SQUAD.format("gold")} as g, {S.SQUAD.format("p")} as p from (select *, array_to_string(list_filter(list_transform({S.words("gold")}, lambda w, i: case when i % 3 <> 0 then w end), lambda w: w is not null), ' ') as p from q where gold <> '' and query_uid % 7 <> 0)),
+tp as (select query_uid, w, count(*) as n from (select query_uid, unnest({_WORD.format("p")}) as w from pa) group by all), tg as (select query_uid, w, count(*) as n from (select query_uid, unnest({_WORD.format("g")}) as w from pa) group by all),
+sm as (select query_uid, sum(least(tp.n, tg.n)) as same from tp join tg using (query_uid, w) group by all),
+an as (select query_uid, cast(p = g as integer) as em, case when p <> g and (p in ('yes', 'no', 'noanswer') or g in ('yes', 'no', 'noanswer')) then 0.0 else coalesce(same, 0) * 1.0 / nullif(len({_WORD.format("p")}), 0) end as pr, case when p <> g and (p in ('yes', 'no', 'noanswer') or g in ('yes', 'no', 'noanswer')) then 0.0 else coalesce(same, 0) * 1.0 / nullif(len({_WORD.format("g")}), 0) end as re from pa left join sm using (query_uid)),
+gf as (select distinct query_uid, unnest(list_transform(sp_facts, lambda f: f.title || chr(1) || f.sent_idx)) as f from q where sp_facts is not null),
+pf as (select distinct query_uid, title || chr(1) || s_idx as f from evidence_sents where s2_score > 0.3 and not isnan(s2_score) and title is not null),
+gn as (select query_uid, count(*) as g from gf group by 1), pn as (select query_uid, count(*) as p from pf group by 1), bn as (select query_uid, count(*) as b from gf join pf using (query_uid, f) group by 1),
+sp as (select query_uid, cast(coalesce(b, 0) = coalesce(g, 0) and coalesce(b, 0) = p as integer) as em, coalesce(b, 0) * 1.0 / p as pr, coalesce(coalesce(b, 0) * 1.0 / g, 0) as re from pn left join gn using (query_uid) left join bn using (query_uid)),
+x as (select q.query_uid, sample_type, coalesce(an.em, 0) as em, coalesce(an.pr, 0) as prec, coalesce(an.re, 0) as recall, coalesce(sp.em, 0) as sp_em, coalesce(sp.pr, 0) as sp_prec, coalesce(sp.re, 0) as sp_recall from q left join an using (query_uid) left join sp using (query_uid)),
+y as (select *, em * sp_em as joint_em, prec * sp_prec as joint_prec, recall * sp_recall as joint_recall from x)
+select sample_type, count(*) as n, {", ".join(f"round(avg({p}em) * 100, 4) as {p}em, round(avg({p}prec) * 100, 4) as {p}prec, round(avg({p}recall) * 100, 4) as {p}recall, round(avg(case when {p}prec + {p}recall > 0 then 2 * {p}prec * {p}recall / ({p}prec + {p}recall) else 0 end) * 100, 4) as {p}f1" for p in ("", "sp_", "joint_"))} from y group by sample_type""")
 def m20_joint_evaluation(spark: SparkSession, path: str) -> DataFrame:
-    """Evidence and retrieval scores of all gold queries; a missing prediction counts as zero."""
-    scores = m19_evidence_sets(spark, path)
-    gold = table(spark, path, "iter_queries").select("query_uid", "sample_type").distinct()
-    zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-    joined = gold.join(scores, "query_uid", "left")
-    return joined.groupBy("sample_type").agg(F.count("*").alias("n"), *[F.round(F.sum(zero(c)) / F.count("*") * 100, 4).alias(c) for c in ("em", "precision", "recall")])
+    """Answer, evidence and joint scores (em, precision, recall, F1) per type, divided by all gold queries: one without a predicted answer or evidence counts zero there and
+    jointly. The answer predicted is the gold without every third word, for six of seven queries."""
+    from tessel.plans.metrics import fact
+
+    gold = table(spark, path, "iter_queries").select("query_uid", "sample_type", F.get("answer", F.lit(0)).alias("gold"), "sp_facts").distinct()
+    dropped = F.array_join(F.filter(F.transform(T.words("gold"), lambda w, i: F.when((i + 1) % 3 != 0, w)), lambda w: w.isNotNull()), " ")
+    predicted = gold.where("gold <> '' and query_uid % 7 <> 0").select("query_uid", M.hotpot(dropped, F.col("gold")).alias("a"))
+    wanted = gold.select("query_uid", F.explode("sp_facts").alias("f")).groupBy("query_uid").agg(F.collect_set(fact(F.col("f.title"), F.col("f.sent_idx"))).alias("g"))
+    found = table(spark, path, "evidence_sents").where("s2_score > 0.3 and not isnan(s2_score) and title is not null").groupBy("query_uid").agg(F.collect_set(fact(F.col("title"), F.col("s_idx"))).alias("p"))
+    evidence_scores = found.join(wanted, "query_uid", "left").select("query_uid", M.set_scores(F.col("p"), F.coalesce("g", F.array().cast("array<string>"))).alias("e"))
+    rows = gold.join(predicted, "query_uid", "left").join(evidence_scores, "query_uid", "left")
+    of = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    parts = {"": [of("a.em"), of("a.precision"), of("a.recall")], "sp_": [of("e.em"), of("e.precision"), of("e.recall")]}
+    parts["joint_"] = [x * y for x, y in zip(parts[""], parts["sp_"], strict=True)]
+    mean = lambda c, name: F.round(F.avg(c) * 100, 4).alias(name)
+    out = []
+    for name, (em, p, r) in parts.items():
+        out += [mean(em, f"{name}em"), mean(p, f"{name}prec"), mean(r, f"{name}recall"), mean(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0), f"{name}f1")]
+    return rows.groupBy("sample_type").agg(F.count("*").alias("n"), *out)
 
 
 @query(f"with {_EV} select hop, round(corr(score, s1para_score), 6) as pearson, round(avg(cast((score > 0.5) = (s1para_score > 0.5) as integer)) * 100, 4) as accuracy from ev where score is not null and s1para_score is not null group by hop")
@@ -358,7 +393,7 @@ def l08_every_train_with_every_eval(spark: SparkSession, path: str) -> DataFrame
     return every.join(best, ["uid", "tsrc"], "left").groupBy("src", "tsrc").agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce("sim", F.lit(0.0))), 4).alias("mean"))
 
 
-@query(None)
+@query(f"select uid, other, round(score, 6) as score from ({_TOP.format(1)}) where uid % 40 <> 0")
 def l09_only_missing(spark: SparkSession, path: str) -> DataFrame:
     """Similarities of the queries that an earlier result lacks."""
     rows = table(spark, path, "embeddings").select(F.col("vec_id").alias("uid"), F.col("embedding").alias("vector"))
@@ -393,19 +428,22 @@ def hop_loop(evidence: DataFrame, hops: int = 4, enough: float = 0.9) -> DataFra
     return cut(stopped)
 
 
-@query(None)
+@query("""with e as (select query_uid, hop, max(case when not isnan(s2ev_score) then s2ev_score end) as s from evidence_sents where hop < 4 group by all),
+l as (select *, max(hop) over (partition by query_uid) as last from e), c as (select *, coalesce(s >= 0.9, false) as suff from l)
+select distinct on (query_uid) query_uid, hop, s, list_filter([case when suff then 'evsuff' end, case when hop = last then 'max' end], lambda x: x is not null) as stop_reason from c where suff or hop = last order by query_uid, hop""")
 def i02_hop_loop(spark: SparkSession, path: str) -> DataFrame:
     """The hop loop: rows of a hop are read only for queries that have not stopped; the state is checkpointed every hop."""
     return hop_loop(table(spark, path, "evidence_sents").select("query_uid", "hop", "s2ev_score"))
 
 
-@query(None)
+@query(f"select o_custkey, o_orderkey, {S.draw(7, 'o_custkey')} as slot from orders")
 def i07_group_shuffle(spark: SparkSession, path: str) -> DataFrame:
     """A seeded order of groups; rows of a group stay together."""
-    return table(spark, path, "orders").select("o_custkey", "o_orderkey", F.xxhash64(F.lit(7), "o_custkey").alias("slot"))
+    return table(spark, path, "orders").select("o_custkey", "o_orderkey", B.draw(7, "o_custkey").alias("slot"))
 
 
-@query(None)
+@query(f"""with w as (select doc_id, {S.words("text")} as w from documents where text is not null)
+select doc_id, array_to_string(list_transform(w, lambda x, i: case when {S.draw(7, "doc_id", "i - 1")} < 0.1 or ({S.draw(7, "doc_id", "i - 2")} < 0.1 and {S.draw(8, "doc_id", "i - 1")} < 0.5) then '<mask>' else x end), ' ') as masked from w""")
 def i11_masked_spans(spark: SparkSession, path: str) -> DataFrame:
     """Seeded spans of one to three words masked, about one word in ten."""
     rows = table(spark, path, "documents").where("text is not null").select("doc_id", T.words("text").alias("w"))
@@ -427,7 +465,8 @@ def g07_ranking_record(spark: SparkSession, path: str) -> DataFrame:
     return ranking(spark, path).select("rr_uid", "question", F.coalesce("src", F.lit("")).alias("src"), F.coalesce("answers", F.array().cast("array<string>")).alias("answers"))
 
 
-@query(None)
+@query(rf"""{_PARSE_WITH}, x as (select doc_id, context, 'The answer is one of ' || array_to_string(list_filter(list_transform(string_split(regexp_replace(mc_options, '\([A-H]\) ', chr(1), 'g'), chr(1)), lambda o: {S.strip('o')}), lambda o: o <> ''), ', ') || '.' as extra from parsed where mc_options <> '')
+select doc_id, case when {S.draw(7, "doc_id")} < 0.5 then extra || ' ' || context else context || ' ' || extra end as text from x""")
 def g08_templated_sentences(spark: SparkSession, path: str) -> DataFrame:
     """A templated sentence before or after the options, by a seeded draw."""
     rows = parsed(spark, path).where("mc_options <> ''")
@@ -435,11 +474,16 @@ def g08_templated_sentences(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("doc_id", F.when(B.draw(7, "doc_id") < 0.5, F.concat(extra, F.lit(" "), "context")).otherwise(F.concat("context", F.lit(" "), extra)).alias("text"))
 
 
-@query(f"with {_M}, n as (select sample_uid, len(list_distinct(list_transform(pos_paras, lambda p: p.title))) as t, len(pos_paras) as n from m where pos_paras is not null) select sample_uid, case when t = n then 'distinct' else 'repeated' end as kind, t as titles from n")
+@query(f"""with {_M}, {_POS}, s as (select sample_uid, i, p.title as title, unnest(p.sentence_labels) as label, generate_subscripts(p.sentence_labels, 1) as k from pos where p.title is not null),
+n as (select sample_uid, i, count(*) as n from s where label is not null group by all), e as (select s.*, n from s join n using (sample_uid, i) where label is not null),
+d as (select sample_uid, i, title, label, min(k) as k from e where n > 1 group by all)
+select sample_uid, title, list_sort(list_distinct(list(label))) as labels, true as single from e where n = 1 group by sample_uid, title
+union all select sample_uid, title || '_vvv' || cast(row_number() over (partition by sample_uid, i order by k) - 1 as varchar), [label], false from d""")
 def g16_consolidated_evidence(spark: SparkSession, path: str) -> DataFrame:
-    """Whether a record's evidence repeats a title."""
-    rows = samples(spark, path).where("pos_paras is not null").select("sample_uid", F.size(F.array_distinct("pos_paras.title")).alias("t"), F.size("pos_paras").alias("n"))
-    return rows.select("sample_uid", F.when(F.col("t") == F.col("n"), "distinct").otherwise("repeated").alias("kind"), F.col("t").cast("bigint").alias("titles"))
+    """Evidence sets consolidated: sets of one sentence by title, any of whose sentences will do; sets of several sentences, here of one paragraph each, all of which are
+    needed, so each stands under a name of its own."""
+    each = positives(spark, path).where("p.title is not null").select("sample_uid", F.col("i").alias("set_no"), F.col("p.title").alias("title"), F.posexplode("p.sentence_labels").alias("k", "label"))
+    return B.consolidate_evidence(each.where("label is not null"), "sample_uid", "set_no", "title", "label", "k").select("sample_uid", "title", "labels", "single")
 
 
 @query(f"with {_M} select sample_uid, pos_paras[1].title as positive, coalesce(list_transform(neg_paras[1:10], lambda p: p.title), []) as negatives from m where len(pos_paras) > 0")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessel.catalog import query
 from tessel.functions import sql as S
+from tessel.operators.builders import draw
 from tessel.plans.records import _LINES, lines
 from tessel.session import shared_dir
 from tessel.sources import files
@@ -133,7 +134,7 @@ def s19_tsv_with_json(spark: SparkSession, path: str) -> DataFrame:
     return files.read_csv(spark, to, "idx bigint, spans string, text string", sep="\t")
 
 
-@query(None)
+@query(f"select doc_id, lang from documents order by {S.draw(7, 'doc_id')}, doc_id limit 100")
 def s24_shuffled_sample(spark: SparkSession, path: str) -> DataFrame:
-    """A hundred documents in an order given by a seeded hash of the key."""
-    return table(spark, path, "documents").select("doc_id", "lang").orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(100)
+    """A sample of a hundred documents in an order given by a seeded draw of the key."""
+    return table(spark, path, "documents").select("doc_id", "lang").orderBy(draw(7, "doc_id"), "doc_id").limit(100)

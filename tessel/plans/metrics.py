@@ -28,7 +28,18 @@ def m01_normalise(spark: SparkSession, path: str) -> DataFrame:
     return predictions(spark, path).select("rr_uid", M.squad(F.get("answers", F.lit(0))).alias("value"))
 
 
-@query(None)
+_FLOAT = r"regexp_full_match(trim(t), '[+-]?(([0-9]+(_[0-9]+)*\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|nan|inf(inity)?)')"
+
+
+def _drop(x: str) -> str:
+    """The number-aware normalisation of a text."""
+    bare = rf"case when {_FLOAT} then t else regexp_replace(t, '[!-/:-@\[-`{{-~]', '', 'g') end"
+    words = r"trim(regexp_replace(regexp_replace(t, '(^|[^\p{L}\p{N}_])(a|an|the)($|[^\p{L}\p{N}_])', '\1 \3', 'g'), '[\s\x{a0}]+', ' ', 'g'))"
+    each = f"list_transform(list_transform(string_split_regex(lower({x}), '[ -]'), lambda t: {bare}), lambda t: string_split(case when {_FLOAT} then cast(cast(t as double) as varchar) else {words} end, ' '))"
+    return f"array_to_string(list_filter(flatten({each}), lambda w: w <> ''), ' ')"
+
+
+@query(f"with {_RR} select rr_uid, {_drop('answers[1]')} as value from rr")
 def m02_normalise_numbers(spark: SparkSession, path: str) -> DataFrame:
     """The number-aware normalisation."""
     return predictions(spark, path).select("rr_uid", F.array_join(M.drop_tokens(F.get("answers", F.lit(0))), " ").alias("value"))
@@ -45,7 +56,7 @@ def m18_exact_match(spark: SparkSession, path: str) -> DataFrame:
     return predictions(spark, path).select("rr_uid", em.alias("em"))
 
 
-@query(None)
+@query(f"with {_RR}, {_PRED} select rr_uid, cast(list_bool_or(list_transform(list_filter(answers, lambda a: a is not null), lambda a: {_drop('a')} = {_drop('p')})) as integer) as em from pred")
 def m03_exact_match_numbers(spark: SparkSession, path: str) -> DataFrame:
     golds = F.filter("answers", lambda a: a.isNotNull())
     return predictions(spark, path).select("rr_uid", M.exact(F.col("p"), golds).alias("em"))
@@ -71,10 +82,13 @@ def m06_token_f1(spark: SparkSession, path: str) -> DataFrame:
 
 @query(None)
 def m04_set_f1(spark: SparkSession, path: str) -> DataFrame:
-    """Set F1 with the number gate, the best over the golds."""
+    """Number-aware F1 of several predicted spans, the golds without every third word in reverse order, with the gold spans in their best alignment."""
+    from tessel.functions import udf
+
     golds = F.filter("answers", lambda a: a.isNotNull())
-    best = T.let(M.drop_tokens(F.col("p")), lambda p: F.array_max(F.transform(golds, lambda g: M.set_f1(p, M.drop_tokens(g)))))
-    return predictions(spark, path).select("rr_uid", best.alias("f1"))
+    dropped = lambda a: F.array_join(F.filter(F.transform(T.words(a), lambda w, i: F.when((i + 1) % 3 != 0, w)), lambda w: w.isNotNull()), " ")
+    spans = F.reverse(F.transform(golds, lambda a: M.drop_tokens(dropped(a))))
+    return predictions(spark, path).select("rr_uid", udf.span_f1(spans, F.transform(golds, M.drop_tokens)).alias("f1"))
 
 
 @query(f"with {_RR}, {_PRED}, {_F1} select src, count(*) as n, round(avg(round(f1, 6)) * 100, 3) as score from f1 group by src")
@@ -90,12 +104,15 @@ def m07_yes_no(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("rr_uid", yn.alias("yn"), F.lower(F.get("answers", F.lit(0))).alias("gold"))
 
 
+def fact(title, number):
+    return F.concat(title, F.lit("\x01"), number.cast("string"))
+
+
 @query(r"""with q as (select distinct query_uid, unnest(list_transform(sp_facts, lambda f: f.title || chr(1) || f.sent_idx)) as f from iter_queries where sp_facts is not null), p as (select distinct query_uid, title || chr(1) || s_idx as f from evidence_sents where s2_score > 0.3 and not isnan(s2_score) and title is not null),
 g as (select query_uid, count(*) as n from q group by 1), k as (select query_uid, count(*) as n from p group by 1), b as (select query_uid, count(*) as n from q join p using (query_uid, f) group by 1)
 select query_uid, cast(coalesce(b.n, 0) = g.n and coalesce(k.n, 0) = g.n as integer) as em, round(case when k.n > 0 then coalesce(b.n, 0) / k.n else 0 end, 6) as precision, round(coalesce(b.n, 0) / g.n, 6) as recall from g left join k using (query_uid) left join b using (query_uid)""")
 def m19_evidence_sets(spark: SparkSession, path: str) -> DataFrame:
     """Set scores of predicted evidence sentences against the gold facts; queries without prediction count."""
-    fact = lambda t, i: F.concat(t, F.lit("\x01"), i.cast("string"))
     gold = table(spark, path, "iter_queries").where("sp_facts is not null").select("query_uid", F.explode("sp_facts").alias("f")).select("query_uid", fact(F.col("f.title"), F.col("f.sent_idx")).alias("f")).distinct()
     pred = table(spark, path, "evidence_sents").where("s2_score > 0.3 and not isnan(s2_score) and title is not null").select("query_uid", fact(F.col("title"), F.col("s_idx")).alias("f")).distinct()
     both = gold.groupBy("query_uid").agg(F.collect_set("f").alias("g")).join(pred.groupBy("query_uid").agg(F.collect_set("f").alias("p")), "query_uid", "left")
@@ -139,7 +156,22 @@ def m13_corpus_bleu(spark: SparkSession, path: str) -> DataFrame:
     return t.agg(F.round(F.exp(F.least(F.lit(0.0), 1 - one("r") / one("p"))) * F.exp(F.avg(F.log(F.col("hit") / F.col("p")))) * 100, 6).alias("bleu"))
 
 
-@query(None)
+def _sari(n: int) -> str:
+    grams = lambda w: f"list_distinct(list_transform(range(1, len({w}) - {n - 2}), lambda i: array_to_string({w}[i:i + {n - 1}], ' ')))"
+    return f"""select rr_uid, {grams("s")} as s, {grams("p")} as p, {grams("g")} as g from words"""
+
+
+_BOTH, _LESS = "len(list_intersect({0}, {1}))", "list_filter({0}, lambda x: not list_contains({1}, x))"
+_RATE = "case when len({1}) > 0 then len({0}) * 1.0 / len({1}) else 0.0 end"
+_SARI = f"""words as (select rr_uid, src, {S.words("replace(question, '?', ' ?')")} as s, {S.words("p")} as p, {S.words("answers[1]")} as g from pred where question is not null),
+grams as ({" union all ".join(_sari(n) for n in range(1, 5))}),
+sets as (select rr_uid, g, list_intersect(s, p) as kept, list_intersect(s, g) as gold_kept, {_LESS.format("p", "s")} as added, {_LESS.format("g", "s")} as gold_added, {_LESS.format("s", "p")} as dropped from grams),
+rates as (select rr_uid, {_RATE.format("list_intersect(kept, g)", "kept")} as kp, {_RATE.format("list_intersect(kept, g)", "gold_kept")} as kr, {_RATE.format("list_intersect(added, g)", "added")} as ap, {_RATE.format("list_intersect(added, g)", "gold_added")} as ar,
+ {_RATE.format(_LESS.format("dropped", "g"), "dropped")} as dp from sets),
+sari as (select rr_uid, round(sum((case when kp + kr > 0 then 2 * kp * kr / (kp + kr) else 0 end + case when ap + ar > 0 then 2 * ap * ar / (ap + ar) else 0 end + dp) / 12), 6) as sari from rates group by rr_uid)"""
+
+
+@query(f"with {_RR}, {_PRED}, {_SARI} select * from sari")
 def m15_sari(spark: SparkSession, path: str) -> DataFrame:
     """SARI of the predictions: keep, add and delete over sets of 1- to 4-grams."""
     def grams(w, n):

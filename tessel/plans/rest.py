@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 from tessel.catalog import query
 from tessel.functions import metrics as M
 from tessel.functions import qa
+from tessel.functions import sql as S
 from tessel.functions import text as T
 from tessel.operators import builders as B
 from tessel.operators import lookups
 from tessel.operators import search as SEARCH
 from tessel.operators import similarity as SIM
-from tessel.plans.builders import _M, _POS, positives, samples
+from tessel.plans.builders import _M, _POS, _SENTS, positives, samples
 from tessel.plans.joins import _SPANS, firsts, links, paras
-from tessel.plans.metrics import predictions
+from tessel.plans.files import _FLAT
+from tessel.plans.metrics import _PRED, _SARI, predictions
+from tessel.plans.metrics import _RR as _GOLD
+from tessel.plans.records import _LINES, _RR
 from tessel.sources.tables import latest, table
 
 
@@ -64,7 +68,7 @@ def m10_choice_accuracy(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy(F.coalesce("src", F.lit("none")).alias("src")).agg(F.count("*").alias("n"), F.round(F.avg(hit) * 100, 4).alias("accuracy"))
 
 
-@query(None)
+@query(f"with {_GOLD}, {_PRED}, {_SARI} select src, count(*) as n, round(avg(sari) * 100, 4) as sari from sari join words using (rr_uid) group by src")
 def m16_corpus_sari(spark: SparkSession, path: str) -> DataFrame:
     """Mean SARI per source."""
     from tessel.plans.metrics import m15_sari
@@ -84,7 +88,12 @@ def m25_explanation_score(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("sample_uid", "para_no", F.round(M.token_f1(gold, F.col("whole")), 6).alias("overall"), F.round(best, 6).alias("best"))
 
 
-@query(None)
+@query(f"""with w as (select doc_id, len({S.words("text")}) as n from documents where text is not null), b as (select doc_id, n, unnest(range(0, n)) as i from w where n > 0),
+s as (select doc_id, n, i as s, least(n, i + 1 + cast(floor(3 * {S.draw(10, "doc_id", "i")}) as bigint)) as e from b where {S.draw(9, "doc_id", "i")} < 0.05),
+m as (select *, max(e) over (partition by doc_id order by s rows between unbounded preceding and 1 preceding) as before from s),
+g as (select *, sum(case when before is null or s > before then 1 else 0 end) over (partition by doc_id order by s rows unbounded preceding) as grp from m),
+u as (select doc_id, grp, min(s) as s, max(e) as e from g group by all)
+select w.doc_id, cast(n as integer) as n, coalesce(list([cast(s as integer), cast(e as integer)] order by s) filter (s is not null), []) as spans from w left join u using (doc_id) where n > 0 group by w.doc_id, n""")
 def i13_whole_word_spans(spark: SparkSession, path: str) -> DataFrame:
     """Seeded spans of one to three words of every text, overlapping or touching ones merged by a fold."""
     rows = table(spark, path, "documents").where("text is not null").select("doc_id", F.size(T.words("text")).alias("n")).where("n > 0")
@@ -97,10 +106,13 @@ def i13_whole_word_spans(spark: SparkSession, path: str) -> DataFrame:
         joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
         return F.when((F.size(acc) > 0) & (x["s"] <= last["e"]), joined).otherwise(F.concat(acc, F.array(x)))
 
-    return rows.select("doc_id", "n", F.aggregate(spans, empty, merge).alias("spans"))
+    merged = F.transform(F.aggregate(spans, empty, merge), lambda x: F.array(x["s"], x["e"]))
+    return rows.select("doc_id", "n", merged.alias("spans"))
 
 
-@query(None)
+@query(f"""with {_M}, {_POS}, {_SENTS}, t as (select sample_uid, i, string_agg({S.close('s')}, ' ' order by k) as body from sents where s <> '' group by sample_uid, i),
+x as (select sample_uid, cast(i as integer) as para_no, case when {S.draw(7, "sample_uid", "i")} < 0.5 then {S.unescape(S.strip('p.title'))} || ': ' || coalesce(body, '') else body end as text from pos left join t using (sample_uid, i) where p.sentence_labels is not null and p.sentence_spans is not null and p.text is not null)
+select * from x where text <> ''""")
 def g04_rationale_variant(spark: SparkSession, path: str) -> DataFrame:
     """Gold sentences with the title before them by a seeded draw."""
     rows = positives(spark, path).where("p.sentence_labels is not null and p.sentence_spans is not null and p.text is not null")
@@ -132,7 +144,9 @@ def g20_filtered_builder(spark: SparkSession, path: str) -> DataFrame:
     return table(spark, path, "dataset_catalogue").where("has_evidence").groupBy("ds_type").agg(F.count("*").alias("n"))
 
 
-@query(None)
+@query("""with d as (select a.vec_id as uid, b.vec_id as other, round(list_inner_product(cast(a.embedding[1:32] as double[]), cast(b.embedding[1:32] as double[])), 9) as one, list_inner_product(cast(a.embedding[33:64] as double[]), cast(b.embedding[33:64] as double[])) as two
+ from embeddings a join embeddings b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id), s as (select uid, other, case when one >= 0.1 then round((one + two) / 2, 9) else 0 end as score from d)
+select uid, arg_max(other, (score, -other)) as other, round(max(score), 6) as score from s group by uid""")
 def l05_combined_similarity(spark: SparkSession, path: str) -> DataFrame:
     """Nearest neighbour by the mean of two inner products, of the halves of a vector; a first half below a threshold counts as zero for both."""
     rows = table(spark, path, "embeddings").where("embedding is not null")
@@ -140,7 +154,8 @@ def l05_combined_similarity(spark: SparkSession, path: str) -> DataFrame:
     return SIM.nearest_by_mean(halves.where("uid % 20 = 0"), halves, 0.1).select("uid", "other", F.round("score", 6).alias("score"))
 
 
-@query(None)
+@query(rf"""with {_RR}, x as (select {_FLAT.format("question")} as q, {_FLAT.format("'#!#' || array_to_string(answers, '#!#') || '#!#'")} as a from rr where question <> '' and len(answers) > 0)
+select {S.strip("q")} as question, list_transform(string_split(regexp_replace({S.strip("lower(a)")}, '^[#!]+|[#!]+$', '', 'g'), '#!#'), lambda y: {S.strip("y")}) as answers, cast(null as varchar) as corrupt from x where length(q) - length(replace(q, chr(9), '')) = 0""")
 def s14_question_file(spark: SparkSession, path: str) -> DataFrame:
     """Ranking records written as question lines and read again."""
     from tessel.plans.files import place
@@ -168,6 +183,11 @@ _TOK = r"[\p{L}\p{N}_]{2,}"
 _L01 = r"""d as (select distinct sample_uid as uid, lower(trim(split)) = 'train' as t, regexp_extract_all({0}, '[\p{{L}}\p{{N}}_]{{2,}}') as w from mdr_samples where split is not null and question <> ''),
 c as (select uid, t, term, count(*) as tf from (select uid, t, unnest(w) as term from d) group by all), n as (select uid, sum(tf * tf) as s from c group by uid),
 h as (select a.uid, b.uid as nearest, sum(a.tf * b.tf) as same from c a join c b on not a.t and b.t and a.term = b.term group by all)"""
+_LISTS = r"""d as (select distinct sample_uid as uid, lower(trim(split)) = 'train' as t, {0} as w from mdr_samples where split is not null and question <> ''),
+c as (select uid, t, term, count(*) as tf from (select uid, t, unnest(w) as term from d) group by all), n as (select uid, sum(tf * tf) as s from c group by uid),
+h as (select a.uid, b.uid as nearest, sum(a.tf * b.tf) as same from c a join c b on not a.t and b.t and a.term = b.term group by all)"""
+_W = r"regexp_extract_all({0}, '[\p{{L}}\p{{N}}_]{{2,}}')"
+_TWO = "(with z as (select " + _W.format("lower(question)") + " as l) select list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1]) from z)"
 _PICK = "select uid, arg_max(nearest, (sc, -nearest)) as nearest, round(max(sc) * 100, 6) as score from (select h.uid, nearest, same / sqrt(cast(x.s as double) * y.s) as sc from h join n x using (uid) join n y on y.uid = h.nearest) group by uid"
 
 
@@ -178,7 +198,7 @@ def l01_count_cosine(spark: SparkSession, path: str) -> DataFrame:
     return found.select("uid", "nearest", F.round(F.col("score") * 100, 6).alias("score"))
 
 
-@query(None)
+@query("select 1 as n, * from (with " + _LISTS.format(_W.format("lower(question)")) + " " + _PICK + ") union all select 2 as n, * from (with " + _LISTS.format(_TWO) + " " + _PICK + ")")
 def l06_ngram_loop(spark: SparkSession, path: str) -> DataFrame:
     """The same for word n-grams of one and of two, as one table."""
     words = F.regexp_extract_all(F.lower("question"), F.lit(_TOK), F.lit(0))
@@ -187,14 +207,14 @@ def l06_ngram_loop(spark: SparkSession, path: str) -> DataFrame:
     return of(1, words).unionByName(of(2, pairs))
 
 
-@query(None)
+@query("with " + _LISTS.format(_W.format(S.SQUAD.format("question"))) + " " + _PICK)
 def l07_normalised_cosine(spark: SparkSession, path: str) -> DataFrame:
     """The same over normalised questions."""
     found = _nearest_counts(spark, path, F.regexp_extract_all(M.squad(F.col("question")), F.lit(_TOK), F.lit(0)))
     return found.select("uid", "nearest", F.round(F.col("score") * 100, 6).alias("score"))
 
 
-@query(None)
+@query("with " + _LISTS.format("regexp_extract_all(question, '[0-9][0-9,.]*')") + " " + _PICK)
 def l10_numeric_similarity(spark: SparkSession, path: str) -> DataFrame:
     """Nearest training question by the numbers of both, for questions that have one."""
     return _nearest_counts(spark, path, F.regexp_extract_all("question", F.lit("[0-9][0-9,.]*"), F.lit(0))).select("uid", "nearest", F.round(F.col("score") * 100, 6).alias("score"))
@@ -232,14 +252,14 @@ def t24_word_to_number(spark: SparkSession, path: str) -> DataFrame:
 
 @query(None)
 def m05_best_f1(spark: SparkSession, path: str) -> DataFrame:
-    """Mean number-aware F1 with the best gold, per source."""
-    from tessel.plans.metrics import m04_set_f1
-
-    rows = m04_set_f1(spark, path).join(predictions(spark, path).select("rr_uid", "src"), "rr_uid")
+    """Mean number-aware F1 of one predicted span with the best gold, per source."""
+    golds = F.filter("answers", lambda a: a.isNotNull())
+    best = T.let(M.drop_tokens(F.col("p")), lambda p: F.array_max(F.transform(golds, lambda g: M.set_f1(p, M.drop_tokens(g)))))
+    rows = predictions(spark, path).select("src", best.alias("f1"))
     return rows.groupBy("src").agg(F.count("*").alias("n"), F.round(F.avg("f1") * 100, 4).alias("score"))
 
 
-@query(None)
+@query(rf"with {_LINES} select {S.strip(_FLAT.format('q'))} as question, {S.strip(_FLAT.format('a'))} as answer from lines")
 def s11_single_answers(spark: SparkSession, path: str) -> DataFrame:
     """Question lines whose answer is kept as it is written."""
     from tessel.plans.files import place

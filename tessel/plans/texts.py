@@ -146,7 +146,8 @@ def t20_cloze_awb(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.col("title").rlike("^[A-Za-z0-9 ]+$")).select("sent_uid", T.cloze_awb(F.col("sentence"), F.col("title"), "WHAT").alias("awb"))
 
 
-@query(None)
+@query(rf"""select sent_uid, trim(regexp_replace(regexp_replace({S.strip(r"regexp_replace(' ' || sentence || ' ', '^(.*?)[^\p{L}\p{N}\p{M}_]+' || regexp_escape(title) || '[^\p{L}\p{N}\p{M}_]+(.*?)[^\p{L}\p{N}\p{M}_]*$', 'What \2, \1')")}, '^,\s*', ''), '\s+', ' ', 'g')) as wba from
+ (select sent_uid, any_value(sentence) as sentence, any_value(title) as title from evidence_sents where sentence is not null and title is not null group by sent_uid)""")
 def t21_cloze_wba(spark: SparkSession, path: str) -> DataFrame:
     from tessel.sources.tables import latest
 

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import itertools
+import math
 import re
 import string
 from collections import Counter
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from tessel.functions import metrics as M
 from tessel.functions import qa, udf
 from tessel.functions import text as T
+from tessel.operators import builders
 
 
 def one(spark, value, build, kind="string"):
@@ -100,3 +103,83 @@ def test_udfs_on_nulls(spark):
     df = spark.createDataFrame([("Ünï", "x"), (None, None), ("", "")], "a string, b string")
     rows = df.select(udf.strip_accents("a").alias("s"), udf.nfd("a").alias("d"), udf.original_span("b", "a").alias("o"), udf.to_number("a").alias("n")).collect()
     assert [r.s for r in rows] == ["Uni", None, ""]
+
+
+# Examples of the published algorithm, word and stem in turn.
+PORTER = (
+    "caresses caress ponies poni ties ti caress caress cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl "
+    "sized size hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit rational ration "
+    "valenci valenc hesitanci hesit digitizer digit radicalli radic differentli differ vileli vile analogousli analog vietnamization vietnam predication predic operator oper "
+    "feudalism feudal decisiveness decis hopefulness hope callousness callous formaliti formal sensitiviti sensit sensibiliti sensibl triplicate triplic formative form "
+    "formalize formal electriciti electr electrical electr hopeful hope goodness good revival reviv allowance allow inference infer airliner airlin gyroscopic gyroscop "
+    "adjustable adjust defensible defens irritant irrit replacement replac adjustment adjust dependent depend adoption adopt homologou homolog communism commun activate activ "
+    "angulariti angular homologous homolog effective effect bowdlerize bowdler probate probat rate rate cease ceas controll control roll roll a a is is generalizations gener oscillators oscil"
+).split()
+
+
+def test_porter_stems():
+    for word, want in zip(PORTER[::2], PORTER[1::2], strict=True):
+        assert udf.stem(word) == want, (word, udf.stem(word), want)
+
+
+def test_best_assignment_against_all_orders():
+    rng = np.random.default_rng(5)
+    for _ in range(150):
+        n, m = rng.integers(1, 6, 2)
+        scores = rng.integers(0, 5, (n, m)).astype(float)
+        got = udf.best_assignment(scores)
+        assert len(got) == min(n, m) == len({i for i, _ in got}) == len({j for _, j in got})
+        wide = scores if n <= m else scores.T
+        best = max(sum(wide[i, j] for i, j in enumerate(p)) for p in itertools.permutations(range(wide.shape[1]), wide.shape[0]))
+        assert sum(scores[i, j] for i, j in got) == best
+
+
+def test_aligned_f1():
+    spans = lambda *texts: [set(t.split()) for t in texts]
+    assert udf.aligned_f1(spans("a b", "c"), spans("c", "a b")) == 1.0
+    assert udf.aligned_f1(spans("a b"), spans("a b", "c")) == 0.5
+    assert udf.aligned_f1(spans("3.0 yards"), spans("4.0 yards")) == 0.0  # the numbers differ
+    assert udf.aligned_f1(spans("x 4.0"), spans("4.0 yards")) == 0.5
+    assert udf.aligned_f1(spans("a b c d"), spans("a b")) == 0.67
+    assert udf.aligned_f1([], []) == 0.0 and udf.aligned_f1([set()], [set()]) == 1.0
+
+
+def test_self_bleu_and_soft_unique():
+    same, other = "the cat sat on the mat".split(), "a dog ran far away home".split()
+    assert udf.self_bleu([same, same]) == [pytest.approx(100), pytest.approx(100)] and udf.self_bleu([same, other]) == [0.0, 0.0]
+    # one word of four and no pair in common, by hand: smoothed (1+1)/(4+1) and 1/(3+1)
+    assert udf.bleu("a b c d".split(), ["a x y z".split()], smooth=True) == pytest.approx(100 * math.sqrt(2 / 5 * 1 / 4))
+    # brevity against the shortest reference
+    assert udf.bleu("a b".split(), ["a b c d".split(), "a b c".split()]) == pytest.approx(100 * math.exp(1 - 3 / 2))
+    assert udf.bleu("a a a".split(), ["a a".split()], most=1) == pytest.approx(100 * 2 / 3)  # counts are clipped
+    assert udf.bleu([], [same]) == 0.0 and udf.self_bleu([same]) == [0.0]
+    assert udf.soft_unique([same, same, same, other, "one two three".split()]) in ([0, 3, 4], [1, 3, 4], [2, 3, 4], [1, 2, 3, 4])
+    assert udf.soft_unique([same, same]) == [0, 1] and udf.soft_unique([]) == []
+
+
+def test_penn_tokens():
+    of = lambda t: [w for w, _, _ in udf.penn_tokens(t)]
+    assert of("Mr. Smith can't pay $3,000.50 -- he said “no”…") == ["Mr.", "Smith", "ca", "n't", "pay", "$", "3,000.50", "--", "he", "said", "``", "no", "''", "..."]
+    assert of("the U.S.A. well-known dog's cannot") == ["the", "U.S.A.", "well-known", "dog", "'s", "can", "not"]
+    assert of("") == [] and [(a, b) for _, a, b in udf.penn_tokens("a  b")] == [(0, 1), (3, 4)]
+
+
+def test_numbers_in_texts():
+    assert udf.normalise_numbers("It took five days, 1,200 men and 3.5 tons in 1953 ") == "It took 5 days, 1200 men and 3.5 tons in 1953 "
+    assert udf.normalise_numbers("-123.45 or 10", True) == "- 1 10e2 2 10e1 3 10e0 4 10e-1 5 10e-2 or 1 10e1 0 10e0"
+    assert udf.normalise_numbers("million 7 - --") == "million 7 - --"
+
+
+def test_joint_guard_and_draws(spark):
+    df = spark.createDataFrame([("yes", "yes"), ("yes", "yes it is"), ("the red cat", "red cat sat"), ("", "x"), (None, "x")], "p string, g string")
+    got = [tuple(r.h) for r in df.select(M.hotpot(F.col("p"), F.col("g")).alias("h")).collect()]
+    assert got[:4] == [(1, 1.0, 1.0), (0, 0.0, 0.0), (0, 1.0, pytest.approx(2 / 3)), (0, 0.0, 0.0)]
+    draws = [r.d for r in spark.range(2000).select(builders.draw(7, "id").alias("d")).collect()]
+    assert abs(sum(draws) / 2000 - 0.5) < 0.03 and len(set(draws)) == 2000 and all(0 <= d < 1 for d in draws)
+
+
+def test_evidence_sets_are_consolidated(spark):
+    rows = [(1, 0, "A", 3, 0), (1, 1, "A", 1, 0), (1, 2, "B", 2, 0), (1, 3, "C", 5, 0), (1, 3, "C", 4, 1), (1, 4, "D", 1, 0), (1, 4, "E", 2, 1), (1, 4, "E", 0, 2)]
+    df = spark.createDataFrame(rows, "uid bigint, n int, title string, label int, at int")
+    got = {(r.title, tuple(r.labels), r.single) for r in builders.consolidate_evidence(df, "uid", "n", "title", "label", "at").collect()}
+    assert got == {("A", (1, 3), True), ("B", (2,), True), ("C_vvv0", (5,), False), ("C_vvv1", (4,), False), ("D", (1,), False), ("E", (0, 2), False)}
