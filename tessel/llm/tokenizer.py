@@ -25,6 +25,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 #: Where the vocabulary files lie; a parameter of every function, never copied.
@@ -32,7 +33,7 @@ TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE = "byte_bpe_50k.json"
 #: Fixed value: the published piece pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KEPT, SHORT = 200_000, 64
+KEPT, SHORT, WINDOW = 200_000, 64, 1 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -43,6 +44,21 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Kept(dict):
+    """Piece -> its ids as 32-bit integers; short ones are kept, at most ``KEPT``."""
+
+    def __init__(self, coder: Transducer):
+        self.coder = coder
+
+    def __missing__(self, piece: str) -> bytes:
+        got = np.fromiter(self.coder.stream(piece.encode("utf-8")), "i4").tobytes()
+        if len(piece) <= SHORT:
+            if len(self) >= KEPT:
+                self.clear()
+            self[piece] = got
+        return got
+
+
 class Transducer:
     """The merge list as tables; :meth:`encode` streams bytes to ids."""
 
@@ -75,7 +91,7 @@ class Transducer:
         self.size = {i: len(b) for i, b in self.bytes.items()}
         self.lookahead = max(self.size[i] for i in [*single, *self.parts])
         self.stable_pairs: dict[int, bool] = {}
-        self.kept: dict[str, tuple[int, ...]] = {}
+        self.kept = Kept(self)
         self.find = regex.compile(PATTERN).findall
 
     def border(self, token: int, side: int) -> list[tuple[int, float]]:
@@ -149,19 +165,23 @@ class Transducer:
             at -= self.size[window[at]]
         return out[::-1]
 
+    def pieces(self, text: str) -> Iterator[list[str]]:
+        """The pieces of a text, a window of it at a time; as the end of a window may change the last two, they are cut anew."""
+        at, width = 0, WINDOW
+        while len(text) - at > width:
+            done = self.find(text, at, at + width)[:-2]
+            if done:
+                yield done
+                at += sum(map(len, done))
+            width = WINDOW if done else 2 * width
+        yield self.find(text, at)
+
+    def packed(self, text: str | None) -> bytes:
+        """The ids of a text as 32-bit integers."""
+        return b"".join([b"".join(map(self.kept.__getitem__, part)) for part in self.pieces(text or "")])
+
     def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        kept = self.kept
-        for piece in self.find(text or ""):
-            got = kept.get(piece)
-            if got is None:
-                got = tuple(self.stream(piece.encode("utf-8")))
-                if len(piece) <= SHORT:
-                    if len(kept) >= KEPT:
-                        kept.clear()
-                    kept[piece] = got
-            out.extend(got)
-        return out
+        return np.frombuffer(self.packed(text), "i4").tolist()
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
         """Text as it becomes complete: a byte-to-text state machine keeps at most three bytes between ids."""
@@ -177,20 +197,27 @@ def transducer(path: str) -> Transducer:
     return Transducer(path)
 
 
+def ship(df: DataFrame, vocabulary: str) -> str:
+    """Sends the vocabulary file to the executors, which need not have its folder; its name there."""
+    df.sparkSession.sparkContext.addFile(vocabulary)
+    return Path(vocabulary).name
+
+
+def shipped(name: str) -> Transducer:
+    return transducer(SparkFiles.get(name))
+
+
 def encode_documents(df: DataFrame, vocabulary: str = f"{TOKENIZERS}/{BYTE_BPE}") -> DataFrame:
     """(doc_id, ids) of every row of (doc_id, text): one id list a row, empty for null and empty texts."""
+    name = ship(df, vocabulary)
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = transducer(vocabulary)
+        coder = shipped(name)
         for batch in batches:
-            ids, offsets, at = [], [0], 0
-            for text in batch.column("text"):
-                got = coder.encode(text.as_py())
-                ids.append(np.array(got, "i4"))
-                at += len(got)
-                offsets.append(at)
-            flat = np.concatenate(ids) if ids else np.zeros(0, "i4")
+            ids = [coder.packed(text.as_py()) for text in batch.column("text")]
+            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])])
+            flat = np.frombuffer(b"".join(ids), "i4")
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], schema=schema)
 
@@ -199,10 +226,11 @@ def encode_documents(df: DataFrame, vocabulary: str = f"{TOKENIZERS}/{BYTE_BPE}"
 
 def decode_documents(df: DataFrame, vocabulary: str = f"{TOKENIZERS}/{BYTE_BPE}") -> DataFrame:
     """(doc_id, text) of (doc_id, ids)."""
+    name = ship(df, vocabulary)
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = transducer(vocabulary)
+        coder = shipped(name)
         for batch in batches:
             texts = ["".join(coder.decode(x or [])) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], schema=schema)
@@ -212,12 +240,13 @@ def decode_documents(df: DataFrame, vocabulary: str = f"{TOKENIZERS}/{BYTE_BPE}"
 
 def token_counts(df: DataFrame, vocabulary: str = f"{TOKENIZERS}/{BYTE_BPE}") -> DataFrame:
     """(doc_id, n_tokens) of every row of (doc_id, text)."""
+    name = ship(df, vocabulary)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = transducer(vocabulary)
+        coder = shipped(name)
         for batch in batches:
-            sizes = [len(coder.encode(text.as_py())) for text in batch.column("text")]
+            sizes = [len(coder.packed(text.as_py())) // 4 for text in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64())], schema=schema)
 
     return df.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint")

@@ -39,6 +39,16 @@ def test_long_pieces(coder, reference, text):
     assert coder.encode(text) == reference(text)
 
 
+def test_windows_of_a_long_text(coder, reference, monkeypatch):
+    rng = random.Random(2)
+    text = "".join(rng.choice(["word", " ", "  ", "\n", "12", "'s", "é", ".", "x" * 90, "\t "]) for _ in range(4000))
+    for width in (8, 50, 1000):
+        monkeypatch.setattr(K, "WINDOW", width)
+        parts = list(coder.pieces(text))
+        assert len(parts) > 3 and [p for part in parts for p in part] == coder.find(text)
+        assert coder.encode(text) == reference(text)
+
+
 def test_state_is_bounded(coder):
     """Ids come out while the piece goes in, with no more than a few windows of the longest token behind."""
     taken = 0
