@@ -19,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,14 +60,18 @@ def place(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _packer(capacity: int, name: str, last: bool, closed_from: float):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The items of one task, which are one partition."""
+        rows = pa.Table.from_batches(every).to_pandas() if (every := list(batches)) else None
+        if rows is None or not len(rows):
+            return
         rows = rows.sort_values(["order", "doc_id", "piece_no"], kind="stable")
         where, used = place(rows["n_tokens"].to_numpy(), capacity)
         out = rows[["doc_id", "piece_no", "start", "n_tokens"]].copy()
-        out["context_id"] = [f"{name}-{key[0]}-{w}" for w in where]
-        out["used"] = used[where]
+        out["context_id"] = [f"{name}-{t}-{w}" for t, w in zip(rows["task"], where, strict=True)]
+        out["used"] = used[where].astype("i4")
         out["closed"] = last | (out["used"] >= closed_from * capacity)
-        return out
+        yield from pa.Table.from_pandas(out, preserve_index=False).to_batches()
 
     return run
 
@@ -97,9 +101,9 @@ def pack(sizes: DataFrame, capacity: int = 512, per_task: int = PER_TASK, closed
         tasks = max(1, -(-rest.count() // per_task))
         last = tasks == 1 or step == ROUNDS
         packed = (
-            rest.withColumn("task", F.pmod(F.xxhash64("order", F.lit(step)), F.lit(tasks)))
-            .groupBy("task")
-            .applyInPandas(_packer(capacity, f"r{step}", last, closed_from), SCHEMA)
+            rest.withColumn("task", F.pmod(F.xxhash64("order", F.lit(step)), F.lit(tasks)).cast("int"))
+            .repartitionById(tasks, F.col("task"))  # a task's items are a partition of their own, which is not merged with others
+            .mapInArrow(_packer(capacity, f"r{step}", last, closed_from), SCHEMA)
         )
         if last:
             return done.unionByName(packed.select(*full.columns))
