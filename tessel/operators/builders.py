@@ -69,6 +69,23 @@ def top_up(groups: DataFrame, have: DataFrame, excluded: DataFrame, pool: DataFr
     raise RuntimeError("the pool does not fill all groups")
 
 
+def capped(rows: DataFrame, group: str, order: list[Column], most: int | None) -> DataFrame:
+    """The first ``most`` rows of every group, or all; the limit acts before the shuffle."""
+    if most is None:
+        return rows
+    return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_rn") <= most).drop("_rn")
+
+
+def step_levels(rows: DataFrame, key: str, at: str, title: str, later: str) -> DataFrame:
+    """Adds ``level``: 0 for steps that depend on no other, then one level for each dependent step in order; without independent steps the first dependent one is at 0.
+    A title that a group has had already gets its place as a suffix."""
+    again = F.row_number().over(Window.partitionBy(key, title).orderBy(at)) > 1
+    named = rows.withColumn("_again", again).withColumn(title, F.when(F.col("_again"), F.concat(title, F.lit("("), F.col(at).cast("string"), F.lit(")"))).otherwise(F.col(title))).drop("_again")
+    independent = F.max((~F.col(later)).cast("int")).over(Window.partitionBy(key))
+    nth = F.sum(F.col(later).cast("int")).over(Window.partitionBy(key).orderBy(at).rowsBetween(Window.unboundedPreceding, 0))
+    return named.withColumn("level", F.when(F.col(later), independent + nth - 1).otherwise(0).cast("int"))
+
+
 def consolidate_evidence(rows: DataFrame, key: str, set_no: str, title: str, label: str, at: str) -> DataFrame:
     """(key, set_no, title, labels, single) of evidence sets, a row per sentence (with its place ``at`` in the set).
 

@@ -145,15 +145,6 @@ def g11_date_differences(spark: SparkSession, path: str) -> DataFrame:
     return table(spark, path, "lineitem").select("l_orderkey", "l_linenumber", years.cast("bigint").alias("years"), months.cast("bigint").alias("months"), days.cast("bigint").alias("days"))
 
 
-@query(None)
-def g10_yes_no_numbers(spark: SparkSession, path: str) -> DataFrame:
-    """Seeded comparisons of two amounts with their answer, one per order."""
-    a, b = (F.round(B.draw(s, "o_orderkey") * 1000).cast("int") for s in (1, 2))
-    rows = table(spark, path, "orders").select("o_orderkey", a.alias("a"), b.alias("b"))
-    question = F.concat(F.lit("Is "), F.col("a").cast("string"), F.lit(" more than "), F.col("b").cast("string"), F.lit("?"))
-    return rows.select("o_orderkey", question.alias("question"), F.when(F.col("a") > F.col("b"), "yes").otherwise("no").alias("answer"))
-
-
 @query("""with s as (select distinct sent_uid, idx, sentence from evidence_sents where length(sentence) > 0), p as (select idx, any_value(text) as text from index_paras where text is not null group by idx)
 select sent_uid, substr(text, greatest(1, instr(text, sentence) - 100), least(600, length(sentence) + 200)) as window_text from s join p using (idx) where instr(text, sentence) > 0""")
 def g12_text_window(spark: SparkSession, path: str) -> DataFrame:

@@ -16,6 +16,7 @@ from tessel.functions import text as T
 from tessel.operators import builders as B
 from tessel.operators import similarity as SIM
 from tessel.operators import statistics as ST
+from tessel.operators.iteration import iterate
 from tessel.plans.aggregates import _EV, _SIM, evidence, nearest_train, questions
 from tessel.plans.builders import _M, _POS, positives, samples
 from tessel.plans.joins import _DOCS, firsts, links, paras
@@ -436,6 +437,13 @@ def i02_hop_loop(spark: SparkSession, path: str) -> DataFrame:
     return hop_loop(table(spark, path, "evidence_sents").select("query_uid", "hop", "s2ev_score"))
 
 
+@query(None)
+def i02_iterator(spark: SparkSession, path: str) -> DataFrame:
+    """The whole iteration: dense, stage one, stage two and the stop rule at every hop, with the evidence at the end."""
+    columns = ("query_uid", "hop", "idx", "s_idx", "sent_uid", "score", "s1para_score", "s2_score", "s2ev_score")
+    return iterate(table(spark, path, "evidence_sents").where("query_uid is not null and hop is not null").select(*columns))
+
+
 @query(f"select o_custkey, o_orderkey, {S.draw(7, 'o_custkey')} as slot from orders")
 def i07_group_shuffle(spark: SparkSession, path: str) -> DataFrame:
     """A seeded order of groups; rows of a group stay together."""

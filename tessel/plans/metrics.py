@@ -207,18 +207,46 @@ def m12_rouge_l(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("rr_uid", F.when(F.size("p") + F.size("g") > 0, F.round(2.0 * F.col("n") / (F.size("p") + F.size("g")), 6)).otherwise(0.0).alias("rouge_l"))
 
 
-@query("""with ev as (select distinct sent_uid, query_uid, hop, s1para_score as a, s2_score as b from evidence_sents where s1para_score is not null and s2_score is not null and not isnan(s2_score) and s2_score <> -1),
-x as (select query_uid, sent_uid, b > 0.5 as gold, r, row_number() over (partition by query_uid, r order by r * a + (1 - r) * b desc, sent_uid) as rn from ev, (select unnest(range(0, 11)) / 10.0 as r))
-select cast(r as double) as ratio, count(distinct query_uid) as queries, count(distinct query_uid) filter (gold and rn <= 4) as hit_at_4, count(distinct query_uid) filter (gold and rn <= 20) as hit_at_20 from x group by r""")
+@query("""with ev as (select distinct sent_uid, query_uid, hop, idx, s_idx, title, score, s1para_score as a, s2_score as b, s2ev_score as e from evidence_sents where title is not null),
+g as (select distinct query_uid, list_distinct(list_filter(sp, lambda t: t is not null)) as sp, list_distinct(list_transform(sp_facts, lambda f: f.title || chr(1) || f.sent_idx)) as facts from iter_queries where len(sp) > 0),
+h as (select query_uid, hop, max(e) as e from ev where not isnan(e) and e is not null group by all), best as (select query_uid, arg_min(hop, (-e, hop)) as hop from h group by query_uid), r as (select unnest(range(0, 11)) / 10.0 as r),
+s as (select query_uid, r, title, s_idx, max(r * a + (1 - r) * b) as v from ev join best using (query_uid, hop), r where a is not null and b is not null and not isnan(b) and b <> -1 group by all),
+f as (select query_uid, r, title || chr(1) || s_idx as f, row_number() over (partition by query_uid, r order by v desc, title, s_idx) as rn from s),
+t as (select query_uid, r, title, row_number() over (partition by query_uid, r order by v desc, title) as rn from (select query_uid, r, title, max(v) as v from s group by all)),
+d as (select query_uid, r, title, row_number() over (partition by query_uid, r order by v desc, title) as rn from (select query_uid, r, title, max(v) as v from (select query_uid, r, hop, idx, title, r * max(a) + (1 - r) * max(score) as v from ev, r where a is not null and score is not null group by query_uid, r, hop, idx, title) group by all)),
+ff as (select query_uid, r, count(*) as n from g join f using (query_uid) where list_contains(facts, f) and rn <= len(facts) group by all), tt as (select query_uid, r, count(*) as n from g join t using (query_uid) where list_contains(sp, title) and rn <= len(sp) group by all),
+dd as (select query_uid, r, count(*) filter (rn <= 4) as n4, count(*) filter (rn <= 20) as n20, count(*) filter (rn <= len(sp)) as nh from g join d using (query_uid) where list_contains(sp, title) group by all)
+select cast(r as double) as ratio, round(avg(case when len(facts) > 0 then cast(coalesce(ff.n, 0) = len(facts) as integer) end), 6) as facts_em, round(avg(cast(coalesce(tt.n, 0) = len(sp) as integer)), 6) as sp_em, round(avg(cast(coalesce(n4, 0) = len(sp) as integer)), 6) as r4,
+ round(avg(cast(coalesce(n20, 0) = len(sp) as integer)), 6) as r20, round(avg(cast(coalesce(nh, 0) = len(sp) as integer)), 6) as r_hops, count(*) as queries from g cross join r left join ff using (query_uid, r) left join tt using (query_uid, r) left join dd using (query_uid, r) group by r""")
 def m21_blend_sweep(spark: SparkSession, path: str) -> DataFrame:
-    """Queries with a gold sentence among the first 4 and 20 by every blend of two scores; the ranking is limited before its shuffle."""
-    rows = table(spark, path, "evidence_sents").where("s1para_score is not null and s2_score is not null and not isnan(s2_score) and s2_score <> -1").select("sent_uid", "query_uid", "s1para_score", "s2_score").distinct()
-    swept = rows.withColumn("ratio", F.explode(F.array(*[F.lit(i / 10) for i in range(11)])))
-    blend = F.col("ratio") * F.col("s1para_score") + (1 - F.col("ratio")) * F.col("s2_score")
-    top = swept.withColumn("rn", F.row_number().over(Window.partitionBy("query_uid", "ratio").orderBy(blend.desc(), "sent_uid"))).where("rn <= 20")
-    per = top.groupBy("query_uid", "ratio").agg(F.min(F.when(F.col("s2_score") > 0.5, F.col("rn"))).alias("first"))
-    hit = lambda n: F.sum(F.coalesce(F.col("first") <= n, F.lit(False)).cast("bigint"))
-    return per.groupBy("ratio").agg(F.count("*").alias("queries"), hit(4).alias("hit_at_4"), hit(20).alias("hit_at_20"))
+    """For every blend of paragraph and sentence score: the share of queries whose gold sentences, and gold titles, are exactly the first of the best hop, and whose gold titles are all
+    among the first 4, 20 and as many as there are of the paragraphs retrieved over all hops. Blends are made after the rows are reduced to their sentences and paragraphs."""
+    ev = table(spark, path, "evidence_sents").where("title is not null").select("query_uid", "hop", "idx", "s_idx", "title", "score", F.col("s1para_score").alias("a"), F.col("s2_score").alias("b"), F.col("s2ev_score").alias("e"))
+    facts = F.array_distinct(F.transform("sp_facts", lambda f: fact(f["title"], f["sent_idx"])))
+    gold = table(spark, path, "iter_queries").where("size(sp) > 0").select("query_uid", F.array_distinct(F.filter("sp", lambda t: t.isNotNull())).alias("sp"), facts.alias("facts")).distinct()
+    hops = ev.where("not isnan(e)").groupBy("query_uid", "hop").agg(F.max("e").alias("e"))
+    best = hops.groupBy("query_uid").agg(F.max(F.struct("e", (-F.col("hop")).alias("h"))).alias("m")).select("query_uid", (-F.col("m.h")).alias("hop"))
+    ratios = F.explode(F.array(*[F.lit(i / 10) for i in range(11)])).alias("r")
+    blend = lambda x, y: F.col("r") * F.col(x) + (1 - F.col("r")) * F.col(y)
+    rank = lambda *by: F.row_number().over(Window.partitionBy("query_uid", "r").orderBy(F.col("v").desc(), *by))
+    rows = ev.join(best, ["query_uid", "hop"]).where("a is not null and not isnan(b) and b <> -1").select("query_uid", "title", "s_idx", "a", "b").distinct()
+    sents = rows.select("*", ratios).groupBy("query_uid", "r", "title", "s_idx").agg(F.max(blend("a", "b")).alias("v"))
+    sizes = gold.select("query_uid", "sp", "facts")
+    firsts = sents.withColumn("rn", rank("title", "s_idx")).join(sizes, "query_uid").where((F.col("rn") <= F.size("facts")) & F.array_contains("facts", fact(F.col("title"), F.col("s_idx"))))
+    of = lambda df, *counts: df.groupBy("query_uid", "r").agg(*counts)
+    found_facts = of(firsts, F.count("*").alias("nf"))
+    titles = sents.groupBy("query_uid", "r", "title").agg(F.max("v").alias("v")).withColumn("rn", rank("title")).join(sizes, "query_uid").where((F.col("rn") <= F.size("sp")) & F.array_contains("sp", F.col("title")))
+    found_titles = of(titles, F.count("*").alias("nt"))
+    paras = ev.where("a is not null and score is not null").groupBy("query_uid", "hop", "idx", "title").agg(F.max("a").alias("a"), F.max("score").alias("score")).select("*", ratios)
+    dense = paras.groupBy("query_uid", "r", "title").agg(F.max(blend("a", "score")).alias("v")).withColumn("rn", rank("title")).join(sizes, "query_uid").where(F.array_contains("sp", F.col("title")))
+    upto = lambda c, name: F.sum((F.col("rn") <= c).cast("int")).alias(name)
+    found_dense = of(dense, upto(4, "n4"), upto(20, "n20"), upto(F.size("sp"), "nh"))
+    every = gold.select("query_uid", F.size("sp").alias("k"), F.when(F.size("facts") > 0, F.size("facts")).alias("kf"), ratios)
+    joined = every.join(found_facts, ["query_uid", "r"], "left").join(found_titles, ["query_uid", "r"], "left").join(found_dense, ["query_uid", "r"], "left")
+    share = lambda n, k: F.round(F.avg((F.coalesce(F.col(n), F.lit(0)) == F.col(k)).cast("int")), 6)
+    return joined.groupBy(F.col("r").alias("ratio")).agg(
+        share("nf", "kf").alias("facts_em"), share("nt", "k").alias("sp_em"), share("n4", "k").alias("r4"), share("n20", "k").alias("r20"), share("nh", "k").alias("r_hops"), F.count("*").alias("queries"),
+    )
 
 
 @query(r"""with q as (select distinct query_uid, sample_type, list_distinct(sp) as sp from iter_queries where len(sp) > 0), r as (select distinct query_uid, title from evidence_sents where title is not null),

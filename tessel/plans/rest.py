@@ -19,7 +19,7 @@ from tessel.plans.joins import _SPANS, firsts, links, paras
 from tessel.plans.files import _FLAT
 from tessel.plans.metrics import _PRED, _SARI, predictions
 from tessel.plans.metrics import _RR as _GOLD
-from tessel.plans.records import _LINES, _RR
+from tessel.plans.records import _BARE, _LINES, _RR
 from tessel.sources.tables import latest, table
 
 
@@ -121,27 +121,57 @@ def g04_rationale_variant(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("sample_uid", F.col("i").alias("para_no"), F.when(B.draw(7, "sample_uid", "i") < 0.5, titled).otherwise(body).alias("text")).where("text <> ''")
 
 
-@query(f"with {_M}, {_POS} select sample_uid, p.title as title, string_agg(p.text, ' ' order by i) as text, count(*) as paras from pos where p.title is not null and p.text is not null group by sample_uid, p.title")
-def g13_contexts_by_title(spark: SparkSession, path: str) -> DataFrame:
-    """Positive paragraphs merged per title."""
-    rows = positives(spark, path).where("p.title is not null and p.text is not null").select("sample_uid", F.col("p.title").alias("title"), "i", F.col("p.text").alias("text"))
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"])
-    return rows.groupBy("sample_uid", "title").agg(F.array_join(texts, " ").alias("text"), F.count("*").alias("paras"))
+_TITLED = lambda c: f"select sample_uid, answers, {S.strip(S.unescape('p.title'))} as title, p.text as text, i from (select sample_uid, answers, unnest({c}) as p, generate_subscripts({c}, 1) - 1 as i from m where {c} is not null) where p.title is not null and p.text is not null"
 
 
-@query("""with q as (select distinct query_uid, sp from iter_queries where len(sp) > 0), e as (select query_uid, unnest(sp) as title, generate_subscripts(sp, 1) as i from q), f as (select query_uid, title, max(i) as i from e group by all)
-select query_uid, title, cast(row_number() over (partition by query_uid order by i) - 1 as integer) as level from f""")
+@query(f"""with {_M}, g as (select sample_uid, title, string_agg(text, ' ' order by i) as text from ({_TITLED("pos_paras")}) group by all),
+n as (select sample_uid, title, string_agg(text, ' ' order by i) as text, min(i) as i from ({_TITLED("neg_paras")}) group by all), k as (select *, row_number() over (partition by sample_uid order by i) as rn from n),
+c as (select sample_uid, string_agg(title || ': ' || text, ' ' order by {S.draw(7, "sample_uid", "title")}, title) as golds from g group by sample_uid),
+t as (select sample_uid, max(title || ': ' || text) filter (rn = 1) as one, max(title || ': ' || text) filter (rn = 2) as two from k group by sample_uid),
+x as (select c.sample_uid, golds, case when coalesce(len(answers), 0) = 0 then one end as one, case when coalesce(len(answers), 0) = 0 and {S.draw(8, "c.sample_uid")} >= 0.5 then two end as two from c join m using (sample_uid) left join t using (sample_uid)),
+y as (select *, case when one is null then golds when {S.draw(9, "sample_uid", "0")} < 0.5 then golds || ' ' || one else one || ' ' || golds end as first from x)
+select sample_uid, {S.strip("case when two is null then first when " + S.draw(9, "sample_uid", "1") + " < 0.5 then first || ' ' || two else two || ' ' || first end")} as context from y""")
+def g13_contexts_by_title(spark: SparkSession, path: str) -> DataFrame:
+    """Gold contexts: the paragraphs of each gold title merged, titles in a seeded order; a record without answers gets one or two merged negatives too, before or after."""
+    rows = samples(spark, path)
+
+    def merged(column: str) -> DataFrame:
+        each = rows.select("sample_uid", F.posexplode(column).alias("i", "p")).where("p.title is not null and p.text is not null")
+        each = each.select("sample_uid", T.strip(T.unescape("p.title")).alias("title"), "i", F.col("p.text").alias("text"))
+        texts = F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"])
+        return each.groupBy("sample_uid", "title").agg(F.concat("title", F.lit(": "), F.array_join(texts, " ")).alias("t"), F.min("i").alias("i"))
+
+    in_order = F.array_sort(F.collect_list(F.struct(B.draw(7, "sample_uid", "title").alias("d"), "title", "t")))
+    golds = merged("pos_paras").groupBy("sample_uid").agg(F.array_join(F.transform(in_order, lambda x: x["t"]), " ").alias("golds"))
+    two = F.slice(F.array_sort(F.collect_list(F.struct("i", "t"))), 1, 2)
+    negatives = merged("neg_paras").groupBy("sample_uid").agg(F.transform(two, lambda x: x["t"]).alias("negs"))
+    joined = golds.join(negatives, "sample_uid", "left").join(rows.select("sample_uid", "answers"), "sample_uid")
+    none = F.coalesce(F.size(F.coalesce("answers", F.array().cast("array<string>"))) == 0, F.lit(True))
+    taken = F.when(none, F.slice(F.coalesce("negs", F.array().cast("array<string>")), F.lit(1), F.when(B.draw(8, "sample_uid") < 0.5, 1).otherwise(2))).otherwise(F.array().cast("array<string>"))
+    numbered = F.transform(taken, lambda t, i: F.struct(t.alias("t"), (B.draw(9, F.col("sample_uid"), i) < 0.5).alias("after")))
+    whole = F.aggregate(numbered, F.col("golds"), lambda acc, x: F.when(x["after"], F.concat(acc, F.lit(" "), x["t"])).otherwise(F.concat(x["t"], F.lit(" "), acc)))
+    return joined.select("sample_uid", T.strip(whole).alias("context"))
+
+
+@query("""with q as (select distinct query_uid, question, sp from iter_queries where len(sp) > 0 and question is not null), e as (select query_uid, question, unnest(sp) as t, generate_subscripts(sp, 1) - 1 as i from q),
+n as (select query_uid, i, case when row_number() over (partition by query_uid, t order by i) > 1 then t || '(' || i || ')' else t end as title, not contains(question, t) as later from e where t is not null),
+l as (select *, max(cast(not later as integer)) over (partition by query_uid) as has, sum(cast(later as integer)) over (partition by query_uid order by i rows unbounded preceding) as nth from n)
+select query_uid, title, cast(case when later then has + nth - 1 else 0 end as integer) as level from l""")
 def g14_unique_by_suffix(spark: SparkSession, path: str) -> DataFrame:
-    """Titles once each, at the place of their last use."""
-    e = table(spark, path, "iter_queries").where("size(sp) > 0").select("query_uid", F.posexplode("sp").alias("i", "title")).distinct()
-    last = e.groupBy("query_uid", "title").agg(F.max("i").alias("i"))
-    return last.select("query_uid", "title", (F.row_number().over(Window.partitionBy("query_uid").orderBy("i")) - 1).alias("level"))
+    """Steps of a query by level: those that the question itself names (for lack of step questions with references) are all in the first, every other has a level of its own in order;
+    a title that occurs again gets its position as a suffix."""
+    rows = table(spark, path, "iter_queries").where("size(sp) > 0 and question is not null").select("query_uid", "question", F.posexplode("sp").alias("i", "t")).distinct()
+    rows = rows.where("t is not null").select("query_uid", "i", "t", (~F.contains("question", "t")).alias("later"))
+    return B.step_levels(rows, "query_uid", "i", "t", "later").select("query_uid", F.col("t").alias("title"), "level")
 
 
-@query("select ds_type, count(*) as n from dataset_catalogue where has_evidence group by ds_type")
+@query(f"""with q as (select distinct query_uid, question, answer, sample_type from iter_queries where question <> '' and len(answer) > 0 and sample_type <> ''),
+r as (select *, row_number() over (partition by sample_type order by query_uid) as rn from q)
+select query_uid, sample_type, regexp_replace(regexp_replace({_BARE("question")}, '[.!?]$', '') || '?', '\\?\\?$', '?') || ' \\n' || case when coalesce(answer[1], '') <> '' then ' ' || chr(9) || {_BARE("answer[1]")} else '' end as line from r where rn <= 50""")
 def g20_filtered_builder(spark: SparkSession, path: str) -> DataFrame:
-    """Filtered entries with their count."""
-    return table(spark, path, "dataset_catalogue").where("has_evidence").groupBy("ds_type").agg(F.count("*").alias("n"))
+    """Question lines of each type, fifty of a type at most: the cap is the builder's parameter."""
+    rows = table(spark, path, "iter_queries").where("question <> '' and size(answer) > 0 and sample_type <> ''").select("query_uid", "question", "answer", "sample_type").distinct()
+    return B.capped(rows, "sample_type", [F.col("query_uid")], 50).select("query_uid", "sample_type", qa.example(F.col("question"), F.lit(None).cast("string"), F.get("answer", F.lit(0))).alias("line"))
 
 
 @query("""with d as (select a.vec_id as uid, b.vec_id as other, round(list_inner_product(cast(a.embedding[1:32] as double[]), cast(b.embedding[1:32] as double[])), 9) as one, list_inner_product(cast(a.embedding[33:64] as double[]), cast(b.embedding[33:64] as double[])) as two
@@ -281,3 +311,16 @@ def s16_gzip_or_plain(spark: SparkSession, path: str) -> DataFrame:
     files.write_jsonl(rows.where("c_nationkey < 12"), f"{to}/plain")
     files.write_jsonl(rows.where("c_nationkey >= 12"), f"{to}/gz", compression="gzip")
     return files.read_jsonl(spark, f"{to}/*", "c_custkey bigint, c_name string, c_nationkey int").select("c_custkey", "c_name")
+
+
+@query("select distinct query_uid, question from iter_queries")
+def s17_any_compression(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines, plain, gz and bz2, in one folder, told apart by extension."""
+    from tessel.plans.files import place
+    from tessel.sources import files
+
+    rows = table(spark, path, "iter_queries").select("query_uid", "question").distinct()
+    to = place(spark, "s17")
+    for k, kind in enumerate(("none", "gzip", "bzip2")):
+        files.write_jsonl(rows.where(F.pmod("query_uid", F.lit(3)) == k), f"{to}/{kind}", compression=kind)
+    return files.read_jsonl(spark, f"{to}/*", "query_uid bigint, question string").drop("_corrupt")

@@ -51,7 +51,7 @@ def test_nearest_by_vector_and_ivf_recall(spark):
     score = np.round(f @ f.T, 9)
     np.fill_diagonal(score, -9)
     assert exact == {(i, int(j)) for i in range(0, 400, 20) for j in np.argsort(-score[i], kind="stable")[:5]}
-    found = {(r.uid, r.other) for r in ivf.ivf_search(queries, rows, 5, lists=8, probes=6).collect()}
+    found = {(r.uid, r.other) for r in ivf.ivf_search(queries, rows, 5).collect()}
     assert len(exact & found) / len(exact) >= 0.9
     assert similarity.nearest_by_vector(queries.limit(0), rows, 5).count() == 0
 

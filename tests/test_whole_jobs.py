@@ -13,6 +13,7 @@ from tests.conftest import DATA
 from tessel import catalog
 from tessel.functions import qa
 from tessel.operators import builders, similarity, statistics
+from tessel.operators.iteration import Steps, iterate
 from tessel.plans.evaluation import hop_loop
 
 QUERIES = catalog.queries()
@@ -234,3 +235,55 @@ def test_positions_are_dense(spark):
     df = spark.range(0, 3000, 3).repartition(7)
     assert [r.pos for r in statistics.positions(df, "id").orderBy("id").collect()] == list(range(1000))
     assert statistics.positions(df.limit(0), "id").count() == 0
+
+
+def walk(rows, p):
+    """The iteration of one query after another, as a loop."""
+    real = lambda x: None if x is None or x != x else x
+    by_query = defaultdict(lambda: defaultdict(set))
+    for q, hop, idx, s_idx, uid, score, para, s2, ev in rows:
+        by_query[q][hop].add((idx, s_idx, uid, real(score), real(para), -1.0 if real(s2) is None else s2, real(ev)))
+    low = lambda x: (x is None, -(x or 0.0))
+    out = {}
+    for q, hops in by_query.items():
+        carried, before, last = [], None, max(hops)
+        for hop in range(p.hops):
+            now = hops.get(hop)
+            if not now:
+                continue
+            dense = {}
+            for idx, _, _, score, *_ in now:
+                dense[idx] = max(dense.get(idx, (False, 0)), (score is not None, score or 0.0))
+            beam = sorted(dense, key=lambda i: (not dense[i][0], -dense[i][1], i))[: p.beam]
+            beam = [i for i in beam if i not in {c[0] for c in carried}]
+            blend = lambda r: None if r[3] is None or r[4] is None else p.ratio * r[4] + (1 - p.ratio) * r[3]
+            new = sorted((r for r in now if r[0] in beam), key=lambda r: (*low(blend(r)), r[2]))[: p.topk]
+            again = defaultdict(list)
+            for r in now:
+                again[r[:2]].append(r[5])
+            one = ([(*c[:3], max(again[c[:2]]) if c[:2] in again else c[3]) for c in carried] + [(r[0], r[1], r[2], r[5]) for r in new])[: p.topk]
+            two = sorted(one, key=lambda c: -c[3])
+            if len(two) > p.min_take:
+                least = min(p.thresh, two[p.min_take - 1][3] - 1e-10)
+                two = [c for c in two if c[3] > least]
+            carried = two[: p.topk_two]
+            ev, conf = (max((r[k] for r in now if r[k] is not None), default=None) for k in (6, 3))
+            reasons = ["evsuff"] * (ev is not None and ev >= p.enough) + ["aconf"] * (conf is not None and conf >= p.confident) + ["max"] * (last <= hop)
+            reasons += ["evlower"] * (p.lower and before is not None and ev is not None and before >= ev)
+            before = ev if ev is not None else before
+            if reasons:
+                out[q] = (hop, ev, reasons, [c[2] for c in carried])
+                break
+    return out
+
+
+def test_iteration_against_a_loop(spark):
+    columns = ("query_uid", "hop", "idx", "s_idx", "sent_uid", "score", "s1para_score", "s2_score", "s2ev_score")
+    df = spark.read.parquet(f"{DATA}/evidence_sents.parquet").where("query_uid is not null and hop is not null").select(*columns)
+    rows = [tuple(r) for r in df.collect()]
+    got = {r.query_uid: tuple(r)[1:] for r in QUERIES["i02_iterator"](spark, DATA).collect()}
+    assert got == walk(rows, Steps())
+    # more hops: no hop is enough, falling evidence does not stop
+    p = Steps(enough=2.0, confident=2.0, lower=False, beam=2, topk=4, topk_two=3)
+    got = {r.query_uid: tuple(r)[1:] for r in iterate(df, p).collect()}
+    assert got == walk(rows, p) and {r[0] for r in got.values()} > {0}
