@@ -31,12 +31,16 @@ def m01_normalise(spark: SparkSession, path: str) -> DataFrame:
 _FLOAT = r"regexp_full_match(trim(t), '[+-]?(([0-9]+(_[0-9]+)*\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|nan|inf(inity)?)')"
 
 
-def _drop(x: str) -> str:
-    """The number-aware normalisation of a text."""
+def _drop_list(x: str) -> str:
+    """The tokens of the number-aware normalisation of a text."""
     bare = rf"case when {_FLOAT} then t else regexp_replace(t, '[!-/:-@\[-`{{-~]', '', 'g') end"
     words = r"trim(regexp_replace(regexp_replace(t, '(^|[^\p{L}\p{N}_])(a|an|the)($|[^\p{L}\p{N}_])', '\1 \3', 'g'), '[\s\x{a0}]+', ' ', 'g'))"
     each = f"list_transform(list_transform(string_split_regex(lower({x}), '[ -]'), lambda t: {bare}), lambda t: string_split(case when {_FLOAT} then cast(cast(t as double) as varchar) else {words} end, ' '))"
-    return f"array_to_string(list_filter(flatten({each}), lambda w: w <> ''), ' ')"
+    return f"list_filter(flatten({each}), lambda w: w <> '')"
+
+
+def _drop(x: str) -> str:
+    return f"array_to_string({_drop_list(x)}, ' ')"
 
 
 @query(f"with {_RR} select rr_uid, {_drop('answers[1]')} as value from rr")

@@ -211,7 +211,13 @@ def proj30_verdicts(spark: SparkSession, path: str) -> DataFrame:
     return table(spark, path, "iter_queries").where("answer is not null").select("query_uid", F.transform("answer", mapped).alias("answer")).distinct()
 
 
-@query(None)
+_END = lambda x: S.close(x, ".!?:;")
+
+
+@query(rf"""with {_LINES}, s as (select doc_id, q, a, list_filter(list_transform(string_split(q, '\n'), lambda x: {S.strip("x")}), lambda x: x <> '') as l, regexp_replace({S.strip("a")}, '\.+$', '') as b from lines),
+w as (select *, case when instr(l[1], ' _ ') > 0 then substr(l[1], 1, instr(l[1], ' _ ')) || b || substr(l[1], instr(l[1], ' _ ') + 2) else {_END("l[1]")} || ' ' || upper(left(b, 1)) || lower(substr(b, 2)) end as w from s),
+c as (select *, regexp_replace(w, '\?+$', '') as v from w), d as (select *, replace(regexp_replace({_END("v")}, '{S.WS}+', ' ', 'g'), ' .', '.') as z, coalesce(l[2], '') as two, coalesce(l[3], '') as three from c)
+select doc_id, case when {S.strip("a")} = '' then q else z || ' ' || case when two = '' or starts_with(two, '(A)') then '' else {_END("two")} || ' ' end || case when three = '' then '' else {_END("three")} || ' ' end || '\n' end as statement from d""")
 def proj31_restate(spark: SparkSession, path: str) -> DataFrame:
     """Questions and answers as statements."""
     return lines(spark, path).select("doc_id", qa.restate(F.col("q"), F.col("a")).alias("statement"))

@@ -17,7 +17,7 @@ from tessel.operators import similarity as SIM
 from tessel.plans.builders import _M, _POS, _SENTS, positives, samples
 from tessel.plans.joins import _SPANS, firsts, links, paras
 from tessel.plans.files import _FLAT
-from tessel.plans.metrics import _PRED, _SARI, predictions
+from tessel.plans.metrics import _FLOAT, _PRED, _SARI, _drop_list, predictions
 from tessel.plans.metrics import _RR as _GOLD
 from tessel.plans.records import _BARE, _LINES, _RR
 from tessel.sources.tables import latest, table
@@ -77,7 +77,12 @@ def m16_corpus_sari(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("src").agg(F.count("*").alias("n"), F.round(F.avg("sari") * 100, 4).alias("sari"))
 
 
-@query(None)
+@query(f"""with {_M}, {_POS}, {_SENTS}, s as (select sample_uid, i, k, {S.words("lower(" + S.close('s') + ")")} as w from sents where s <> ''), p as (select sample_uid, i, {S.words("lower(p.text)")} as w from pos where p.text is not null),
+cg as (select sample_uid, i, t, count(*) as n from (select sample_uid, i, unnest(w) as t from s) group by all), cw as (select sample_uid, i, t, count(*) as n from (select sample_uid, i, unnest(w) as t from p) group by all),
+cs as (select sample_uid, i, k, t, count(*) as n from (select sample_uid, i, k, unnest(w) as t from s) group by all), ng as (select sample_uid, i, sum(n) as g from cg group by all),
+o as (select sample_uid, i, sum(least(cg.n, cw.n)) as same from cg join cw using (sample_uid, i, t) group by all), b as (select sample_uid, i, k, sum(least(cg.n, cs.n)) as same, sum(cs.n) as n from cg join cs using (sample_uid, i, t) group by all),
+x as (select sample_uid, i, max(round(2.0 * same / (n + g), 6)) as best from b join ng using (sample_uid, i) group by all)
+select sample_uid, cast(i as integer) as para_no, round(2.0 * coalesce(same, 0) / (g + len(w)), 6) as overall, best from ng join p using (sample_uid, i) left join o using (sample_uid, i) join x using (sample_uid, i)""")
 def m25_explanation_score(spark: SparkSession, path: str) -> DataFrame:
     """Token F1 of a rationale with its whole paragraph, and the best with one of its sentences."""
     rows = positives(spark, path).where("p.text is not null and p.sentence_spans is not null and p.sentence_labels is not null")
@@ -258,7 +263,9 @@ def a03_long_results(spark: SparkSession, path: str) -> DataFrame:
     return long.withColumn("score", F.round(F.col("score") * 100, 6))
 
 
-@query(None)
+@query(f"""with {_M}, {_POS}, gold as (select distinct p.title as title from pos where p.title is not null), d as (select distinct doc_id, para_idx from (select idx, any_value(title) as title, any_value(doc_id) as doc_id, any_value(para_idx) as para_idx from index_paras group by idx) join gold using (title)),
+r as (select *, para_idx - row_number() over (partition by doc_id order by para_idx) as run from d), k as (select *, row_number() over (partition by doc_id, run order by para_idx) - 1 as k, count(*) over (partition by doc_id, run) as n from r)
+select doc_id, list(para_idx order by para_idx) as merges from k where k % 2 = 0 and k + 1 < n group by doc_id""")
 def a37_conflict_free_merges(spark: SparkSession, path: str) -> DataFrame:
     """Of the merges of neighbouring gold paragraphs of a document, those kept by a greedy pass in order: a merge that shares a paragraph with a kept one goes. The fold is over a
     document's few pairs."""
@@ -280,7 +287,11 @@ def t24_word_to_number(spark: SparkSession, path: str) -> DataFrame:
     return words.select("rr_uid", "word", to_number("word").alias("number")).where("number is not null")
 
 
-@query(None)
+@query(f"""with {_GOLD}, {_PRED}, g as (select rr_uid, src, list_distinct({_drop_list("p")}) as p, list_distinct({_drop_list("a")}) as g from (select rr_uid, src, p, unnest(answers) as a from pred) where a is not null),
+s as (select rr_uid, src, len(list_intersect(p, g)) as same, len(p) as np, len(g) as ng, list_filter(g, lambda t: {_FLOAT}) as nums, p from g),
+f as (select rr_uid, src, case when len(nums) > 0 and len(list_intersect(nums, p)) = 0 then 0.0 else 2.0 * (case when np = 0 then 1.0 else same::double / np end) * (case when ng = 0 then 1.0 else same::double / ng end)
+ / nullif((case when np = 0 then 1.0 else same::double / np end) + (case when ng = 0 then 1.0 else same::double / ng end), 0) end as f1 from s), b as (select rr_uid, src, max(round_even(coalesce(f1, 0), 2)) as f1 from f group by all)
+select src, count(*) as n, round(avg(f1) * 100, 4) as score from b group by src""")
 def m05_best_f1(spark: SparkSession, path: str) -> DataFrame:
     """Mean number-aware F1 of one predicted span with the best gold, per source."""
     golds = F.filter("answers", lambda a: a.isNotNull())

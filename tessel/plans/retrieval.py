@@ -242,7 +242,16 @@ def l08_gold_in_index(spark: SparkSession, path: str) -> DataFrame:
     return gold.join(table(spark, path, "index_paras").select("title"), "title", "left_semi").select("query_uid", "title")
 
 
-@query(None)
+def _cosine(name: str, text: str) -> str:
+    """CTEs: {name}h (uid, nearest, sim), cosines x 100 of word counts of all evaluation and training records with a common word."""
+    return rf"""{name}c as (select uid, t, term, count(*) as tf from (select uid, t, unnest(regexp_extract_all(lower(coalesce({text}, '')), '[\p{{L}}\p{{N}}_]{{2,}}')) as term from rows) group by all), {name}n as (select uid, sum(tf * tf) as s from {name}c group by uid),
+{name}h as (select h.uid, nearest, round(100 * same / sqrt(cast(x.s as double) * y.s), 6) as sim from (select a.uid, b.uid as nearest, sum(a.tf * b.tf) as same from {name}c a join {name}c b on not a.t and b.t and a.term = b.term group by all) h join {name}n x using (uid) join {name}n y on y.uid = h.nearest)"""
+
+
+@query(f"""with rows as (select distinct sample_uid as uid, lower(trim(split)) = 'train' as t, coalesce(src, 'hotpotqa') as src, question, answers[1] as answer from mdr_samples where split is not null and question <> ''),
+{_cosine("q", "question")}, {_cosine("a", "answer")}, s as (select ah.uid, ah.nearest, (case when qh.sim >= 60 then qh.sim else 0 end + ah.sim) / 2 as score from ah left join qh using (uid, nearest) where ah.sim >= 40),
+b as (select uid, arg_max(nearest, (score, -nearest)) as nearest, max(score) as score from s group by uid), f as (select min(uid) as uid from rows where t)
+select e.uid, e.src, x.src as tsrc, x.uid as nearest, round(coalesce(b.score, 0), 6) as score from (select uid, src from rows where not t) e cross join f left join b on b.uid = e.uid join (select uid, src from rows where t) x on x.uid = coalesce(b.nearest, f.uid)""")
 def l04_question_and_answer(spark: SparkSession, path: str) -> DataFrame:
     """The training record of the highest mean of question and first-answer similarity for every evaluation record; no question counts below 60, nothing where the answers are below 40."""
     rows = table(spark, path, "mdr_samples").where("split is not null and question <> ''")
