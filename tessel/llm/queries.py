@@ -113,6 +113,13 @@ with r as (select distinct sample_uid as u, lower(trim(split)) = 'train' as t, {
   from mdr_samples where lower(trim(split)) in ('train', 'dev', 'test') and question <> '' and answers is not null)
 select distinct least(a.u, b.u) as uid_a, greatest(a.u, b.u) as uid_b from r a join r b on a.t and not b.t
 where {_SHARE.format("a", "b")} and len(list_intersect(a.k, b.k)) > 0""",
+    "p1_report": f"""
+with r as (select sample_uid as u, any_value(lower(trim(split))) as split, any_value(coalesce(src, 'hotpotqa')) as src, any_value({_WORDS.format("question")}) as w, any_value({_KEYS}) as k
+  from mdr_samples where lower(trim(split)) in ('train', 'dev', 'test') and question <> '' and answers is not null group by sample_uid), c as (select * from r where len(w) > 0 and len(k) > 0),
+p as (select distinct a.u as t, b.u as u, b.split, b.src, len(list_intersect(a.w, b.w)) = len(a.w) and len(a.w) = len(b.w) as same from c a join c b on a.split = 'train' and b.split <> 'train'
+  where {_SHARE.format("a", "b")} and len(list_intersect(a.k, b.k)) > 0),
+n as (select split, src, count(*) as records from c where split <> 'train' group by all), f as (select split, src, count(distinct u) as overlapping, count(*) as pairs, count(*) filter (same) as exact_pairs from p group by all)
+select split, src, records, coalesce(overlapping, 0) as overlapping, coalesce(pairs, 0) as pairs, coalesce(exact_pairs, 0) as exact_pairs from n left join f using (split, src)""",
     "p2_found": "select distinct idx from index_paras where length(text) > 1000",
     "p3_found": f"""
 with r as (select rr_uid as u, any_value({_WORDS.format("question || ' ' || array_to_string(answers, ' ')")}) as w from rr_samples
