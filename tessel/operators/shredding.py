@@ -14,6 +14,7 @@ text that is not one complete JSON value gives no record.
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -121,6 +122,22 @@ def coerce(value: object, kind: pa.DataType) -> object:
     raise TypeError(kind)
 
 
+def load_json(text: str) -> object:
+    """``json.loads`` without a limit on the depth: what is nested deeper than the parser written in C goes is read by the one written in Python, whose calls take no C stack."""
+    try:
+        return json.loads(text)
+    except RecursionError:
+        decoder = json.JSONDecoder()
+        decoder.parse_object, decoder.parse_array = json.decoder.JSONObject, json.decoder.JSONArray
+        decoder.scan_once = json.scanner.py_make_scanner(decoder)
+        before = sys.getrecursionlimit()
+        sys.setrecursionlimit(max(before, 3 * len(text) + 1000))
+        try:
+            return decoder.decode(text)
+        finally:
+            sys.setrecursionlimit(before)
+
+
 def parse_json(texts: pa.Array, kind: pa.DataType) -> tuple[pa.Array, np.ndarray]:
     """Parsed records and the numbers of the rows they come from; incomplete or other text gives none."""
     rows, kept = [], []
@@ -128,8 +145,8 @@ def parse_json(texts: pa.Array, kind: pa.DataType) -> tuple[pa.Array, np.ndarray
         if text is None:
             continue
         try:
-            value = json.loads(text)
-        except (ValueError, RecursionError):
+            value = load_json(text)
+        except ValueError:
             continue
         if isinstance(value, dict):
             rows.append(coerce(value, kind))
@@ -145,8 +162,8 @@ def parse_order(text: str | None) -> list[list[str | None]]:
     value: object = text
     if text.lstrip()[:1] in ("[", '"'):
         try:
-            value = json.loads(text)
-        except (ValueError, RecursionError):
+            value = load_json(text)
+        except ValueError:
             value = text
     if isinstance(value, str):
         return [[value]]

@@ -57,3 +57,12 @@ def test_children_with_dirty_rows(spark):
         ("hyperlinks_cased", 1, 2, 0, "T"), ("hyperlinks_cased", 1, 2, 1, "T"),
     }
     assert Sh.child_rows(samples.limit(0), pages.limit(0)).count() == 0
+
+
+def test_deeply_nested_unknown_members(spark):
+    """A payload whose unknown member is nested 50,000 deep counts like any other; a broken one does not."""
+    depth = 50_000
+    page = '{"paras": [{"hyperlinks_cased": {"T": [{"anchor_text": "a"}]}}], "x": ' + "[" * depth + "]" * depth + "}"
+    pages = spark.createDataFrame([(1, page), (2, page[:-1])], "doc_id bigint, payload string")
+    samples = spark.createDataFrame([(7, "[" * depth + "]" * depth)], "sample_uid bigint, bridge string").selectExpr("*", "cast(null as array<struct<title:string>>) as pos_paras", "cast(null as array<struct<title:string>>) as neg_paras")
+    assert [tuple(r) for r in Sh.child_rows(samples, pages).collect()] == [("hyperlinks_cased", 1, 0, 0, "T")]
