@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 #: White space as Python's str.split sees it; Java's \s alone misses the non-breaking and typographic blanks.
 WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-#: Word classes and endings of the reference's text rules.
+# Word classes and endings of the text rules.
 ARTICLES = ("a", "an", "the")
+#: The stop words where none are given; a library's list may be passed instead.
 STOP_WORDS = (
     "a about after all also an and any are as at be been but by can could did do does for from had has have he her him his how i if in into is it "
     "its just me more most my no not of on one only or other our out over own same she so some such than that the their them then there these they "
@@ -106,15 +107,15 @@ def sentences(x: Column | str) -> Column:
     return F.filter(F.transform(F.split(strip(x), rf"(?<=[.!?]){WS}+"), strip), lambda s: s != "")
 
 
-def drop_stop_words(x: Column | str) -> Column:
+def drop_stop_words(x: Column | str, stops=STOP_WORDS) -> Column:
     """Words between single blanks that are not stop words, joined again."""
-    return F.array_join(F.filter(F.split(col(x), " "), lambda w: ~F.lower(w).isin(*STOP_WORDS)), " ")
+    return F.array_join(F.filter(F.split(col(x), " "), lambda w: ~F.lower(w).isin(*stops)), " ")
 
 
-def kept_words(tokens: Column) -> Column:
+def kept_words(tokens: Column, stops=STOP_WORDS) -> Column:
     """(word, position) of the words that are not stop words."""
     with_position = F.transform(tokens, lambda w, i: F.struct(w.alias("word"), i.cast("int").alias("pos")))
-    return F.filter(with_position, lambda t: ~F.lower(t["word"]).isin(*STOP_WORDS))
+    return F.filter(with_position, lambda t: ~F.lower(t["word"]).isin(*stops))
 
 
 def simple_tokens(x: Column | str) -> Column:
@@ -134,19 +135,20 @@ def ngrams(tokens: Column, most: int) -> Column:
     return let(tokens, build)
 
 
-def is_filler(word: Column) -> Column:
+def is_filler(word: Column, stops=STOP_WORDS) -> Column:
     """A stop word, or nothing but punctuation."""
-    return F.lower(word).isin(*STOP_WORDS) | word.rlike(r"^\p{P}*$")
+    return F.lower(word).isin(*stops) | word.rlike(r"^\p{P}*$")
 
 
-def keep_ngram(words_: Column, mode: str) -> Column:
+def keep_ngram(words_: Column, mode: str, stops=STOP_WORDS) -> Column:
     """Whether an n-gram is to be filtered: any, all or one of the ends is a filler."""
+    filler = lambda w: is_filler(w, stops)
     if mode == "any":
-        return F.exists(words_, is_filler)
+        return F.exists(words_, filler)
     if mode == "all":
-        return F.forall(words_, is_filler)
+        return F.forall(words_, filler)
     if mode == "ends":
-        return is_filler(F.element_at(words_, 1)) | is_filler(F.element_at(words_, -1))
+        return filler(F.element_at(words_, 1)) | filler(F.element_at(words_, -1))
     raise ValueError(mode)
 
 

@@ -116,8 +116,8 @@ def search(index: DataFrame, terms: DataFrame, k: int, fields: dict | None = Non
 @lru_cache(maxsize=2)
 def slice_of(folder: str, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sorted terms of the postings of a slice, their documents and shares, and the documents' keys in order; a worker keeps the last two slices."""
-    table = read_shared(f"{folder}/slice={part}", ["t", "key", "share"], pa.schema([("t", pa.int64()), ("key", pa.int64()), ("share", pa.float64())]))
-    t, key, share = (table.column(c).to_numpy() for c in ("t", "key", "share"))
+    table = read_shared(f"{folder}/slice={part}", ["t", "key", "share"])
+    t, key, share = (np.zeros(0, kind) if table is None else table.column(c).to_numpy() for c, kind in (("t", "i8"), ("key", "i8"), ("share", "f8")))
     order = np.argsort(t, kind="stable")
     keys, doc = np.unique(key[order], return_inverse=True)
     return t[order], doc, share[order], keys

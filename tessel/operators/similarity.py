@@ -2,27 +2,51 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK, SLICE = 2_000, 20_000
+from tessel.session import read_shared, shared_dir
 
+BLOCK, SLICE = 2_000, 20_000
 
-def _sizes(queries: DataFrame, corpus: DataFrame) -> tuple[int, int]:
-    return max(1, -(-queries.count() // BLOCK)), max(1, -(-corpus.count() // SLICE))
 
+def compare(queries: DataFrame, corpus: DataFrame, columns: tuple[str, ...], run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, of_corpus: tuple[str, ...] = ()) -> DataFrame:
+    """``run`` of every block of queries with every slice of the table, both of bounded size.
 
-def _pairs(queries: DataFrame, corpus: DataFrame, columns: tuple[str, ...], of_corpus: tuple[str, ...] = ()):
-    """Query blocks cogrouped with slices of the table: every slice meets every block once, both of bounded size."""
-    blocks, slices = _sizes(queries, corpus)
-    queries, corpus = (x.select("uid", *names).toDF("uid", *names) for x, names in ((queries, columns), (corpus, (*columns, *of_corpus))))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    part = lambda n, c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    q = queries.select("uid", *columns, part(blocks, "uid").alias("block"), spread(slices).alias("slice"))
-    c = corpus.select("uid", *columns, *of_corpus, part(slices, "uid").alias("slice"), spread(blocks).alias("block"))
-    return q.groupBy("block", "slice").cogroup(c.groupBy("block", "slice"))
+    The slices are written to the shared folder, where each task of queries reads one after the other: neither side is copied through a shuffle.
+    """
+    n, rows = queries.count(), corpus.count()
+    slices = max(1, -(-rows // SLICE))
+    folder = f"{shared_dir(corpus.sparkSession)}/slices-{uuid.uuid4().hex}"
+    sliced = corpus.select("uid", *columns, *of_corpus, F.pmod(F.xxhash64("uid"), F.lit(slices)).alias("slice"))
+    sliced.repartition(slices, "slice").write.partitionBy("slice").parquet(folder)
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(-(-n // 100), max(2 * cores, -(-n // BLOCK))))
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                if size + part.num_rows > BLOCK and waiting:
+                    yield from found(pa.Table.from_batches(waiting))
+                    waiting, size = [], 0
+                waiting, size = [*waiting, part], size + part.num_rows
+        if size:
+            yield from found(pa.Table.from_batches(waiting))
+
+    def found(block: pa.Table) -> Iterator[pa.RecordBatch]:
+        for k in range(slices):
+            rows = read_shared(f"{folder}/slice={k}", ["uid", *columns, *of_corpus])
+            if rows is not None:
+                yield from run(block, rows).to_batches()
+
+    return queries.select("uid", *columns).repartition(tasks, "uid").mapInArrow(stream, schema)
 
 
 def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +104,7 @@ def nearest_by_words(queries: DataFrame, corpus: DataFrame, weighted: bool = Fal
 
     columns = ("words", *(["weights"] if weighted else []))
     kept = (group,) if group else ()
-    found = _pairs(queries, corpus, columns, kept).applyInArrow(run, f"uid bigint, {f'{group} string, ' if group else ''}nearest bigint, score double")
+    found = compare(queries, corpus, columns, run, f"uid bigint, {f'{group} string, ' if group else ''}nearest bigint, score double", kept)
     top = found.groupBy("uid", *kept).agg(F.max(F.struct("score", (-F.col("nearest")).alias("n"))).alias("b"))
     return top.select("uid", *kept, (-F.col("b.n")).alias("nearest"), F.col("b.score").alias("score"))
 
@@ -109,7 +133,7 @@ def nearest_by_vector(queries: DataFrame, corpus: DataFrame, k: int, exclude_sel
         keep = np.isfinite(values)
         return pa.table([pa.array(np.repeat(quid, top.shape[1])[keep.ravel()]), pa.array(cuid[top][keep]), pa.array(values[keep])], schema=schema)
 
-    found = _pairs(queries, corpus, ("vector",)).applyInArrow(run, "uid bigint, other bigint, score double")
+    found = compare(queries, corpus, ("vector",), run, "uid bigint, other bigint, score double")
     w = Window.partitionBy("uid").orderBy(F.col("score").desc(), "other")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -142,7 +166,7 @@ def nearest_by_mean(queries: DataFrame, corpus: DataFrame, gate: float) -> DataF
         hit = np.isfinite(best)
         return pa.table([pa.array(quid[hit]), pa.array(at[hit]), pa.array(best[hit])], schema=schema)
 
-    found = _pairs(queries, corpus, ("first", "second")).applyInArrow(run, "uid bigint, other bigint, score double")
+    found = compare(queries, corpus, ("first", "second"), run, "uid bigint, other bigint, score double")
     top = found.groupBy("uid").agg(F.max(F.struct("score", (-F.col("other")).alias("n"))).alias("b"))
     return top.select("uid", (-F.col("b.n")).alias("other"), F.col("b.score").alias("score"))
 
@@ -197,7 +221,7 @@ def nearest_by_question_and_answer(queries: DataFrame, corpus: DataFrame, questi
             best, at = np.where(better, top, best), np.where(better, cuid[lo:hi][k], at)
         return pa.table([pa.array(quid), pa.array(at), pa.array(best)], schema=schema)
 
-    found = _pairs(queries, corpus, ("q_w", "q_n", "a_w", "a_n")).applyInArrow(run, "uid bigint, nearest bigint, score double")
+    found = compare(queries, corpus, ("q_w", "q_n", "a_w", "a_n"), run, "uid bigint, nearest bigint, score double")
     top = found.groupBy("uid").agg(F.max(F.struct("score", (-F.col("nearest")).alias("n"))).alias("b"))
     return top.select("uid", (-F.col("b.n")).alias("nearest"), F.col("b.score").alias("score"))
 
@@ -207,15 +231,3 @@ def inverted_index(paras: DataFrame, key: str, text: str) -> DataFrame:
     tokens = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     rows = paras.where(F.col(text).isNotNull()).select(key, tokens.alias("t")).where("size(t) > 0")
     return rows.select(key, F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
-
-
-def bm25(index: DataFrame, queries: DataFrame, key: str, qkey: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(qkey, key, score) of the documents that share a term with the queries (qkey, term): the index is reduced to the query terms before it is joined."""
-    docs = index.select(key, "dl").distinct()
-    stats = docs.agg(F.count("*").alias("n_docs"), (F.sum("dl").cast("double") / F.count("*")).alias("mean_dl"))
-    wanted = index.join(queries.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean_dl")))
-    weighted = wanted.join(df, "term").join(F.broadcast(stats)).select("term", key, part.alias("part"))
-    return queries.join(weighted, "term").groupBy(qkey, key).agg(F.round(F.sum("part"), 6).alias("score"))

@@ -203,7 +203,7 @@ def l02_f1_neighbours(spark: SparkSession, path: str) -> DataFrame:
             best = np.maximum(best, (200.0 * same / (an[:, None] + bn[None, lo:hi])).max(axis=1))
         return pa.table([a.column("uid"), pa.array(best)], schema=schema)
 
-    found = SIM._pairs(q.where("not t"), q.where("t"), ("words",)).applyInArrow(run, "uid bigint, f1 double")
+    found = SIM.compare(q.where("not t"), q.where("t"), ("words",), run, "uid bigint, f1 double")
     return found.groupBy("uid").agg(F.round(F.max("f1"), 6).alias("f1")).where("f1 > 0")
 
 

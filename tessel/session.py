@@ -58,11 +58,11 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
-def read_shared(folder: str, columns: list[str], schema: pa.Schema) -> pa.Table:
-    """Columns of the Parquet files of a folder of the shared folder, read by a worker; no rows if it does not exist."""
+def read_shared(folder: str, columns: list[str]) -> pa.Table | None:
+    """Columns of the Parquet files of a folder of the shared folder, read by a worker; none if it does not exist."""
     if re.match("[a-z0-9]+:/", folder):
         files, path = fs.FileSystem.from_uri(re.sub("^file:/*", "file:///", folder))
     else:
         files, path = fs.LocalFileSystem(), folder
     found = sorted(f.path for f in files.get_file_info(fs.FileSelector(path, allow_not_found=True)) if f.path.endswith(".parquet"))
-    return pa.concat_tables([schema.empty_table(), *(pq.read_table(name, columns=columns, filesystem=files, partitioning=None).cast(schema) for name in found)])
+    return pa.concat_tables([pq.read_table(name, columns=columns, filesystem=files, partitioning=None) for name in found]) if found else None
