@@ -25,20 +25,17 @@ blanks of the split are ignored; answers that consist of ignored parts only are
 from __future__ import annotations
 
 import io
-import re
 import uuid
 from collections.abc import Iterator
 from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessel.llm.near_dup import common_words, rare_first, words
-from tessel.session import cut, shared_dir
+from tessel.session import cut, read_shared, shared_dir
 
 #: Evaluation classes of a shard, and training classes that are searched in a shard at a time.
 SHARD, SLICE = 60_000, 20_000
@@ -352,13 +349,8 @@ def class_overlaps(classes: DataFrame, least: tuple[int, int] = (3, 4), shard: i
 @lru_cache(maxsize=2)
 def shard_at(folder: str, shard: int) -> list[ShardIndex]:
     """The index of a shard in the shared folder, none if no class fell into it; a worker keeps the last two."""
-    if ":" in folder.split("/")[0]:
-        files, path = fs.FileSystem.from_uri(re.sub("^file:/*", "file:///", folder))
-    else:
-        files, path = fs.LocalFileSystem(), folder
-    at = fs.FileSelector(f"{path}/shard={shard}", allow_not_found=True)
-    names = [f.path for f in files.get_file_info(at) if f.path.endswith(".parquet")]
-    return [ShardIndex.load(blob.as_py()) for name in names for blob in pq.read_table(name, columns=["index"], filesystem=files, partitioning=None).column("index")]
+    rows = read_shared(f"{folder}/shard={shard}", ["index"])
+    return [] if rows is None else [ShardIndex.load(blob.as_py()) for blob in rows.column("index")]
 
 
 def overlaps(df: DataFrame, least: tuple[int, int] = (3, 4)) -> DataFrame:
