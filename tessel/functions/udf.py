@@ -44,26 +44,34 @@ def fold(x: Column | str) -> Column:
 
 
 def longest_common_run(a, b) -> tuple[int, int]:
-    """(length, start in a) of the longest common substring of two sequences, the first in ``a`` of equal ones."""
+    """(length, start in a) of the longest common substring of two sequences, the first in ``a`` of equal ones: a row of the table at a time."""
+    if not len(a) or not len(b):
+        return 0, 0
+    if isinstance(a, str):
+        x, y = (np.frombuffer(t.encode("utf-32-le"), "u4") for t in (a, b))
+    else:
+        codes: dict = {}
+        x, y = (np.array([codes.setdefault(t, len(codes)) for t in s], "i8") for s in (a, b))
     best, at = 0, 0
-    row = [0] * (len(b) + 1)
-    for i, x in enumerate(a, 1):
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else 0
-            if row[j] > best:
-                best, at = row[j], i - row[j]
+    row = np.zeros(len(y) + 1, "i8")
+    for i, c in enumerate(x, 1):
+        row[1:] = np.where(y == c, row[:-1] + 1, 0)
+        if (top := int(row.max())) > best:
+            best, at = top, i - top
     return best, at
 
 
 def longest_common_subsequence(a, b) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
+    """Length of the longest common subsequence: a column of the table as the bits of one integer (Hyyrö)."""
+    masks: dict = {}
+    for j, y in enumerate(b):
+        masks[y] = masks.get(y, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
     for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+        hit = row & masks.get(x, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(b) - row.bit_count()
 
 
 def common_substring(a: Column | str, b: Column | str) -> Column:

@@ -138,3 +138,36 @@ def s19_tsv_with_json(spark: SparkSession, path: str) -> DataFrame:
 def s24_shuffled_sample(spark: SparkSession, path: str) -> DataFrame:
     """A sample of a hundred documents in an order given by a seeded draw of the key."""
     return table(spark, path, "documents").select("doc_id", "lang").orderBy(draw(7, "doc_id"), "doc_id").limit(100)
+
+
+@query("select ds_name as name, ds_type, prefer from dataset_catalogue union all select r_name, 'region', cast(r_regionkey as varchar) from region")
+def s03_json_report(spark: SparkSession, path: str) -> DataFrame:
+    """Two small reports as JSON objects, indented, the second appended, read again as entries."""
+    to = place(spark, "s03")
+    files.write_json_document(table(spark, path, "dataset_catalogue").select(F.col("ds_name").alias("name"), "ds_type", "prefer"), to, "name", indent=True)
+    regions = table(spark, path, "region").select(F.col("r_name").alias("name"), F.lit("region").alias("ds_type"), F.col("r_regionkey").cast("string").alias("prefer"))
+    files.write_json_document(regions, to, "name", indent=True, append=True)
+    return files.read_json_document(spark, to, "struct<ds_type: string, prefer: string>").select("name", "value.ds_type", "value.prefer")
+
+
+@query("select vec_id, embedding, label from embeddings")
+def s05_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """Vectors written and read beside their keys."""
+    rows = table(spark, path, "embeddings")
+    files.write_vectors(rows, to := place(spark, "s05"), "vec_id", "embedding")
+    return files.read_vectors(spark, to).join(rows.select("vec_id", "label"), "vec_id")
+
+
+@query("select distinct on (sample_uid) sample_uid, list_transform(pos_paras, lambda p: p.title) as titles, list_transform(pos_paras, lambda p: p.sentence_labels) as labels from mdr_samples order by sample_uid, loaded_at desc")
+def s06_nested_objects(spark: SparkSession, path: str) -> DataFrame:
+    """Nested records written and read as they are."""
+    files.write_objects(latest(table(spark, path, "mdr_samples"), "sample_uid", "pos_paras"), to := place(spark, "s06"))
+    return files.read_objects(spark, to).select("sample_uid", F.col("pos_paras.title").alias("titles"), F.col("pos_paras.sentence_labels").alias("labels"))
+
+
+@query("select distinct idx, title, text from index_paras where text is not null")
+def s22_paragraph_dump(spark: SparkSession, path: str) -> DataFrame:
+    """A dump of paragraphs as JSON lines, read under a schema."""
+    rows = table(spark, path, "index_paras").where("text is not null").select("idx", "title", "text").distinct()
+    files.write_jsonl(rows, to := place(spark, "s22"))
+    return files.read_jsonl(spark, to, "idx bigint, title string, text string").drop("_corrupt")

@@ -195,3 +195,13 @@ def t40_concat_title_sentences(spark: SparkSession, path: str) -> DataFrame:
     part = F.concat(F.lit("[unused1] "), T.unescape(T.strip("title")), F.lit(" | "), "sentence")
     parts = F.transform(F.array_sort(F.collect_list(F.struct("sent_uid", part.alias("part")))), lambda x: x["part"])
     return rows.groupBy("query_uid", "hop").agg(F.array_join(parts, " ").alias("context"))
+
+
+@query(None)
+def t43_subword_offsets(spark: SparkSession, path: str) -> DataFrame:
+    """Documents with a marker before every sentence: whole words, their first subwords, and where sentences start among the subwords."""
+    from tessel.functions.subwords import MARKER, subwords
+
+    marked = F.concat(F.lit(f"{MARKER} "), F.array_join(T.sentences("text"), f" {MARKER} "))
+    rows = table(spark, path, "documents").where("text is not null").select("doc_id", subwords(spark, marked).alias("x"))
+    return rows.select("doc_id", F.size("x.words").alias("n_words"), F.size("x.tokens").alias("n_tokens"), "x.first", "x.starts")

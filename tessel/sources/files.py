@@ -58,3 +58,32 @@ def write_csv(df: DataFrame, path: str, header: bool = True, sep: str = ",") ->
 
 def read_csv(spark: SparkSession, path: str, schema: str, header: bool = True, sep: str = ",") -> DataFrame:
     return spark.read.schema(schema).option("header", header).option("sep", sep).option("escape", '"').option("multiLine", True).csv(path)
+
+
+def write_json_document(df: DataFrame, path: str, name: str, indent: bool = False, append: bool = False) -> None:
+    """One JSON object of the entries of a small report, by ``name``; with ``append`` another file beside those that are there. The entries are one value, so the table must be one that
+    a report may be: it is refused beyond 100,000 rows."""
+    if df.limit(100_001).count() > 100_000:
+        raise ValueError("a JSON document holds a small report; write a large table as JSON lines")
+    rest = F.struct(*[F.col(c) for c in df.columns if c != name])
+    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(name).cast("string").alias("k"), rest.alias("v")))))
+    options = {"pretty": "true"} if indent else {}
+    df.agg(F.to_json(entries, options).alias("value")).coalesce(1).write.mode("append" if append else "overwrite").text(path)
+
+
+def write_vectors(df: DataFrame, path: str, key: str, vector: str) -> None:
+    """Vectors beside their keys as Parquet lists of floats: the table form of pickled arrays."""
+    df.select(F.col(key), F.col(vector).cast("array<float>").alias(vector)).write.mode("overwrite").parquet(path)
+
+
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def write_objects(df: DataFrame, path: str) -> None:
+    """Rows of any nested type, as they are: the table form of a pickle."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def read_objects(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)

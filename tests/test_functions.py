@@ -8,6 +8,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessel.functions import metrics as M
@@ -183,3 +185,44 @@ def test_evidence_sets_are_consolidated(spark):
     df = spark.createDataFrame(rows, "uid bigint, n int, title string, label int, at int")
     got = {(r.title, tuple(r.labels), r.single) for r in builders.consolidate_evidence(df, "uid", "n", "title", "label", "at").collect()}
     assert got == {("A", (1, 3), True), ("B", (2,), True), ("C_vvv0", (5,), False), ("C_vvv1", (4,), False), ("D", (1,), False), ("E", (0, 2), False)}
+
+
+def naive_subsequence(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    return table[-1][-1]
+
+
+def naive_run(a, b):
+    best = (0, 0)
+    for n in range(1, min(len(a), len(b)) + 1):
+        held = {tuple(b[j : j + n]) for j in range(len(b) - n + 1)}
+        found = [i for i in range(len(a) - n + 1) if tuple(a[i : i + n]) in held]
+        if found:
+            best = (n, found[0])
+    return best
+
+
+@given(st.text(alphabet="ab é😀", max_size=14), st.text(alphabet="ab é😀", max_size=14))
+@settings(max_examples=200, deadline=None)
+def test_common_parts_against_tables(a, b):
+    assert udf.longest_common_subsequence(a, b) == naive_subsequence(a, b) == udf.longest_common_subsequence(list(b), list(a))
+    assert udf.longest_common_run(a, b) == naive_run(a, b) == udf.longest_common_run(list(a), list(b))
+
+
+def test_subword_offsets(spark):
+    from tokenizers import Tokenizer
+
+    from tessel.functions import subwords as W
+
+    text = "[unused1] The réservoir of\tVaetiafou.  [unused1] Ends here [SEP] "
+    got = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(W.subwords(spark, "t").alias("x")).collect()
+    x, coder = got[0].x, Tokenizer.from_file(W.TOKENIZER)
+    assert x.words == ["[unused1]", "The", "réservoir", "of", "Vaetiafou.", "[unused1]", "Ends", "here", "[SEP]"]
+    for i, word in enumerate(x.words):
+        mine = [t for t, o in zip(x.tokens, x.owner, strict=True) if o == i]
+        assert mine == ([word] if word in W.SPECIAL else coder.encode(word, add_special_tokens=False).tokens) and x.tokens[x.first[i]] == mine[0]
+    assert [x.tokens[i] for i in x.starts] == ["[unused1]"] * 2 and x.owner == sorted(x.owner)
+    assert got[1].x.words == [] and got[2].x.words is None

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -14,7 +15,9 @@ from tessel import catalog
 from tessel.functions import qa
 from tessel.operators import builders, similarity, statistics
 from tessel.operators.iteration import Steps, iterate
+from tessel.plans import joins
 from tessel.plans.evaluation import hop_loop
+from tessel.plans.metrics import predictions
 
 QUERIES = catalog.queries()
 
@@ -287,3 +290,78 @@ def test_iteration_against_a_loop(spark):
     p = Steps(enough=2.0, confident=2.0, lower=False, beam=2, topk=4, topk_two=3)
     got = {r.query_uid: tuple(r)[1:] for r in iterate(df, p).collect()}
     assert got == walk(rows, p) and {r[0] for r in got.values()} > {0}
+
+
+def common(a, b):
+    """Length of the longest common subsequence by the whole table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        up, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(up[j] + 1 if x == y else max(up[j + 1], row[j]))
+    return row[-1]
+
+
+def evidence_rows(spark):
+    rows = spark.read.parquet(f"{DATA}/evidence_sents.parquet").where("sentence is not null and title is not null").select("sent_uid", "query_uid", "hop", "title", "sentence").distinct().collect()
+    return {r.sent_uid: r for r in rows}
+
+
+def test_common_subsequences_of_titles(spark):
+    rows = evidence_rows(spark)
+    want = {u: common(r.title.split(), r.sentence.split()) for u, r in rows.items()}
+    assert {r.sent_uid: r.n for r in QUERIES["t14_common_subsequence"](spark, DATA).collect()} == want
+    least = {}
+    for u, r in rows.items():
+        key = (r.query_uid, r.hop)
+        least[key] = min(least.get(key, 10**9), want[u])
+    assert {(r.sent_uid, r.n) for r in QUERIES["t16_shortest_overlap"](spark, DATA).collect()} == {(u, want[u]) for u, r in rows.items() if want[u] == least[r.query_uid, r.hop]}
+    for r in QUERIES["t13_common_substring"](spark, DATA).collect():
+        title, sentence = rows[r.sent_uid].title, rows[r.sent_uid].sentence
+        assert r.value in sentence and title[r.start : r.start + r.length] == r.value
+        assert not any(title[i : i + r.length + 1] in sentence for i in range(len(title) - r.length))
+
+
+def test_rouge_of_predictions(spark):
+    rows = predictions(spark, DATA).collect()
+    got = {r.rr_uid: r.rouge_l for r in QUERIES["m12_rouge_l"](spark, DATA).collect()}
+    assert set(got) == {r.rr_uid for r in rows}
+    for r in rows:
+        p, g = r.p.lower().split(), r.answers[0].lower().split()
+        assert abs(got[r.rr_uid] - (2 * common(p, g) / (len(p) + len(g)) if p or g else 0.0)) < 1e-6
+
+
+def test_order_of_two_paragraphs(spark):
+    titles = {r.doc_id: r.title for r in joins.firsts(spark, DATA).collect()}
+    known = {(titles[str(r.doc_id)], r.link) for r in joins.links(spark, DATA).collect() if str(r.doc_id) in titles}
+    got = {r.sample_uid: r.titles for r in QUERIES["j21_hop_order"](spark, DATA).collect()}
+    latest = {}
+    for r in sorted(spark.read.parquet(f"{DATA}/mdr_samples.parquet").collect(), key=lambda r: r.loaded_at):
+        latest[r.sample_uid] = r
+    want = {}
+    for uid, r in latest.items():
+        if len(r.pos_paras or []) == 2:
+            a, b = r.pos_paras
+            ans = ((r.answers or [None])[0] or "").lower()
+            ha, hb = (bool(ans) and ans in (p.text or "").lower() for p in (a, b))
+            ab, ba = (a.title, b.title) in known, (b.title, a.title) in known
+            near = lambda t, x: common((t or "").split(), x.split()) if t is not None and x is not None else 0
+            forward = hb if ha != hb else ab if ab != ba else near(b.title, a.text) >= near(a.title, b.text)
+            want[uid] = [a.title, b.title] if forward else [b.title, a.title]
+    assert got == want
+
+
+def test_negative_candidates(spark):
+    """No gold title comes out, and what search found for a question is among its ten best."""
+    gold = {(r.sample_uid, r.title) for r in spark.read.parquet(f"{DATA}/mdr_samples.parquet").selectExpr("sample_uid", "explode(pos_paras.title) as title").collect()}
+    rows = QUERIES["j22_negative_candidates"](spark, DATA).collect()
+    assert rows and not {(r.sample_uid, r.title) for r in rows} & gold and len({(r.sample_uid, r.title) for r in rows}) == len(rows)
+    assert {s for r in rows for s in r.src.split("+")} == {"hl", "bm25", "overlap"}
+    for src in ("bm25", "overlap"):
+        assert max(Counter(r.sample_uid for r in rows if src in r.src.split("+")).values()) <= 10
+
+
+def test_decomposed_texts(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    for r in QUERIES["t03_nfd"](spark, DATA).collect():
+        assert r.value == (None if texts[r.doc_id] is None else unicodedata.normalize("NFD", texts[r.doc_id]))
