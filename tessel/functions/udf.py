@@ -217,9 +217,112 @@ def stem(word: str) -> str:
     return w[:-1] if w.endswith("ll") and _measure(w) > 1 else w
 
 
-def stems(tokens: Column | str) -> Column:
+# The rules, exceptions and prefixes of the published English (Porter2) stemmer.
+DOUBLES = "bb dd ff gg mm nn pp rr tt".split()
+LI_BEFORE = "cdeghkmnrt"
+REGIONS = "gener commun arsen".split()
+WHOLE = {
+    "skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl",
+    "sky": "sky", "news": "news", "howe": "howe", "atlas": "atlas", "cosmos": "cosmos", "bias": "bias", "andes": "andes",
+}
+AFTER_S = "inning outing canning herring earring proceed exceed succeed".split()
+SECOND = (
+    "tional tion, enci ence, anci ance, abli able, entli ent, izer ize, ization ize, ational ate, ation ate, ator ate, alism al, aliti al, alli al, fulness ful, ousli ous, ousness ous, "
+    "iveness ive, iviti ive, biliti ble, bli ble, ogi og, fulli ful, lessli less, li "
+)
+THIRD = "tional tion, ational ate, alize al, icate ic, iciti ic, ical ic, ful , ness , ative "
+FOURTH = sorted("al ance ence er ic able ible ant ement ment ent ism ate iti ous ive ize ion".split(), key=lambda x: -len(x))
+_SECOND, _THIRD = _pairs(SECOND), _pairs(THIRD)
+VOWELS = "aeiouy"
+
+
+def _region(word: str, start: int) -> int:
+    """Where the rest after the first non-vowel after a vowel begins."""
+    for i in range(start + 1, len(word)):
+        if word[i] not in VOWELS and word[i - 1] in VOWELS:
+            return i + 1
+    return len(word)
+
+
+def _ends_short(word: str) -> bool:
+    """Whether it ends with a short syllable."""
+    if len(word) == 2:
+        return word[0] in VOWELS and word[1] not in VOWELS
+    return len(word) > 2 and word[-3] not in VOWELS and word[-2] in VOWELS and word[-1] not in VOWELS + "wxY"
+
+
+@lru_cache(maxsize=100_000)
+def stem_english(word: str) -> str:
+    """The stem of an English word by the Snowball (Porter2) algorithm; words of one or two letters stay."""
+    w = word.lower().replace("’", "'").replace("‘", "'")
+    if len(w) <= 2:
+        return w
+    w = w[1:] if w.startswith("'") else w
+    if w in WHOLE:
+        return WHOLE[w]
+    w = re.sub("^y|(?<=[aeiouy])y", "Y", w)
+    one = next((len(p) for p in REGIONS if w.startswith(p)), None)
+    one = _region(w, 0) if one is None else one
+    two = _region(w, one)
+    for end in ("'s'", "'s", "'"):
+        if w.endswith(end):
+            w = w[: -len(end)]
+            break
+    vowel = lambda t: any(c in VOWELS for c in t)
+    if w.endswith("sses"):
+        w = w[:-2]
+    elif w.endswith(("ied", "ies")):
+        w = w[:-2] if len(w) > 4 else w[:-1]
+    elif w.endswith("s") and not w.endswith(("us", "ss")) and vowel(w[:-2]):
+        w = w[:-1]
+    if w in AFTER_S:
+        return w
+    for end in ("eedly", "ingly", "edly", "eed", "ing", "ed"):
+        if w.endswith(end):
+            rest = w[: -len(end)]
+            if end.startswith("eed"):
+                w = rest + "ee" if len(rest) >= one else w
+            elif vowel(rest):
+                w = rest
+                if w.endswith(("at", "bl", "iz")):
+                    w += "e"
+                elif w[-2:] in DOUBLES:
+                    w = w[:-1]
+                elif one >= len(w) and _ends_short(w):
+                    w += "e"
+            break
+    if len(w) > 2 and w[-1] in "yY" and w[-2] not in VOWELS:
+        w = w[:-1] + "i"
+    for end, by in _SECOND:
+        if w.endswith(end):
+            rest = w[: -len(end)]
+            allowed = rest.endswith("l") if end == "ogi" else rest[-1:] in LI_BEFORE and rest != "" if end == "li" else True
+            w = rest + by if len(rest) >= one and allowed else w
+            break
+    for end, by in _THIRD:
+        if w.endswith(end):
+            rest = w[: -len(end)]
+            w = rest + by if len(rest) >= (two if end == "ative" else one) else w
+            break
+    for end in FOURTH:
+        if w.endswith(end):
+            rest = w[: -len(end)]
+            w = rest if len(rest) >= two and (end != "ion" or rest.endswith(("s", "t"))) else w
+            break
+    if w.endswith("e"):
+        rest = w[:-1]
+        w = rest if len(rest) >= two or (len(rest) >= one and not _ends_short(rest)) else w
+    elif w.endswith("ll") and len(w) - 1 >= two:
+        w = w[:-1]
+    return w.replace("Y", "y")
+
+
+def stems(tokens: Column | str, kind: str = "porter") -> Column:
+    """Stems of a list of tokens, by ``porter`` or ``snowball``."""
+    one = {"porter": stem, "snowball": stem_english}[kind]
+
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else [stem(w) for w in t])
+        return s.map(lambda t: None if t is None else [one(w) for w in t])
 
     return F.pandas_udf(run, "array<string>")(tokens)
 

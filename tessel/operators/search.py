@@ -18,8 +18,8 @@ from tessel.session import cut, read_shared, shared_dir
 # The stop words of the search engine's English analyser.
 STOPS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
 K1, B = 1.2, 0.75
-#: Documents of a slice of the postings, and questions of a task where there are more than the cluster has cores for.
-SLICE, BLOCK = 10_000, 2_000
+#: Documents of a slice of the postings, and terms of questions of a task where there are more than the cluster has cores for.
+SLICE, BLOCK = 10_000, 100_000
 
 
 def letters(x: Column) -> Column:
@@ -79,15 +79,15 @@ def search(index: DataFrame, terms: DataFrame, k: int, fields: dict | None = Non
     names = list(fields)
     known = F.broadcast(spark.createDataFrame([(name, i, float(boost)) for i, (name, (_, _, boost)) in enumerate(fields.items())], "field string, f int, boost double"))
     lengths = index.groupBy("field", "key").agg(F.first("dl").alias("dl"))
-    stats = F.broadcast(cut(lengths.groupBy("field").agg(F.count("*").alias("docs"), (F.sum("dl").cast("double") / F.count("*")).alias("mean"))))  # a row a field
+    stats = cut(lengths.groupBy("field").agg(F.count("*").alias("docs"), (F.sum("dl").cast("double") / F.count("*")).alias("mean")))  # a row a field
+    slices = max(1, *(-(-r["docs"] // SLICE) for r in stats.select("docs").collect()), 1)
     terms = cut(terms)
-    wanted = index.join(terms.select("field", "term").distinct(), ["field", "term"], "left_semi").join(stats, "field")
+    wanted = index.join(terms.select("field", "term").distinct(), ["field", "term"], "left_semi").join(F.broadcast(stats), "field")
     share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
     wanted = cut(wanted.select("field", "term", "key", "docs", share.alias("share")))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = wanted.groupBy("field", "term", "docs").agg(F.count("*").alias("df")).join(known, "field").select("field", "term", "f", (F.col("boost") * idf).alias("w"))
     postings = wanted if allowed is None else wanted.join(allowed.select(F.col(allowed.columns[0]).alias("key")).distinct(), "key", "left_semi")
-    slices = max(1, -(-index.select("key").distinct().count() // SLICE))
     folder = f"{shared_dir(spark)}/search-{uuid.uuid4().hex}"
     code = F.xxhash64("field", "term").alias("t")
     sliced = postings.select(F.pmod(F.xxhash64("key"), F.lit(slices)).alias("slice"), code, "key", "share").repartition(slices, "slice").sortWithinPartitions("slice", "t")
@@ -102,8 +102,8 @@ def search(index: DataFrame, terms: DataFrame, k: int, fields: dict | None = Non
         for part in range(slices if len(asked) else 0):
             yield from _score(asked, row, t, f, w, out, *slice_of(folder, part), k, len(names))
 
-    n = terms.select("query").distinct().count()
-    tasks = max(1, min(-(-n // 100), max(2 * spark.sparkContext.defaultParallelism, -(-n // BLOCK))))
+    n = terms.count()
+    tasks = max(1, min(-(-n // 3_000), max(2 * spark.sparkContext.defaultParallelism, -(-n // BLOCK))))
     none = F.lit(None).cast("bigint")
     rows = terms.join(weights, ["field", "term"]).select("query", code, "f", "w", none.alias("out"))
     if barred is not None:

@@ -293,7 +293,9 @@ def t14_common_subsequence(spark: SparkSession, path: str) -> DataFrame:
 
 @query(None)
 def t17_stems(spark: SparkSession, path: str) -> DataFrame:
-    return ranking(spark, path).where("question is not null").select("rr_uid", udf.stems(T.simple_tokens("question")).alias("stems"))
+    """Stems of the tokens of every question by both stemmers."""
+    rows = ranking(spark, path).where("question is not null").select("rr_uid", T.simple_tokens("question").alias("t"))
+    return rows.select("rr_uid", udf.stems("t").alias("stems"), udf.stems("t", "snowball").alias("snowball"))
 
 
 @query(None)

@@ -226,3 +226,25 @@ def test_subword_offsets(spark):
         assert mine == ([word] if word in W.SPECIAL else coder.encode(word, add_special_tokens=False).tokens) and x.tokens[x.first[i]] == mine[0]
     assert [x.tokens[i] for i in x.starts] == ["[unused1]"] * 2 and x.owner == sorted(x.owner)
     assert got[1].x.words == [] and got[2].x.words is None
+
+
+# Examples of the published English stemmer, word and stem in turn.
+ENGLISH = (
+    "consign consign consigned consign consigning consign consignment consign consist consist consisted consist consistency consist consistent consist consistently consist "
+    "consisting consist consists consist consolation consol consolations consol consolatory consolatori console consol consoled consol consoles consol consolidate consolid "
+    "consolidated consolid consolidating consolid consoling consol consolingly consol consols consol consonant conson consort consort consorted consort consorting consort "
+    "conspicuous conspicu conspicuously conspicu conspiracy conspiraci conspirator conspir conspirators conspir conspire conspir conspired conspir conspiring conspir "
+    "constable constabl constables constabl constance constanc constancy constanc constant constant knack knack knackeries knackeri knacks knack knag knag knave knave "
+    "knaves knave knavish knavish kneaded knead kneading knead knee knee kneel kneel kneeled kneel kneeling kneel kneels kneel knees knee knell knell knelt knelt knew knew "
+    "knick knick knif knif knife knife knight knight knightly knight knights knight knit knit knits knit knitted knit knitting knit knives knive knob knob knobs knob "
+    "knock knock knocked knock knocker knocker knockers knocker knocking knock knocks knock knopp knopp knot knot knots knot generate generat generous generous skies sky dying die"
+).split()
+
+
+def test_snowball_stems(spark):
+    for word, want in zip(ENGLISH[::2], ENGLISH[1::2], strict=True):
+        assert udf.stem_english(word) == want, (word, udf.stem_english(word), want)
+    assert udf.stem_english("generously") == "generous"
+    assert udf.stem_english("it's") == "it" and udf.stem_english("sayings") == "say" and udf.stem_english("cries") == "cri" and udf.stem_english("ties") == "tie"
+    got = spark.createDataFrame([(["Running", "flies"],), (None,)], "t array<string>").select(udf.stems("t", "snowball").alias("s")).collect()
+    assert got[0].s == ["run", "fli"] and got[1].s is None
