@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import argparse
 import functools
 from dataclasses import dataclass
 
@@ -26,6 +27,19 @@ class Steps:
     confident: float = 0.98
     lower: bool = True  # whether falling evidence stops
 
+    @classmethod
+    def of_arguments(cls, arguments: list[str]) -> Steps:
+        """From command-line arguments; those not given keep their defaults, unknown ones are refused."""
+        names = {
+            "--max_hops": "hops", "--beam_size": "beam", "--topk": "topk", "--s1_para_sent_ratio": "ratio", "--topk_stage2": "topk_two", "--s2_min_take": "min_take",
+            "--s2_sp_thresh": "thresh", "--stop_ev_thresh": "enough", "--stop_ansconfdelta_thresh": "confident",
+        }
+        parser = argparse.ArgumentParser(exit_on_error=False)
+        for flag, name in names.items():
+            parser.add_argument(flag, dest=name, type=type(getattr(cls(), name)), default=getattr(cls(), name))
+        parser.add_argument("--stop_lowerev", dest="lower", action=argparse.BooleanOptionalAction, default=cls().lower)
+        return cls(**vars(parser.parse_args(arguments)))
+
 
 def _one_hop(now: DataFrame, carried: DataFrame, p: Steps) -> DataFrame:
     """(query_uid, pos, idx, s_idx, sent_uid, s2): the evidence after a hop, from the rows of the hop and what is carried."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("nested", "texts", "records", "joins", "aggregates", "metrics", "retrieval", "files", "builders", "evaluation", "generators", "streams", "rest")
+MODULES = ("nested", "texts", "records", "joins", "aggregates", "metrics", "retrieval", "files", "builders", "evaluation", "generators", "models", "streams", "rest")
 
 
 def load() -> None:

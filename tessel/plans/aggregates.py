@@ -380,7 +380,7 @@ def w15_round_robin(spark: SparkSession, path: str) -> DataFrame:
 select query_uid, hop, array_to_string(list_filter([case when s >= 0.9 then 'evsuff' end, case when c >= 0.9 then 'aconf' end, case when hop + 1 >= 4 then 'max' end, case when before >= s then 'evlower' end], lambda x: x is not null), ',') as reasons from l""")
 def i01_stop_reasons(spark: SparkSession, path: str) -> DataFrame:
     """Why the iteration stops after a hop: enough evidence, confidence, the last hop, or falling evidence."""
-    hops = table(spark, path, "evidence_sents").where("not isnan(s2ev_score)").groupBy("query_uid", "hop").agg(F.max("s2ev_score").alias("s"), F.max("score").alias("c"))
+    hops = table(spark, path, "evidence_sents").where("s2ev_score is not null and not isnan(s2ev_score)").groupBy("query_uid", "hop").agg(F.max("s2ev_score").alias("s"), F.max("score").alias("c"))
     rows = hops.withColumn("before", F.lag("s").over(Window.partitionBy("query_uid").orderBy("hop")))
     reasons = F.concat_ws(",", F.when(F.col("s") >= 0.9, "evsuff"), F.when(F.col("c") >= 0.9, "aconf"), F.when(F.col("hop") + 1 >= 4, "max"), F.when(F.col("before") >= F.col("s"), "evlower"))
     return rows.select("query_uid", "hop", reasons.alias("reasons"))

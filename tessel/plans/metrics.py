@@ -228,12 +228,12 @@ def m21_blend_sweep(spark: SparkSession, path: str) -> DataFrame:
     ev = table(spark, path, "evidence_sents").where("title is not null").select("query_uid", "hop", "idx", "s_idx", "title", "score", F.col("s1para_score").alias("a"), F.col("s2_score").alias("b"), F.col("s2ev_score").alias("e"))
     facts = F.array_distinct(F.transform("sp_facts", lambda f: fact(f["title"], f["sent_idx"])))
     gold = table(spark, path, "iter_queries").where("size(sp) > 0").select("query_uid", F.array_distinct(F.filter("sp", lambda t: t.isNotNull())).alias("sp"), facts.alias("facts")).distinct()
-    hops = ev.where("not isnan(e)").groupBy("query_uid", "hop").agg(F.max("e").alias("e"))
+    hops = ev.where("e is not null and not isnan(e)").groupBy("query_uid", "hop").agg(F.max("e").alias("e"))
     best = hops.groupBy("query_uid").agg(F.max(F.struct("e", (-F.col("hop")).alias("h"))).alias("m")).select("query_uid", (-F.col("m.h")).alias("hop"))
     ratios = F.explode(F.array(*[F.lit(i / 10) for i in range(11)])).alias("r")
     blend = lambda x, y: F.col("r") * F.col(x) + (1 - F.col("r")) * F.col(y)
     rank = lambda *by: F.row_number().over(Window.partitionBy("query_uid", "r").orderBy(F.col("v").desc(), *by))
-    rows = ev.join(best, ["query_uid", "hop"]).where("a is not null and not isnan(b) and b <> -1").select("query_uid", "title", "s_idx", "a", "b").distinct()
+    rows = ev.join(best, ["query_uid", "hop"]).where("a is not null and b is not null and not isnan(b) and b <> -1").select("query_uid", "title", "s_idx", "a", "b").distinct()
     sents = rows.select("*", ratios).groupBy("query_uid", "r", "title", "s_idx").agg(F.max(blend("a", "b")).alias("v"))
     sizes = gold.select("query_uid", "sp", "facts")
     firsts = sents.withColumn("rn", rank("title", "s_idx")).join(sizes, "query_uid").where((F.col("rn") <= F.size("facts")) & F.array_contains("facts", fact(F.col("title"), F.col("s_idx"))))

@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import argparse
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tessel.operators import builders, graph, ivf, lookups, similarity, statistics
+from tessel.operators import builders, encode, graph, iteration, ivf, lookups, similarity, statistics
 
 
 def test_components(spark):
@@ -68,3 +71,23 @@ def test_budget_and_top_up(spark):
     assert len(counts) == 20 and all(r["count"] == 6 for r in counts)
     assert got.groupBy("g", "t").count().where("count > 1").count() == 0
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, builders.top_up(groups, have.repartition(5), have.limit(0), pool.repartition(3), "g", "t", 6).collect()))
+
+
+def test_batch_encoding(spark):
+    """Vectors of unit length that depend on the words only, in whatever batches the texts come; the encoder sees bounded batches."""
+    texts = [f"word{i % 7} other {i}" for i in range(700)] + ["", "?!", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, t string")
+    got = {r.id: np.array(r.vector) for r in encode.encode(df, "id", "t", encode.HashingEncoder(32)).collect()}
+    again = {r.id: np.array(r.vector) for r in encode.encode(df.repartition(5), "id", "t", encode.HashingEncoder(32), batch=9).collect()}
+    assert set(got) == set(range(702)) and all((got[i] == again[i]).all() for i in got)
+    assert all(abs(np.linalg.norm(got[i]) - 1) < 1e-6 for i in range(700)) and not got[700].any() and not got[701].any()
+    assert got[0] @ got[7] > got[0] @ got[3]  # more words in common
+    assert encode.encode(df.limit(0), "id", "t", encode.HashingEncoder()).count() == 0
+
+
+def test_parameters_of_arguments():
+    assert iteration.Steps.of_arguments([]) == iteration.Steps()
+    p = iteration.Steps.of_arguments(["--beam_size", "7", "--s2_sp_thresh", "0.25", "--no-stop_lowerev", "--max_hops", "2"])
+    assert (p.beam, p.thresh, p.lower, p.hops, p.topk) == (7, 0.25, False, 2, iteration.Steps().topk)
+    with pytest.raises((SystemExit, argparse.ArgumentError)):
+        iteration.Steps.of_arguments(["--nothing", "1"])
