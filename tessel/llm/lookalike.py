@@ -35,6 +35,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessel.llm import hot
 from tessel.session import cut
 
 # Letters of Latin, Cyrillic, Greek, Armenian, Cherokee and Lisu script that are drawn alike, a class each, Latin first.
@@ -348,18 +349,14 @@ def lookalike_pairs(df: DataFrame) -> DataFrame:
     closed = seen.where("form is not null").select("doc_id", "raw", "form")
     opened = seen.where("shape is not null").select("doc_id", "raw", "shape").mapInArrow(resolve, "doc_id bigint, raw binary, form binary")
     digests = cut(closed.unionByName(opened).distinct())
-    variants = cut(digests.groupBy("form", "raw").agg(F.count("*").alias("docs")))
+    variants = cut(digests.select("form", "raw").distinct())
     several = variants.groupBy("form").agg(F.count("*").alias("n")).where("n > 1").select("form")
     several = variants.join(several, "form", "left_semi").select("form", "raw")
     pairs = several.join(several.select("form", F.col("raw").alias("raw_b")), "form").where("raw < raw_b").select("raw", "raw_b")
-    # texts of more than a block of documents, and more than one part in 65,536 of all: fewer than that many, so they are broadcast
-    most = F.greatest(F.lit(BLOCK), F.lit(digests.count() // 65_536))
-    large = variants.groupBy("raw").agg(F.sum("docs").alias("docs")).where(F.col("docs") > most).select("raw", F.ceil(F.col("docs") / BLOCK).cast("int").alias("blocks"))
-    large = F.broadcast(cut(large))
-    block = F.coalesce(F.pmod(F.xxhash64("doc_id"), "blocks"), F.lit(0)).cast("int").alias("block")
-    members = digests.join(several.select("raw").distinct(), "raw", "left_semi").join(large, "raw", "left").select("raw", "doc_id", block)
-    every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1)).alias("block")
-    left = pairs.join(large, "raw", "left").select("raw", "raw_b", every).join(members, ["raw", "block"]).select("raw_b", F.col("doc_id").alias("x"))
-    right = members.select(F.col("raw").alias("raw_b"), "block", F.col("doc_id").alias("y"))
-    both = left.join(large.toDF("raw_b", "blocks"), "raw_b", "left").select("raw_b", "x", every).join(right, ["raw_b", "block"])
+    large = hot.large_keys(digests.select("raw"), "raw", BLOCK)
+    members = digests.join(several.select("raw").distinct(), "raw", "left_semi").select("raw", "doc_id")
+    members = hot.in_blocks(members, "raw", "doc_id", large)
+    left = hot.to_blocks(pairs, "raw", large).join(members, ["raw", "_block"]).select("raw_b", F.col("doc_id").alias("x"))
+    right = members.select(F.col("raw").alias("raw_b"), "_block", F.col("doc_id").alias("y"))
+    both = hot.to_blocks(left, "raw_b", large).join(right, ["raw_b", "_block"])
     return both.where("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessel.llm import hot
 from tessel.session import cut
 
 BANDS, ROWS = 36, 5
@@ -306,9 +307,11 @@ def near_duplicates(df: DataFrame, least: tuple[int, int] = (3, 4)) -> tuple[Dat
 
 
 def record_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(uid_a, uid_b), uid_a < uid_b: all pairs of records of one class or of two paired classes."""
-    a, b = members.toDF("x", "cid"), members.toDF("y", "cid")
-    same = a.join(b, "cid").where("x < y").select("x", "y")
-    cross = pairs.select("a", "b").join(a.withColumnRenamed("cid", "a"), "a").join(b.withColumnRenamed("cid", "b"), "b")
+    """(uid_a, uid_b), uid_a < uid_b: all pairs of records of one class or of two paired classes; classes of very many records are spread over blocks."""
+    large = hot.large_keys(members, "cid", CROWD)
+    x, y = members.toDF("x", "cid"), hot.in_blocks(members.toDF("y", "cid"), "cid", "y", large)
+    same = hot.to_blocks(x, "cid", large).join(y, ["cid", "_block"]).where("x < y").select("x", "y")
+    left = pairs.select("a", "b").join(x.withColumnRenamed("cid", "a"), "a").select("x", "b")
+    cross = hot.to_blocks(left, "b", large).join(y.withColumnRenamed("cid", "b"), ["b", "_block"])
     either = same.unionByName(cross.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")))
     return either.select(F.col("x").alias("uid_a"), F.col("y").alias("uid_b"))

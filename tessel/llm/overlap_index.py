@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessel.llm import hot
 from tessel.llm.near_dup import common_words, rare_first, words
 from tessel.session import cut, read_shared, shared_dir
 
@@ -41,6 +42,8 @@ from tessel.session import cut, read_shared, shared_dir
 SHARD, SLICE = 60_000, 20_000
 #: Records of a task while the cluster has cores for more tasks; beyond that tasks hold a slice.
 TASK = 6_000
+#: Evaluation records of one question that lie together.
+BLOCK = 10_000
 COMMON = 1000
 #: Words of a run at most: longer matches are no rarer in practice, and tables of a question's parts stay linear in its length.
 SPAN = 64
@@ -363,7 +366,8 @@ def overlaps(df: DataFrame, least: tuple[int, int] = (3, 4)) -> DataFrame:
     of = lambda side: records.where(F.col("side") == side).select("uid", "cid", "split", "src", F.explode("keys").alias("key"))
     train = of("train").select(F.col("uid").alias("train_uid"), F.col("cid").alias("train_cid"), "key")
     held = of("eval").select(F.col("uid").alias("eval_uid"), F.col("cid").alias("eval_cid"), "split", "src", "key")
-    joined = pairs.join(train, "train_cid").join(held, ["eval_cid", "key"])
+    large = hot.large_keys(held.select("eval_cid"), "eval_cid", BLOCK)
+    joined = hot.to_blocks(pairs.join(train, "train_cid"), "eval_cid", large).join(hot.in_blocks(held, "eval_cid", "eval_uid", large), ["eval_cid", "key", "_block"])
     return joined.select("train_uid", "eval_uid", "shared", "united", "split", "src").distinct()
 
 

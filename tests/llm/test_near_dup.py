@@ -82,6 +82,16 @@ def test_split_and_salted_crowds_lose_no_pair(spark, monkeypatch, crowd):
     assert {tuple(r) for r in N.record_pairs(*N.near_duplicates(df)).collect()} == brute(rows)
 
 
+def test_classes_of_many_copies_are_spread(spark, monkeypatch):
+    """A third of all records are copies of one; their class meets another large one block by block."""
+    monkeypatch.setattr(N, "CROWD", 9)
+    base = [f"w{i}" for i in range(20)]
+    rows = [(i, " ".join(base), ["a"]) for i in range(60)] + [(100 + i, " ".join(base[:-1]), ["a"]) for i in range(40)] + [(1000 + u, q, a) for u, q, a in corpus(3, 20)]
+    df = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], SCHEMA)
+    got = [tuple(r) for r in N.record_pairs(*N.near_duplicates(df)).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows)
+
+
 def test_parities_bound_the_difference():
     rng = np.random.default_rng(3)
     for _ in range(200):

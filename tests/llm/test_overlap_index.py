@@ -51,6 +51,13 @@ def test_pairs_against_brute_force(spark, monkeypatch, limits):
     assert len(got) == len(set(got)) and set(got) == brute(rows)
 
 
+def test_a_question_of_many_records(spark, monkeypatch):
+    monkeypatch.setattr(O, "BLOCK", 7)
+    rows = [(i, "train", None, "who wrote the opera of the old town", ["yes"]) for i in range(40)] + [(100 + i, "dev", None, "who wrote the opera of the town", ["Yes", "no"]) for i in range(50)]
+    got = [(r.train_uid, r.eval_uid) for r in O.overlaps(spark.createDataFrame([(*r, 1, "s", 2) for r in rows], SCHEMA)).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows) and len(got) == 2000
+
+
 def test_empty_and_one_sided(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert O.overlaps(empty).count() == 0
