@@ -160,3 +160,29 @@ def test_items_that_never_fit_together(spark):
     sizes = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit(300).cast("bigint").alias("n_tokens"))
     got = packing.pack(sizes, 512, per_task=100)
     assert got.select("context_id").distinct().count() == 2000
+
+
+def test_every_cut_of_the_table_is_the_strongest(spark):
+    """The pieces of all long paragraphs, cut by looking at every permissible place: at a sentence end wherever the window has one."""
+    from tessel.llm.queries import QUERIES
+
+    path = "/root/testdata/sf0.01"
+    rows = B.oversized(spark.read.parquet(f"{path}/index_paras.parquet")).collect()
+    want, at_sentence, with_sentence = {}, 0, 0
+    for r in rows:
+        s, start, k, n = B.strengths(r.text, r.sentence_spans), 0, 0, len(r.text)
+        strongest = lambda lo, hi, s=s: max(range(lo, hi + 1), key=lambda p: (s[p], p))
+        while n - start > 1000:
+            end = strongest(start + 500, start + 1000)
+            window = s[start + 500 : start + 1001]
+            with_sentence += int((window >= B.SENTENCE).any())
+            at_sentence += int(s[end] >= B.SENTENCE)
+            want[r.idx, k] = (start, end, r.text[start:end])
+            start, k = strongest(end - 150, end - 75), k + 1
+        want[r.idx, k] = (start, n, r.text[start:])
+    got = {(r.idx, r.piece_no): (r.start, r.end, r.piece) for r in QUERIES["p2_pieces"](spark, path).collect()}
+    assert got == want and len(rows) > 30 and at_sentence == with_sentence > 30
+    for (idx, k), (start, end, piece) in got.items():
+        assert 0 < len(piece) <= 1000 and (k == 0) == (start == 0)
+        if k:
+            assert 1 <= got[idx, k - 1][1] - start <= 150
