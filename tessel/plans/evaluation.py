@@ -311,7 +311,13 @@ def m08_string_similarity(spark: SparkSession, path: str) -> DataFrame:
     return predictions(spark, path).select("rr_uid", F.when(F.col("p") == gold, 3.0).when(M.squad(F.col("p")) == M.squad(gold), 2.0).otherwise(0.0).alias("base"))
 
 
-@query(None)
+@query(f"""with {_RR}, a as (select rr_uid, unnest(list_transform(answers, lambda x: {S.words("coalesce(x, '')")})) as w, generate_subscripts(answers, 1) as i from rr where len(answers) > 1),
+g as (select rr_uid, i, n, g, count(*) as c from (select rr_uid, i, 1 as n, unnest(w) as g from a union all select rr_uid, i, 2, unnest(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) from a) group by all),
+h as (select x.rr_uid, x.i, x.n, x.g, x.c, coalesce(max(y.c), 0) as most from g x left join g y on y.rr_uid = x.rr_uid and y.g = x.g and y.n = x.n and y.i <> x.i group by all),
+m as (select rr_uid, i, sum(least(c, most)) filter (n = 1) as h1, sum(c) filter (n = 1) as t1, sum(least(c, most)) filter (n = 2) as h2, sum(c) filter (n = 2) as t2 from h group by all),
+r as (select x.rr_uid, x.i, len(x.w) as n, min(len(y.w)) as ref from a x join a y on y.rr_uid = x.rr_uid and y.i <> x.i group by x.rr_uid, x.i, len(x.w)),
+b as (select r.rr_uid, r.i, case when coalesce(h1, 0) = 0 or coalesce(h2, 0) = 0 then 0.0 else 100 * sqrt((h1 / t1) * (h2 / t2)) * case when n <= greatest(1, ref) then exp(1 - greatest(1, ref) / n) else 1 end end as bleu from r left join m using (rr_uid, i))
+select rr_uid, list(round(bleu, 6) order by i) as scores, round(avg(bleu), 6) as self_bleu from b group by rr_uid""")
 def m14_self_bleu(spark: SparkSession, path: str) -> DataFrame:
     """Self-BLEU-2 of the answers of a record: of each against the others, and the mean."""
     rows = ranking(spark, path).where("size(answers) > 1").select("rr_uid", udf.self_bleus("answers").alias("scores"))
