@@ -298,7 +298,7 @@ def t17_stems(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("rr_uid", udf.stems("t").alias("stems"), udf.stems("t", "snowball").alias("snowball"))
 
 
-@query(None)
+@query(f"with {_RR}, w as (select rr_uid, answers[1] as t from rr where answers[1] is not null), {S.numbers('w')} select rr_uid, v as number from w join num using (t)")
 def t25_words_to_numbers(spark: SparkSession, path: str) -> DataFrame:
     return ranking(spark, path).where("answers[0] is not null").select("rr_uid", udf.to_number(F.col("answers")[0]).alias("number"))
 

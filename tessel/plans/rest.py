@@ -277,7 +277,7 @@ def a37_conflict_free_merges(spark: SparkSession, path: str) -> DataFrame:
     return pairs.select("doc_id", F.filter(safe, lambda s: s >= 0).alias("merges")).where("size(merges) > 0")
 
 
-@query(None)
+@query(f"with {_RR}, w as (select distinct rr_uid, unnest({S.words('question')}) as t from rr where question is not null), {S.numbers('w')} select rr_uid, t as word, v as number from w join num using (t) where v is not null")
 def t24_word_to_number(spark: SparkSession, path: str) -> DataFrame:
     """Single words of questions that are numbers, in digits or in words; a bare magnitude is none."""
     from tessel.functions.udf import to_number

@@ -248,3 +248,17 @@ def test_snowball_stems(spark):
     assert udf.stem_english("it's") == "it" and udf.stem_english("sayings") == "say" and udf.stem_english("cries") == "cri" and udf.stem_english("ties") == "tie"
     got = spark.createDataFrame([(["Running", "flies"],), (None,)], "t array<string>").select(udf.stems("t", "snowball").alias("s")).collect()
     assert got[0].s == ["run", "fli"] and got[1].s is None
+
+
+def test_number_phrases_in_both_engines(duck):
+    """The Python parser and its SQL agree on phrases, digits and what is no number."""
+    from tessel.functions import sql as S
+
+    texts = (
+        "five|twenty-one|two hundred and five|one million two thousand|three point one four|hundred|1,200|$3.5|-7|zero|point five|one point twelve|nan|1e5|two two|thousand five||and|six hundred thousand"
+    ).split("|")
+    values = ", ".join(f"({S.quote(t)})" for t in texts)
+    got = dict(duck.sql(f"with texts as (select * from (values {values}) x(t)), {S.numbers('texts')} select t, v from num").fetchall())
+    for t in texts:
+        assert got[t] == pytest.approx(udf.words_to_number(t)) if got[t] is not None else udf.words_to_number(t) is None, t
+    assert got["one million two thousand"] == 1_002_000 and got["hundred"] is None and got["three point one four"] == pytest.approx(3.14)
