@@ -37,13 +37,17 @@ def _with_pairs(tokens: Column) -> Column:
 
 
 def pairs(x: Column) -> Column:
-    """Words without accents and every two neighbours."""
-    return _with_pairs(F.regexp_extract_all(udf.fold(F.lower(x)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    """Words and every two neighbours of a text in lower case without accents."""
+    return _with_pairs(F.regexp_extract_all(x, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
 
 
 def pairs_without_stops(x: Column) -> Column:
     """The same over the words that are no stop words."""
-    return _with_pairs(F.filter(F.regexp_extract_all(udf.fold(F.lower(x)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: ~w.isin(*STOPS)))
+    return _with_pairs(F.filter(F.regexp_extract_all(x, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: ~w.isin(*STOPS)))
+
+
+#: Analysers that take texts in lower case without accents.
+FOLDED = (pairs, pairs_without_stops)
 
 
 #: Field -> (column, analyser, boost).
@@ -54,16 +58,27 @@ FIELDS: dict[str, tuple[str, Callable[[Column], Column], float]] = {
 
 
 def field_index(docs: DataFrame, key: str, fields: dict | None = None) -> DataFrame:
-    """(field, term, key, tf, dl): terms of every field with frequency and field length; null and empty fields have none. Written once to the shared folder."""
-    tokens = F.explode(F.array(*[F.struct(F.lit(name).alias("field"), analyse(F.col(c)).alias("t")) for name, (c, analyse, _) in (fields or FIELDS).items()])).alias("x")
-    rows = docs.select(F.col(key).alias("key"), tokens).where("size(x.t) > 0").select("key", "x.field", F.size("x.t").alias("dl"), F.explode("x.t").alias("term"))
-    return cut(rows.groupBy("field", "term", "key", "dl").agg(F.count("*").alias("tf")))
+    """(field, t, key, tf, dl): terms of every field, as hashes of both, with frequency and field length; null and empty fields have none. Documents are spread by their key
+    first, so their terms are counted where they lie. Written once to the shared folder."""
+    rows = _tokens(docs, key, [(name, c, analyse) for name, (c, analyse, _) in (fields or FIELDS).items()], True)
+    rows = rows.select(F.col(key).alias("key"), "x.field", F.size("x.t").alias("dl"), F.explode("x.t").alias("term"))
+    return cut(rows.groupBy("key", "field", F.xxhash64("field", "term").alias("t")).agg(F.first("dl").alias("dl"), F.count("*").alias("tf")))
 
 
 def field_terms(queries: DataFrame, query: str, text: str, fields: dict | None = None) -> DataFrame:
-    """(query, field, term): the distinct terms of every question as each field analyses it."""
-    tokens = F.explode(F.array(*[F.struct(F.lit(name).alias("field"), F.array_distinct(analyse(F.col(text))).alias("t")) for name, (_, analyse, _) in (fields or FIELDS).items()])).alias("x")
-    return queries.where(F.col(text).isNotNull()).select(F.col(query).alias("query"), tokens).select("query", "x.field", F.explode("x.t").alias("term"))
+    """(query, field, t): the distinct terms of every question as each field analyses it, as hashes of field and term."""
+    rows = _tokens(queries.where(F.col(text).isNotNull()), query, [(name, text, analyse) for name, (_, analyse, _) in (fields or FIELDS).items()], False)
+    return rows.select(F.col(query).alias("query"), "x.field", F.explode(F.array_distinct("x.t")).alias("term")).select("query", "field", F.xxhash64("field", "term").alias("t"))
+
+
+def _tokens(rows: DataFrame, key: str, fields: list[tuple[str, str, Callable[[Column], Column]]], spread: bool) -> DataFrame:
+    """(key, x: struct(field, t)): the terms of every field that has any. Accents are dropped before the rows are spread by their key, so that no exchange follows."""
+    folded = sorted({c for _, c, analyse in fields if analyse in FOLDED})
+    plain = sorted({c for _, c, _ in fields} - {key})
+    rows = rows.select(key, *plain, *[udf.fold(F.lower(c)).alias(f"_folded_{c}") for c in folded])
+    rows = rows.repartition(F.col(key)) if spread else rows
+    parts = [F.struct(F.lit(name).alias("field"), analyse(F.col(f"_folded_{c}" if analyse in FOLDED else c)).alias("t")) for name, c, analyse in fields]
+    return rows.select(key, F.explode(F.array(*parts)).alias("x")).where("size(x.t) > 0")
 
 
 def search(index: DataFrame, terms: DataFrame, k: int, fields: dict | None = None, allowed: DataFrame | None = None, barred: DataFrame | None = None) -> DataFrame:
@@ -82,15 +97,14 @@ def search(index: DataFrame, terms: DataFrame, k: int, fields: dict | None = Non
     stats = cut(lengths.groupBy("field").agg(F.count("*").alias("docs"), (F.sum("dl").cast("double") / F.count("*")).alias("mean")))  # a row a field
     slices = max(1, *(-(-r["docs"] // SLICE) for r in stats.select("docs").collect()), 1)
     terms = cut(terms)
-    wanted = index.join(terms.select("field", "term").distinct(), ["field", "term"], "left_semi").join(F.broadcast(stats), "field")
+    wanted = index.join(terms.select("t").distinct(), "t", "left_semi").join(F.broadcast(stats), "field")
     share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
-    wanted = cut(wanted.select("field", "term", "key", "docs", share.alias("share")))
+    wanted = cut(wanted.select("field", "t", "key", "docs", share.alias("share")))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = wanted.groupBy("field", "term", "docs").agg(F.count("*").alias("df")).join(known, "field").select("field", "term", "f", (F.col("boost") * idf).alias("w"))
+    weights = wanted.groupBy("t", "field", "docs").agg(F.count("*").alias("df")).join(known, "field").select("t", "f", (F.col("boost") * idf).alias("w"))
     postings = wanted if allowed is None else wanted.join(allowed.select(F.col(allowed.columns[0]).alias("key")).distinct(), "key", "left_semi")
     folder = f"{shared_dir(spark)}/search-{uuid.uuid4().hex}"
-    code = F.xxhash64("field", "term").alias("t")
-    sliced = postings.select(F.pmod(F.xxhash64("key"), F.lit(slices)).alias("slice"), code, "key", "share").repartition(slices, "slice").sortWithinPartitions("slice", "t")
+    sliced = postings.select(F.pmod(F.xxhash64("key"), F.lit(slices)).alias("slice"), "t", "key", "share").repartition(slices, "slice").sortWithinPartitions("slice", "t")
     sliced.write.partitionBy("slice").parquet(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +119,7 @@ def search(index: DataFrame, terms: DataFrame, k: int, fields: dict | None = Non
     n = terms.count()
     tasks = max(1, min(-(-n // 3_000), max(2 * spark.sparkContext.defaultParallelism, -(-n // BLOCK))))
     none = F.lit(None).cast("bigint")
-    rows = terms.join(weights, ["field", "term"]).select("query", code, "f", "w", none.alias("out"))
+    rows = terms.join(weights, "t").select("query", "t", "f", "w", none.alias("out"))
     if barred is not None:
         rows = rows.unionByName(barred.toDF("query", "out").distinct().select("query", none.alias("t"), F.lit(-1).alias("f"), F.lit(0.0).alias("w"), "out"))
     filled = rows.select(F.col("query").cast("bigint").alias("query"), F.coalesce("t", F.lit(0)).cast("bigint").alias("t"), "f", "w", F.coalesce("out", F.lit(-1)).cast("bigint").alias("out"))
