@@ -72,3 +72,38 @@ def test_nothing_to_search(spark):
     assert S.search(index, S.field_terms(asked, "uid", "q", FIELDS), 3, FIELDS).count() == 0
     full = S.field_index(rows.withColumn("a", F.lit("x")), "idx", FIELDS)
     assert S.search(full, S.field_terms(asked.limit(0), "uid", "q", FIELDS), 3, FIELDS).count() == 0
+
+
+def test_terms_are_counted_document_by_document(spark, monkeypatch):
+    """No aggregation holds the terms of a part of the table, which at 1 GB filled the heap; the postings are those counted by hand."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    plans, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **b: (plans.append(self._df._jdf.queryExecution().executedPlan().toString()), write(self, *a, **b))[1])
+    monkeypatch.setattr(S, "SLICE", 7)
+    docs = {i: ("w" + "x" * (i % 3), " ".join(["the", "ab", "cd", "ab"][: i % 5])) for i in range(40)}
+    index = S.field_index(spark.createDataFrame([(i, a, b) for i, (a, b) in docs.items()], "idx bigint, a string, b string"), "idx", FIELDS)
+    assert len(plans) == 1 and "MapInArrow" in plans[0] and "Aggregate" not in plans[0]
+    want = {f: {i: Counter(terms(f, row[0 if f == "a" else 1])) for i, row in docs.items()} for f in FIELDS}
+    postings = spark.read.parquet(index.folder).collect()
+    assert len({r.slice for r in postings}) == index.slices == 6
+    for j, f in enumerate(FIELDS):
+        assert sorted((r.key, r.tf, r.dl) for r in postings if r.f == j) == sorted((i, n, sum(c.values())) for i, c in want[f].items() for n in c.values())
+        lengths = [sum(c.values()) for c in want[f].values() if c]
+        assert (index.docs[j], index.mean[j]) == (len(lengths), pytest.approx(sum(lengths) / len(lengths)))
+
+
+def test_many_slices(spark, monkeypatch):
+    """Fields passed over below the k-th best score so far leave the same documents, also among ties."""
+    monkeypatch.setattr(S, "SLICE", 40)
+    rng = random.Random(5)
+    vocab = [f"w{chr(97 + i)}" for i in range(26)]
+    docs = {i: (" ".join(rng.choices(vocab, k=2)), " ".join(rng.choices(vocab[:9], k=rng.randrange(2, 6)))) for i in range(400)}
+    queries = {i: " ".join(rng.choices(vocab, k=3) + rng.choices(vocab[:9], k=3)) for i in range(30)}
+    index = S.field_index(spark.createDataFrame([(i, a, b) for i, (a, b) in docs.items()], "idx bigint, a string, b string"), "idx", FIELDS)
+    barred = {(q, d) for q in queries for d in range(q, 400, 9)}
+    found = S.search(index, S.field_terms(spark.createDataFrame([*queries.items()], "uid bigint, q string"), "uid", "q", FIELDS), 4, FIELDS, barred=spark.createDataFrame(sorted(barred), "uid bigint, idx bigint"))
+    got = defaultdict(list)
+    for r in found.orderBy("query", "rank").collect():
+        got[r.query].append(r.key)
+    assert got == {q: [d for d, _ in r] for q, r in brute(docs, queries, 4, None, barred).items()}
