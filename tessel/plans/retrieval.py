@@ -101,7 +101,8 @@ def l13_rerank_by_title(spark: SparkSession, path: str) -> DataFrame:
         F.when((t == q) | (t == bare), 1.5).when(F.lower(t).isin(F.lower(q), F.lower(bare)), 1.2).when(F.contains(q, F.lower(t)), 1.1).when((core == q) | (core == bare), 1.2)
         .when(F.lower(core).isin(F.lower(q), F.lower(bare)), 1.1).when(F.contains(F.lower(q), F.lower(core)), 1.05).otherwise(1.0)
     )
-    found = hits(spark, path, 50).join(queries(spark, path), "query_uid").join(paras(spark, path).select("idx", "title_unescaped"), "idx")
+    # what a search returns is far more than Spark takes it for: without the hints it is collected and broadcast
+    found = hits(spark, path, 50).hint("merge").join(queries(spark, path), "query_uid").hint("merge").join(paras(spark, path).select("idx", "title_unescaped"), "idx")
     scored = found.select("query_uid", "idx", F.round(F.col("score") * F.coalesce(boost, F.lit(1.0)), 6).alias("score"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_uid").orderBy(F.col("score").desc(), "idx"))).where("rank <= 10")
 

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessel.operators import search as S
+from tests.conftest import DATA
 
 FIELDS = {"a": ("a", S.letters, 1.25), "b": ("b", S.standard, 1.0), "b.pairs": ("b", S.pairs, 1.1)}
 
@@ -107,3 +108,22 @@ def test_many_slices(spark, monkeypatch):
     for r in found.orderBy("query", "rank").collect():
         got[r.query].append(r.key)
     assert got == {q: [d for d, _ in r] for q, r in brute(docs, queries, 4, None, barred).items()}
+
+
+def broadcast_searches(df):
+    """Searches below a broadcast in a plan, which bring all their rows to the driver."""
+    lines, out, inside = df._jdf.queryExecution().executedPlan().toString().splitlines(), [], None
+    for line in lines:
+        depth = len(line) - len(line.lstrip(" :+-*()0123456789"))
+        inside = None if inside is not None and depth <= inside else inside
+        if "BroadcastExchange" in line and inside is None:
+            inside = depth
+        out += [line] if inside is not None and "MapInArrow run(" in line else []
+    assert any("MapInArrow run(" in line for line in lines)
+    return out
+
+
+def test_title_rerank_sends_no_hits_to_the_driver(spark):
+    from tessel.plans import retrieval
+
+    assert not broadcast_searches(retrieval.l13_rerank_by_title(spark, DATA))
