@@ -38,8 +38,9 @@ def j22_negative_candidates(spark: SparkSession, path: str) -> DataFrame:
     p = latest(table(spark, path, "index_paras"), "idx", "title", "title_unescaped", "text")
     index = SEARCH.field_index(p, "idx")
     top = [SEARCH.search(index, SEARCH.field_terms(q, "sample_uid", "question"), 10).select(F.col("query").alias("sample_uid"), F.col("key").alias("idx"), F.lit(src).alias("src")) for q, src in ((asked, "bm25"), (shared, "overlap"))]
-    found = top[0].unionByName(top[1]).join(p.select("idx", "title"), "idx").select("sample_uid", "title", "src")
-    every = linked.unionByName(found).where("title is not null").join(gold, ["sample_uid", "title"], "left_anti")
+    # what a search returns is far more than Spark takes it for: without the hint it is collected and broadcast
+    found = top[0].unionByName(top[1]).hint("merge").join(p.select("idx", "title"), "idx").select("sample_uid", "title", "src")
+    every = linked.unionByName(found).where("title is not null").join(gold.hint("merge"), ["sample_uid", "title"], "left_anti")
     return every.groupBy("sample_uid", "title").agg(F.array_join(F.array_sort(F.collect_set("src")), "+").alias("src"))
 
 

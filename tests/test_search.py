@@ -127,3 +127,9 @@ def test_title_rerank_sends_no_hits_to_the_driver(spark):
     from tessel.plans import retrieval
 
     assert not broadcast_searches(retrieval.l13_rerank_by_title(spark, DATA))
+
+
+def test_negative_candidates_send_no_hits_to_the_driver(spark):
+    from tessel.plans import rest
+
+    assert not broadcast_searches(rest.j22_negative_candidates(spark, DATA))
