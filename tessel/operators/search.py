@@ -133,18 +133,21 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def search(index: Index, terms: DataFrame, k: int, fields: dict | None = None, allowed: DataFrame | None = None, barred: DataFrame | None = None) -> DataFrame:
     """(query, key, score, rank): the k documents of the highest score for every question, ties to the least key; keys are bigint.
 
-    The score is the highest over the fields of boost times BM25. ``allowed`` (key) restricts the documents, ``barred`` (query, key) excludes some of a question;
-    neither changes the statistics of the index. Only the questions are shuffled: each task of them reads the slices of the index in the shared folder one after the other,
+    The score is the highest over the fields of boost times BM25. ``allowed`` (key, or key and label, one a document) restricts the documents, ``barred`` (query, key, or
+    query and label where the allowed have labels) excludes some of a question; neither changes the statistics of the index. Labels stand for all their documents, so that
+    no pair of a question and a document is written down; they are compared by hash. Only the questions and what they bar are shuffled: each task of them reads the slices of the index in the shared folder one after the other,
     first to count the documents of its terms, then to score, and keeps the k best of every question. A field of a question is passed over in a slice only
     where its terms together cannot reach the k-th best score so far, so the result is exact; memory is that of a slice and the questions of a task.
     """
     boosts = np.array([float(boost) for _, _, boost in (fields or FIELDS).values()])
     spark = terms.sparkSession
-    kept = None
+    kept, labelled = None, allowed is not None and len(allowed.columns) > 1
+    hashed = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(F.col(c).cast("string")) if labelled else F.col(c).cast("bigint"))
     if allowed is not None:
         kept = f"{shared_dir(spark)}/allowed-{uuid.uuid4().hex}"
         key = F.col(allowed.columns[0])
-        allowed.where(key.isNotNull()).select(F.pmod(F.xxhash64(key), F.lit(index.slices)).cast("int").alias("slice"), key.cast("bigint").alias("key")).repartition("slice").write.partitionBy("slice").parquet(kept)
+        rows = allowed.where(key.isNotNull()).select(F.pmod(F.xxhash64(key), F.lit(index.slices)).cast("int").alias("slice"), key.cast("bigint").alias("key"), hashed(allowed.columns[-1]).alias("label"))
+        rows.repartition("slice").write.partitionBy("slice").parquet(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [(_flat(b.column("h")), b.column("query").to_numpy(), b.column("f").to_numpy()) for b in batches if b.num_rows]
@@ -156,13 +159,14 @@ def search(index: Index, terms: DataFrame, k: int, fields: dict | None = None, a
     n = terms.agg(F.sum(F.size("h"))).first()[0] or 0
     tasks = max(1, min(-(-n // 3_000), max(2 * spark.sparkContext.defaultParallelism, -(-n // BLOCK))))
     if barred is not None:
-        out = barred.toDF("query", "out").where("query is not null and out is not null").distinct()
-        terms = terms.unionByName(out.select(F.col("query").cast("bigint"), F.lit(-1).alias("f"), F.array(F.col("out").cast("bigint")).alias("h")))
+        out = barred.toDF("query", "out").where("query is not null and out is not null")
+        terms = terms.unionByName(out.select(F.col("query").cast("bigint"), F.lit(-1).alias("f"), F.array(hashed("out")).alias("h")))
     return terms.repartition(tasks, "query").mapInArrow(run, "query bigint, key bigint, score double, rank int")
 
 
 class Slice(NamedTuple):
-    """Postings of a slice by term and document: distinct terms, where their postings begin (and the last end), their highest share; documents and shares; the documents' keys in order."""
+    """Postings of a slice by term and document: distinct terms, where their postings begin (and the last end), their highest share; documents and shares; the documents' keys in order,
+    the label of each (the key itself if none were given) and whether it has one."""
 
     terms: np.ndarray
     starts: np.ndarray
@@ -170,6 +174,8 @@ class Slice(NamedTuple):
     doc: np.ndarray
     share: np.ndarray
     keys: np.ndarray
+    label: np.ndarray
+    labelled: np.ndarray
 
 
 def _runs(t: np.ndarray) -> np.ndarray:
@@ -191,10 +197,10 @@ def slice_of(index: Index, kept: str | None, part: int) -> Slice:
     """A slice of the index, of the documents allowed if a folder of them is given; a worker keeps the last two slices."""
     table = read_shared(f"{index.folder}/slice={part}", ["t", "key", "f", "tf", "dl"])
     if table is not None and kept:
-        some = read_shared(f"{kept}/slice={part}", ["key"])
+        some = read_shared(f"{kept}/slice={part}", ["key", "label"])
         table = None if some is None else table.filter(pc.is_in(table.column("key"), value_set=some.column("key").combine_chunks()))
     if table is None or not table.num_rows:
-        return Slice(*(np.zeros(n, kind) for n, kind in ((0, "i8"), (1, "i8"), (0, "f8"), (0, "i8"), (0, "f8"), (0, "i8"))))
+        return Slice(*(np.zeros(n, kind) for n, kind in ((0, "i8"), (1, "i8"), (0, "f8"), (0, "i8"), (0, "f8"), (0, "i8"), (0, "i8"), (0, "?"))))
     t, key, f, tf, dl = (table.column(c).to_numpy() for c in ("t", "key", "f", "tf", "dl"))
     coded = table.column("key").combine_chunks().dictionary_encode()
     coded = coded if isinstance(coded, pa.DictionaryArray) else pa.chunked_array([coded]).combine_chunks()
@@ -205,7 +211,12 @@ def slice_of(index: Index, kept: str | None, part: int) -> Slice:
         order = np.lexsort((doc, t))
         t, doc, share = t[order], doc[order], share[order]
     starts = _runs(t)
-    return Slice(t[starts[:-1]], starts, np.maximum.reduceat(share, starts[:-1]), doc, share, keys)
+    label, labelled = keys, np.ones(len(keys), bool)
+    if kept:
+        owner, order = some.column("key").to_numpy(), some.column("key").to_numpy().argsort(kind="stable")
+        at = order[np.searchsorted(owner, keys, sorter=order)]
+        label, labelled = pc.fill_null(some.column("label"), 0).to_numpy()[at], some.column("label").is_valid().to_numpy()[at]
+    return Slice(t[starts[:-1]], starts, np.maximum.reduceat(share, starts[:-1]), doc, share, keys, label, labelled)
 
 
 def _find(terms: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -220,10 +231,12 @@ def _spans(first: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _ranked(index: Index, kept: str | None, boosts: np.ndarray, query: np.ndarray, f: np.ndarray, t: np.ndarray, k: int) -> pa.RecordBatch:
-    """(query, key, score, rank) of the k best documents of the questions whose terms are given; entries with f = -1 exclude the document t."""
+    """(query, key, score, rank) of the k best documents of the questions whose terms are given; entries with f = -1 exclude the documents of label t."""
     asked, row = np.unique(query, return_inverse=True)
     gone, own = np.flatnonzero(f < 0), np.flatnonzero(f >= 0)
-    out_row, out = row[gone], t[gone]
+    labels, out = np.unique(t[gone], return_inverse=True)
+    barred = np.unique(row[gone] * max(len(labels), 1) + out)  # questions x labels
+    out_row, out = np.divmod(barred, max(len(labels), 1))
     row, f, t = row[own], f[own], t[own]
     alphabet, code = np.unique(t, return_inverse=True)
     df = np.zeros(len(alphabet))
@@ -236,7 +249,6 @@ def _ranked(index: Index, kept: str | None, boosts: np.ndarray, query: np.ndarra
     order = np.argsort(group, kind="stable")
     group, code, w = group[order], code[order], w[order]
     del row, f, t, query, order
-    most_out = int(np.bincount(out_row).max()) if len(out) else 0
     top = (np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0))
     least = np.zeros(len(asked))  # the k-th best score so far of every question
     for part in range(index.slices if len(group) else 0):
@@ -245,12 +257,16 @@ def _ranked(index: Index, kept: str | None, boosts: np.ndarray, query: np.ndarra
             continue
         at, hit = _find(s.terms, alphabet)
         here = np.flatnonzero(hit[code])
-        cell, score = _cells(s, group[here], at[code[here]], w[here], least, len(boosts), k + most_out)
+        most_out = 0  # documents that a question bars here, at most
         if len(out):
-            place, known = _find(s.keys, out)
-            free = ~np.isin(cell, out_row[known] * len(s.keys) + place[known])
-            cell, score = cell[free], score[free]
+            label, known = _find(labels, s.label)
+            known &= s.labelled
+            most_out = int(np.bincount(out_row, np.bincount(label[known], minlength=len(labels))[out]).max())
+        cell, score = _cells(s, group[here], at[code[here]], w[here], least, len(boosts), k + most_out)
         r, d = np.divmod(cell, len(s.keys))
+        if len(out):
+            free = ~(_find(barred, r * len(labels) + label[d])[1] & known[d])
+            r, d, score = r[free], d[free], score[free]
         good = score >= least[r]
         rows, keys, scores = (np.concatenate(x) for x in zip(top, (r[good], s.keys[d[good]], score[good]), strict=True))
         order = np.lexsort((keys, -scores, rows))

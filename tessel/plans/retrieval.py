@@ -78,10 +78,10 @@ _GOLD = "gold as (select distinct query_uid, unnest(sp) as title from iter_queri
 select query_uid, idx, score from (select *, row_number() over (partition by query_uid order by score desc, idx) as rn from h) where rn between 3 and 7""")
 def l12_search_page(spark: SparkSession, path: str) -> DataFrame:
     """A page of hits, offset 2 and size 5, among the paragraphs of one collection (filter) and without those of gold titles (must not)."""
-    p = paras(spark, path)
-    gold = queries(spark, path).select("query_uid", F.explode("sp").alias("title")).distinct()
-    barred = gold.join(p.select("idx", "title"), "title").select("query_uid", "idx")
-    return hits(spark, path, 7, allowed=p.where("for_hotpot").select("idx"), barred=barred).where("rank > 2").select("query_uid", "idx", "score")
+    # gold titles are barred as titles: their pairs with paragraphs grow with the product of both where titles repeat
+    allowed = latest(table(spark, path, "index_paras"), "idx", "title", "for_hotpot").where("for_hotpot").select("idx", "title")
+    gold = queries(spark, path).select("query_uid", F.explode("sp").alias("title"))
+    return hits(spark, path, 7, allowed=allowed, barred=gold).where("rank > 2").select("query_uid", "idx", "score")
 
 
 _CORE = r"trim(regexp_replace(tu, '\s*\([^)]*\)$', ''))"

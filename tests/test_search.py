@@ -133,3 +133,39 @@ def test_negative_candidates_send_no_hits_to_the_driver(spark):
     from tessel.plans import rest
 
     assert not broadcast_searches(rest.j22_negative_candidates(spark, DATA))
+
+
+def test_labels_bar_all_their_documents(spark, monkeypatch):
+    """Labels, null ones among them, leave the documents that their pairs with questions leave."""
+    monkeypatch.setattr(S, "SLICE", 40)
+    rng = random.Random(3)
+    vocab = [f"w{chr(97 + i)}" for i in range(9)]
+    docs = {i: (" ".join(rng.choices(vocab, k=2)), " ".join(rng.choices(vocab, k=rng.randrange(2, 6)))) for i in range(200)}
+    label = {i: rng.choice([None, "", "x", "y", "z", *vocab]) for i in docs if i % 3}
+    queries = {i: " ".join(rng.choices(vocab, k=4)) for i in range(20)}
+    gone = [(q, x) for q in queries for x in [*rng.choices(["", "x", "y", "elsewhere", *vocab], k=q % 5), None]] * 2
+    index = S.field_index(spark.createDataFrame([(i, a, b) for i, (a, b) in docs.items()], "idx bigint, a string, b string"), "idx", FIELDS)
+    asked = S.field_terms(spark.createDataFrame([*queries.items()], "uid bigint, q string"), "uid", "q", FIELDS)
+    found = S.search(index, asked, 6, FIELDS, spark.createDataFrame([*label.items()], "idx bigint, title string"), spark.createDataFrame(gone, "uid bigint, title string"))
+    got = defaultdict(list)
+    for r in found.orderBy("query", "rank").collect():
+        got[r.query].append(r.key)
+    barred = {(q, i) for q, x in gone for i in label if x is not None and label[i] == x}
+    assert got == {q: [d for d, _ in r] for q, r in brute(docs, queries, 6, set(label), barred).items()}
+
+
+def test_search_page_writes_no_pairs_of_questions_and_paragraphs(spark, tmp_path):
+    """Where titles repeat, the pairs of questions and paragraphs of gold titles grow with the product of both: they are neither joined nor aggregated, and no hit is barred."""
+    from tessel.plans import retrieval
+
+    rows = spark.read.parquet(f"{DATA}/index_paras.parquet").limit(1)
+    rows.select(F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(60).cast("bigint"))).alias("n"), "*").select(
+        *[{"idx": F.col("n"), "title": F.when(F.col("n") <= 50, "Gold"), "text": F.lit("some words"), "for_hotpot": F.lit(True)}.get(c, F.col(c)).alias(c) for c in rows.columns]
+    ).write.parquet(f"{tmp_path}/index_paras.parquet")
+    asked = spark.read.parquet(f"{DATA}/iter_queries.parquet").limit(1)
+    asked.select(F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(20).cast("bigint"))).alias("n"), "*").select(
+        *[{"query_uid": F.col("n"), "question": F.lit("words"), "sp": F.array(F.lit("Gold"), F.lit(None))}.get(c, F.col(c)).alias(c) for c in asked.columns]
+    ).write.parquet(f"{tmp_path}/iter_queries.parquet")
+    page = retrieval.l12_search_page(spark, str(tmp_path))
+    assert "Join" not in page._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.query_uid, r.idx) for r in page.collect()) == [(q, i) for q in range(1, 21) for i in range(53, 58)]
